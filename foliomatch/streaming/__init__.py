@@ -1,0 +1,12 @@
+"""Ingest of arriving documents into a catalog as micro-batches (an upsert per batch)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from foliomatch.sources.catalog import Catalog
+
+
+def upsert_stream(arriving: DataFrame, catalog: Catalog, checkpoint: str):
+    """A streaming query that upserts every batch; a repeated batch has the same result."""
+    return arriving.writeStream.foreachBatch(lambda rows, _: catalog.upsert(rows)).option("checkpointLocation", checkpoint).start()
