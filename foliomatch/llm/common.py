@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomatch.sources.intermediate import written as written
+
 #: A side of a join is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -19,31 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (single-machine sessions such as tests), a fresh temporary folder that is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="foliomatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a (narrow) intermediate once to the shared folder and read it back.
-
-    This cuts the lineage without tying rows to an executor: a lost executor costs nothing that was
-    written, and several later reads don't repeat the scan that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a written table if its counted rows are within the bound; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= bound else df
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """First columns and texts (second columns, null as empty) of batches, in slices of about `size` bytes
+    of text, or of one row. The cast comes before the slice: kernels misread a cast slice's offsets."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        n = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + size)))
+            yield batch.column(0).slice(at, end - at), texts.slice(at, end - at)
+            at = end

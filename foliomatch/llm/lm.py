@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomatch.llm.common import table, written
+from foliomatch.llm.common import table, text_slices, written
 
 BUCKETS = 1 << 18
 CLASSES, IN_CLASS = 32, 32
@@ -44,18 +44,6 @@ STEP_WORDS, RATE = 8_192, 0.5
 SLICE_BYTES = 1 << 24
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts in slices of about SLICE_BYTES of text, or of one row."""
-    for batch in batches:
-        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-        n = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + SLICE_BYTES)))
-            yield batch.column(0).slice(at, end - at), texts.slice(at, end - at)
-            at = end
-
-
 def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of every word of the texts, one after the other, and each word's text."""
     texts = pc.ascii_lower(texts)
@@ -75,7 +63,7 @@ def count_buckets(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for _, texts in _slices(batches):
+        for _, texts in text_slices(batches, SLICE_BYTES):
             counts += np.bincount(word_buckets(texts)[0], minlength=BUCKETS)
         some = np.flatnonzero(counts)
         for at in range(0, len(some), 1 << 15):
@@ -217,7 +205,7 @@ def train(docs: DataFrame) -> tuple[Network, np.ndarray]:
         from pyspark import TaskContext
 
         net, squares, seen = Network(start.copy()), np.zeros(Network.length, np.float32), 0
-        for _, texts in _slices(batches):
+        for _, texts in text_slices(batches, SLICE_BYTES):
             buckets, text_of = word_buckets(texts)
             ids = id_of[buckets].astype(np.int64)
             seen += len(ids)
@@ -248,7 +236,7 @@ def score(docs: DataFrame, net: Network, id_of: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(flat)
-        for ids, texts in _slices(batches):
+        for ids, texts in text_slices(batches, SLICE_BYTES):
             n, total = log_likelihoods(own, id_of, texts)
             mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])

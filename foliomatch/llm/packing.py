@@ -25,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliomatch.llm.common import table
+from foliomatch.llm.common import table, text_slices
 from foliomatch.llm.wordids import encoder
 
 CAPACITY = 4096
 PIECE = 512
 END_ID = 2
-#: Tokens of pieces that are partitioned at once, and characters of text that are tokenised at once.
+#: Tokens of pieces that are partitioned at once, and bytes of text that are tokenised at once.
 BLOCK_TOKENS = 1 << 20
-BATCH_CHARS = 1 << 22
+BATCH_BYTES = 1 << 22
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,17 +94,6 @@ def pieces_of(tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> tupl
     return [(i * capacity, capacity) for i in range(full)], [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about BATCH_CHARS bytes of text, or one row."""
-    for batch in batches:
-        n = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + BATCH_CHARS)))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document (SCHEMA)."""
 
@@ -132,9 +121,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done, strict=True) if done else [[]] * 7)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         code = encoder(tokenizer)
-        for batch in _slices(batches):
-            ids, starts = code.encode(batch.column(1))
-            for k, doc in enumerate(batch.column(0).to_pylist()):
+        for docs_, texts in text_slices(batches, BATCH_BYTES):
+            ids, starts = code.encode(texts)
+            for k, doc in enumerate(docs_.to_pylist()):
                 own = np.append(ids[starts[k] : starts[k + 1]], np.uint32(end_id)).astype("<u4")
                 full, rest = pieces_of(len(own), capacity, piece)
                 crc = lambda a, n, own=own: zlib.crc32(own[a : a + n].tobytes())
