@@ -40,6 +40,7 @@ DROPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b[^>]*>.*?(
 LINE = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
 TAG = r"<[/!?a-zA-Z][^>]*>"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+OTHER_REFERENCE = REFERENCE.replace("[a-zA-Z][", "(?!amp;)[a-zA-Z][")
 CRLF = "\r\n"
 
 
@@ -47,34 +48,37 @@ def _code_point(ref: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in sorted(name2codepoint.items()) for x in pair])
     body = F.substring(ref, 2, F.length(ref) - 2)
     return (
-        F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("long"))
+        F.when(body == "amp", F.lit(38).cast("long"))
+        .when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("long"))
         .when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body)).cast("long"))
         .otherwise(F.try_element_at(names, body).cast("long"))
     )
 
 
-def _decoded(ref: Column) -> Column:
-    cp = _code_point(ref)
+def _decoded(r: Column) -> Column:
+    cp = r["cp"]
     valid = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-    return F.when(cp == 160, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(ref)
+    return F.when(cp == 160, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(r["ref"])
 
 
 def unescape(text: Column) -> Column:
-    """Decode every character reference once; a no-break space becomes a blank."""
+    """Decode every character reference once; a no-break space becomes a blank. text should be a stored
+    column: it is read more than once. Most texts have no reference, or none but &amp;."""
     pieces, refs = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    decoded = F.concat(F.transform(refs, _decoded), F.array(F.lit("")))
+    known = F.transform(refs, lambda ref: F.struct(ref.alias("ref"), _code_point(ref).alias("cp")))
+    decoded = F.concat(F.transform(known, _decoded), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, b)), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    return F.when(~F.contains(text, F.lit("&")), text).when(~text.rlike(OTHER_REFERENCE), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(joined)
 
 
 def _tidy(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+\z", "")
+    text = F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def html_text(html: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), LINE, "\n"), TAG, "")
-    return _tidy(unescape(bare))
+def bare_text(html: Column) -> Column:
+    """A page without markup, character references still in place."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), LINE, "\n"), TAG, "")
 
 
 def _uuid(*parts: Column) -> Column:
@@ -101,10 +105,16 @@ def derive(responses: DataFrame) -> DataFrame:
     r = r.withColumn("digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
     kind = F.lower(F.regexp_extract("head", r"(?i)\r\ncontent-type:[ \t]*([^;\r\n]*)", 1))
     is_html = (F.trim(kind) == "") | F.contains(kind, F.lit("html"))
-    r = r.withColumn("text", F.when(is_html, html_text(F.col("payload"))).otherwise(_tidy(F.col("payload"))))
+    r = r.withColumn("html", is_html)
+    is_html = F.col("html")
+    # each step is a column of its own, so that what is read twice is computed once
+    r = r.withColumn("bare", F.when(is_html, bare_text(F.col("payload"))).otherwise(F.col("payload")))
+    r = r.withColumn("bare_title", F.when(is_html, F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1)).otherwise(""))
+    r = r.withColumn("text", _tidy(F.when(is_html, unescape(F.col("bare"))).otherwise(F.col("bare"))))
     links = F.when(is_html, F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*?href=\"([^\">]*)\""), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    title = F.when(is_html, _tidy(unescape(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1)))).otherwise("")
-    lines = F.split("head", CRLF)
+    title = _tidy(unescape(F.col("bare_title")))
+    r = r.withColumn("links", links).withColumn("lines", F.split("head", CRLF))
+    links, lines = F.col("links"), F.col("lines")
     headers = F.array_join(F.transform(F.slice(lines, 2, 1_000_000), lambda h: F.concat(F.lit("http-header: "), h, F.lit(CRLF))), "")
     fields = F.concat(
         F.lit("http-status: "), F.element_at(lines, 1), F.lit(CRLF), headers,
