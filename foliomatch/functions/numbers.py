@@ -38,7 +38,7 @@ def smart_number(s: Column) -> Column:
     whole = _no_leading_zeros(F.regexp_replace(F.regexp_replace(digits, "_", ""), "^[+-]", ""))
     integer = F.when(whole == "0", "0").otherwise(F.concat(sign, whole))
     decimal = F.when(F.abs(x) > 1e37, None).when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(shortest(x))
-    return F.when(n.rlike(P.DECIMAL), decimal).when(n.rlike(P.INTEGER), integer).otherwise(_no_leading_zeros(n))
+    return F.when(s.isNull(), None).when(n.rlike(P.DECIMAL), decimal).when(n.rlike(P.INTEGER), integer).otherwise(_no_leading_zeros(n))
 
 
 def is_number(s: Column) -> Column:
