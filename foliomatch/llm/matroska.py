@@ -88,7 +88,11 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         size, m, unknown = vint(data, at + n)
         begin = at + n + m
         stop = _unknown_end(data, ident, begin, end) if unknown else begin + size
-        yield ident, begin, stop
+        if stop > end and ident not in PARENTS:
+            raise IndexError(begin)
+        yield ident, begin, min(stop, end)
+        if stop > end:
+            raise IndexError(begin)
         at = stop
 
 

@@ -39,8 +39,6 @@ class Encoder:
 
     def _add(self, pieces: list[str]) -> None:
         """Encode pieces and keep their ids; joined by a separator, which costs half of single calls."""
-        if len(self.index) + len(pieces) > KEPT:
-            self.clear()
         for at in range(0, len(pieces), 1024):
             part = pieces[at : at + 1024]
             if any(SEPARATOR in p for p in part):
@@ -74,11 +72,10 @@ class Encoder:
         offsets -= offsets[0]
         pieces = coded.dictionary.to_pylist()
         new = [p for p in pieces if p not in self.index]
-        if new:
-            before = self.index
-            self._add(new)
-            if self.index is not before:  # forgotten meanwhile: what else this batch needs anew
-                self._add([p for p in pieces if p not in self.index])
+        if len(self.index) + len(new) > KEPT:
+            self.clear()
+            new = pieces
+        self._add(new)
         which = np.fromiter((self.index[p] for p in pieces), np.int64, len(pieces))[np.asarray(coded.indices)]
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
