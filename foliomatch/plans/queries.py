@@ -18,7 +18,7 @@ from foliomatch.operators import compare, similar, words
 from foliomatch.plans import oracles as O
 from foliomatch.plans import prompts
 from foliomatch.sources import catalog, documents
-from foliomatch.sources.intermediate import written
+from foliomatch.sources.intermediate import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +35,7 @@ DATED = ("", "1 มกราคม 2567", "01/01/2567", "5/6/2567 และ 1 
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(P.TOKEN), F.lit(0))).alias("s"))
+    docs = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(P.TOKEN), F.lit(0))).alias("s"))
     return docs.union(spark.createDataFrame([(s,) for s in SAMPLES], "s string")).distinct()
 
 
@@ -81,7 +81,7 @@ pairwise("date_time_gate", DATED, lambda a, b: dates.lists_same(dates.extract_da
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
