@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int =
                     yield out()
         close()
         yield out()
+        code.clear()  # an idle worker holds no memory
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
