@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from foliomatch.llm.common import table, written
 
 K = 10
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, ENTRIES = 32, 64, 128, 1.2, 16
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, ENTRIES = 32, 64, 192, 1.2, 16
 SHARD = 8_192
 QUERY_BLOCK = 20_000
 BATCH = 256
@@ -147,13 +147,17 @@ def _single(x: np.ndarray) -> np.ndarray:
     return (x / max(float(np.abs(x).max(initial=0)), 1e-300)).astype(np.float32)
 
 
-def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, width: int = SEARCH_BEAM, seed: int = 1) -> np.ndarray:
-    """For each query the places (-1: none) that its beam ends with. Up to `width` points: all of them."""
+def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, width: int = SEARCH_BEAM, seed: int = 1, copies: np.ndarray | None = None) -> np.ndarray:
+    """For each query the places (-1: none) that its beam ends with. Up to `width` points: all of them. copies: of
+    each point; searches begin at those with the most copies too, as missing one of them costs many results."""
     n = len(x)
     if n <= width:
         return np.broadcast_to(np.arange(n), (len(q), n))
     both = _single(np.concatenate([x, q]))
     entries = np.random.default_rng(seed).permutation(n)[:ENTRIES]
+    if copies is not None:
+        most = np.argsort(-copies, kind="stable")[:ENTRIES]
+        entries = np.union1d(entries, most[copies[most] > 1])
     return np.concatenate([beam_search(both[:n], edges, entries, both[n + a : n + a + BATCH], width)[0] for a in range(0, len(q), BATCH)])
 
 
@@ -205,7 +209,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
         order = np.lexsort(x.T[::-1])
         x, ids = x[order], g["ids"].to_numpy()[order]
         edges, asked = np.stack(g["edges"].to_numpy())[order], np.stack(q["vec"].to_numpy())
-        found = search(x, edges, asked)
+        found = search(x, edges, asked, copies=np.array([len(i) for i in ids]))
         out = []
         for query_id, v, places in zip(q["vec_id"], asked, found, strict=True):
             places = places[places >= 0]
