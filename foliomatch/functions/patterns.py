@@ -9,6 +9,7 @@ THAI = r"\x{0E00}-\x{0E7F}"
 SPACE = r"[\s\p{Z}]"
 NOT_WORD = rf"[^\p{{L}}\p{{N}}_{THAI}]"
 PAD_ZERO = ((rf"^(\p{{Nd}})([{THAI}])", 2), (rf"([{THAI}])(\p{{Nd}})$", 2), (rf"([{THAI}])(\p{{Nd}})([{THAI}])", 3))
+# What counts as a word, day of a month, Buddhist year, number, time and date.
 TOKEN = r"[^ \t\n\x0B\f\r]+"
 DAY = r"^0?[1-9]$|^[12]\p{Nd}$|^3[01]$"
 BE_YEAR = r"^25\p{Nd}{2}$"
