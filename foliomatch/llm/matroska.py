@@ -33,7 +33,7 @@ DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 PARENTS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_TRACK_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
@@ -155,7 +155,8 @@ def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], in
     return [*sizes, end - at - sum(sizes)], at
 
 
-def _block(data: bytes, begin: int, end: int, simple: bool, base: int, cluster: int, media: Media) -> None:
+def _block(data: bytes, begin: int, end: int, key: bool | None, base: int, cluster: int, media: Media) -> None:
+    """Packets of a block's frames; key None: a simple block, whose flags say whether it is a keyframe."""
     track, n, _ = vint(data, begin)
     time, flags = struct.unpack_from(">hB", data, begin + n)
     kind = flags >> 1 & 3
@@ -163,7 +164,7 @@ def _block(data: bytes, begin: int, end: int, simple: bool, base: int, cluster:
     if end > len(data) or min(sizes) < 0:
         raise IndexError(begin)
     for size in sizes:
-        media.packets.append(Packet(track, base + time, bool(flags & 0x80) or not simple, at, size, LACINGS[kind], cluster))
+        media.packets.append(Packet(track, base + time, bool(flags & 0x80) if key is None else key, at, size, LACINGS[kind], cluster))
         at += size
 
 
@@ -210,11 +211,13 @@ def parse(data: bytes) -> Media:
                         if j == TIMESTAMP:
                             base = _number(data, x, y)
                         elif j == SIMPLE_BLOCK:
-                            _block(data, x, y, True, base, clusters, media)
+                            _block(data, x, y, None, base, clusters, media)
                         elif j == BLOCK_GROUP:
-                            for k, u, v in elements(data, x, y):
+                            parts = list(elements(data, x, y))
+                            key = all(k != REFERENCE_BLOCK for k, _, _ in parts)
+                            for k, u, v in parts:
                                 if k == BLOCK:
-                                    _block(data, u, v, False, base, clusters, media)
+                                    _block(data, u, v, key, base, clusters, media)
                     clusters += 1
                 elif i == CUES:
                     for j, x, y in elements(data, b, e):
