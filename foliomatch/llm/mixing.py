@@ -11,7 +11,8 @@ prefix sum over the ranges is added to the sum inside a range. The global order
 way into ranges of the virtual time, which serve about equal numbers of words by construction. The
 decision is a key per source and repeat, so it is applied to the documents without a shuffle.
 
-Defined cases: a null or empty text, or one of white space only, has size 0 and takes 0 words. A null
+Defined cases: a null or empty text, or one of white space only, has size 0 and takes 0 words; such a
+document goes with the one behind it in its source, and not at all where its source has no words. A null
 source is a source of its own, the last. Repeated rows are documents of their own; equal rows stay
 together. An empty table gives an empty result. Columns beyond those named are ignored or, in
 ``apply_mix``, returned as they are.
@@ -85,7 +86,8 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats
     inside = rows.withColumn("inside", F.sum("size").over(W.partitionBy("rank", "range").orderBy("key")))
     sent = inside.join(before, ["rank", "range"]).withColumn("sent", F.col("before") + F.col("inside"))
     rounds = F.array(*[F.lit(i) for i in range(max_repeats)])
-    offers = sent.withColumn("round", F.explode(rounds)).filter(F.col("round") * F.col("source_size") <= F.col("weight") * F.col("level"))
+    # documents without words queue nowhere: they would all have the virtual time of the one before them
+    offers = sent.filter(F.col("size") > 0).withColumn("round", F.explode(rounds)).filter(F.col("round") * F.col("source_size") <= F.col("weight") * F.col("level"))
     offers = offers.withColumn("finish", (F.col("round") * F.col("source_size") + F.col("sent")) / F.col("weight"))
     slots = max(1, math.ceil(n / RANGE_ROWS))
     slot = F.when(F.col("level") > 0, F.least(F.lit(slots), F.floor(F.col("finish") / F.col("level") * slots))).otherwise(0)
