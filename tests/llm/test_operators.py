@@ -79,6 +79,16 @@ def test_mix(spark, docs, empty):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_mix_leaves_wordless_sources_out(spark):
+    rows = [(i, "one two three", "a") for i in range(8)] + [(i, " ", "b") for i in range(8, 16)] + [(i, None, "a") for i in range(16, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in mixing.mix_sizes(docs).collect()}
+    assert len(out) == 24 and sum(r.taken for r in out.values()) == 24
+    assert all(out[i].copies == 1 for i in range(8)) and all((out[i].copies, out[i].target) == (0, 0.0) for i in range(8, 16))
+    last = max(mixing.sizes(docs).filter("size > 0").collect(), key=lambda r: r.key).key
+    assert all(out[r.doc_id].copies == (r.key <= last) for r in mixing.sizes(docs).filter("source = 'a'").collect())
+
+
 def test_mix_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
     compare(spark, mixing.op2_mix_sources, mixing.OP2_SQL)
@@ -224,6 +234,16 @@ def test_lacings(kind):
     assert {p.timestamp for p in packets} == {107} and {p.lacing for p in packets} == {matroska.LACINGS[kind]}
 
 
+def test_matroska_keyframes():
+    block = matroska.element(matroska.BLOCK, matroska.block_bytes([b"x"], 0)[:3] + b"\x00x")
+    plain = matroska.element(matroska.BLOCK_GROUP, block)
+    differs = matroska.element(matroska.BLOCK_GROUP, block + matroska.element(matroska.REFERENCE_BLOCK, b"\xff"))
+    simple = [matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00" + flags + b"x") for flags in (b"\x80", b"\x00")]
+    cluster = matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 0) + plain + differs + b"".join(simple))
+    packets = matroska.parse(matroska._EBML_HEAD + matroska.element(matroska.SEGMENT, cluster)).packets
+    assert [p.keyframe for p in packets] == [True, False, True, False]
+
+
 def test_media_columns(spark):
     data = matroska.mux(b"ab" * 32)
     out = matroska.packet_table(spark.createDataFrame([(1, data), (1, data), (2, None), (3, b"junk"), (4, b"")], "id long, file binary"), "id", "file").collect()
