@@ -17,14 +17,26 @@ from foliomatch.operators import similar, words
 from foliomatch.sources.intermediate import written
 
 
-def near_copies(docs: DataFrame, prefix: int = 80, least: int = 100) -> DataFrame:
+def near_copies(docs: DataFrame, prefix: int = 80, least: int = 100, chunk: int = 65_536) -> DataFrame:
     """pair_id, doc1, doc2: each document with the next one by doc_id that begins with the same characters but
-    is another text; both of `least` characters at least. Texts enter the shuffle as digests only."""
+    is another text; both of `least` characters at least. Texts enter the shuffle as digests only.
+
+    A beginning that many documents share is cut into chunks of doc_id; a document at the end of its chunk
+    finds the next one through a table with one row per beginning and chunk."""
     rows = docs.filter(F.length("text") >= least).select("doc_id", F.substring("text", 1, prefix).alias("head"), F.md5("text").alias("digest"))
-    by = W.partitionBy("head").orderBy("doc_id")
-    rows = rows.withColumn("new", F.lag("digest").over(by).isNull() | (F.lag("digest").over(by) != F.col("digest")))
-    after = by.rowsBetween(1, W.unboundedFollowing)
-    rows = rows.withColumn("doc2", F.min(F.when(F.col("new"), F.col("doc_id"))).over(after)).filter(F.col("doc2").isNotNull())
+    rows = rows.withColumn("chunk", F.floor(F.col("doc_id") / chunk))
+    by = W.partitionBy("head", "chunk").orderBy("doc_id")
+    before = F.lag("digest").over(by)
+    rows = rows.withColumn("new", F.when(before != F.col("digest"), F.col("doc_id")))
+    rows = rows.withColumn("next", F.min("new").over(by.rowsBetween(1, W.unboundedFollowing)))
+    chunks = rows.groupBy("head", "chunk").agg(
+        F.min_by(F.struct("doc_id", "digest"), "doc_id").alias("first"), F.max_by("digest", "doc_id").alias("last"), F.min("new").alias("new")
+    )
+    along = W.partitionBy("head").orderBy("chunk")
+    opens = F.when(F.lag("last").over(along) != F.col("first.digest"), F.col("first.doc_id")).otherwise(F.col("new"))
+    chunks = chunks.withColumn("opens", opens).withColumn("later", F.min("opens").over(along.rowsBetween(1, W.unboundedFollowing)))
+    rows = rows.join(chunks.filter(F.col("later").isNotNull()).select("head", "chunk", "later"), ["head", "chunk"], "left")
+    rows = rows.withColumn("doc2", F.coalesce("next", "later")).filter(F.col("doc2").isNotNull())
     return rows.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc1"), "doc2")
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -105,3 +106,12 @@ def test_edges(spark):
     assert (row.matched_doc1, row.match_rate, row.sample_matched) == (0, 0.0, "")
     docs = spark.createDataFrame([(1, None), (2, "x" * 120), (3, "x" * 120), (4, "x" * 100 + " y"), (5, "short")], "doc_id long, text string")
     assert {(r.doc1, r.doc2) for r in compare.near_copies(docs).collect()} == {(2, 4), (3, 4)}
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 100])
+def test_near_copies_over_chunks(spark, chunk):
+    made = random.Random(chunk)
+    rows = [(i, made.choice("ab") * 90 + " " + made.choice("xyz") * 20) for i in range(40) if i % 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(a, min(later)) for a, s in rows if (later := [b for b, t in rows if b > a and t != s and t[:80] == s[:80]])}
+    assert {(r.doc1, r.doc2) for r in compare.near_copies(docs, chunk=chunk).collect()} == want
