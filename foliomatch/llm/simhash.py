@@ -19,6 +19,9 @@ Defined cases: null, empty and blank texts have fingerprint 0, linked like any o
 a shingle: the whole text is the one shingle. A null doc_id can't name a group; such a row gets the
 group of its fingerprint, if that has another row, else null. Repeated rows are copies. An empty table
 gives no rows. Other columns are ignored or returned as they are.
+
+The pipeline's near copies aren't estimated by fingerprints: close_groups compares sets of five-word
+shingles (as XXH64 values) exactly.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: or take 8, so a radius of 92 keeps them; at 0.7 in 98. Blocks of 10 or 11 bits of the first four groups give 24 chances to meet.
 NEAR = {"shingle": 5, "prints": 8, "radius": 92, "block_prints": 4, "block_bits": 10}
 BUCKET = 16_384
+#: Slots of the counts that order shingles by rarity, and shingles of a group that one task compares.
+SLOTS, TASK_SHINGLES = 1 << 18, 4_000_000
 CHUNK_ROWS, CHUNK_PAIRS = 32_768, 32_768
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -293,15 +298,157 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints
 
 
 def near_duplicates(docs: DataFrame, shingle: int, prints: int, radius: int, block_prints: int, block_bits: int) -> DataFrame:
-    """Groups by wider fingerprints of shingle sets, for similarities too low for radius + 1 wide blocks."""
+    """Groups by wider fingerprints of shingle sets, for similarities too low for radius + 1 wide blocks. An estimate;
+    the pipeline takes close_groups instead."""
     return groups(docs, shingle, radius, prints, even_blocks(block_prints, block_bits), distinct=True)
 
 
-def without_copies(docs: DataFrame, **near) -> DataFrame:
+def prefix_length(n: int) -> int:
+    """Sets of which 4/5 is common share one of this many first members in any common order."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two sets (distinct values each) of 4/5 at least, in whole numbers."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * common >= 4 * (len(a) + len(b) - common)
+
+
+def close_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of sets that are alike: links that join the same groups as all such pairs do. Pairs that are
+    joined already aren't compared; all others that the sizes and the rarest members allow are."""
+    if len(sets) < 2:
+        return []
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(s) for s in sets])
+    parent = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    index: dict[int, list[int]] = {}
+    out = []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n = len(sets[i])
+        own = which[ends[i] - n : ends[i]]
+        first = own[np.lexsort((own, count[own]))[: prefix_length(n)]].tolist()
+        for j in sorted({j for x in first for j in index.get(x, ()) if 5 * len(sets[j]) >= 4 * n}):
+            if top(i) != top(j) and alike(sets[i], sets[j]):
+                parent[top(i)] = top(j)
+                out.append((i, j))
+        for x in first:
+            index.setdefault(x, []).append(i)
+    return out
+
+
+def _shingle_set(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode(), k))
+
+
+def _rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """How many of the texts' shingles fall into each of a fixed number of slots. It only orders shingles, rare
+    ones first, so shared slots cost time and no link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                counts += np.bincount((_shingle_set(text.as_py(), k) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1 << 15):
+            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + (1 << 15)]), pa.array(counts[some[at : at + (1 << 15)]])], names=["slot", "n"])
+
+    rows = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
+def _prefixes(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, digest of the text, key (a digest of the shingle set), size and rarest shingles of every text."""
+    rarity = _rarity(texts.select("text"), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys, sizes, first = [], [], []
+                for text in part.column(2):
+                    s = _shingle_set(text.as_py(), k)
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sizes.append(len(s))
+                    first.append(s[np.lexsort((s, rarity[(s % np.uint64(SLOTS)).astype(np.int64)]))[: prefix_length(len(s))]].view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)), pa.array(np.concatenate(first)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "digest", "key", "size", "first"])
+
+    return texts.mapInArrow(run, "doc_id long, digest string, key binary, size long, first array<long>")
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (label, i, j, key, set) sorted by label, i and j: links (a, b) between keys."""
+
+    def links(keys: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if found := close_links(sets):
+            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in found], pa.binary()), pa.array([keys[y] for _, y in found], pa.binary())], names=["a", "b"])
+
+    now, keys, sets = None, [], []
+    for batch in batches:
+        label, i, j, key, members = batch.columns
+        for row in range(batch.num_rows):
+            at = (label[row].as_py(), i[row].as_py(), j[row].as_py())
+            if at != now:
+                yield from links(keys, sets)
+                now, keys, sets = at, [], []
+            keys.append(key[row].as_py())
+            sets.append(np.array(members[row].values).view(np.uint64))
+    yield from links(keys, sets)
+
+
+def close_groups(docs: DataFrame, k: int = NEAR["shingle"], most: int = TASK_SHINGLES) -> DataFrame:
+    """doc_id, digest of the text and label of every document; labels are equal where links join the documents.
+
+    Documents are linked if the Jaccard similarity of their sets of k-word shingles is 0.8 or more. Each set's
+    rarest shingles (prefix_length of them) propose: no link can be missed. Of the documents that share one, each
+    meets the next one by size only, which joins candidates to groups without listing pairs. Then whole sets are
+    compared within such groups. A group with more than ``most`` shingles is dealt out as pairs of its parts."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest"), docs["text"].cast("string").alias("text"))
+    rows = written(_prefixes(texts, k), "near-prefixes")
+    sets = rows.select("key", "size", "first").dropDuplicates(["key"])
+    by = W.partitionBy("shingle").orderBy("size", "key")
+    met = sets.select("key", "size", F.explode("first").alias("shingle")).select("key", "size", F.lag("key").over(by).alias("other"), F.lag("size").over(by).alias("less"))
+    maybe = components(met.filter(F.col("less") * 5 >= F.col("size") * 4).select(F.col("key").alias("a"), F.col("other").alias("b")))
+    # one text of each candidate set
+    named = rows.groupBy("key").agg(F.min("digest").alias("_digest"), F.first("size").alias("size")).join(maybe, F.col("key") == F.col("v")).select("_digest", "key", "size", "label")
+    named = written(named, "near-members")
+    zero = F.lit(0).cast("long")
+    large = named.groupBy("label").agg(F.sum("size").alias("n")).filter(F.col("n") > most).select("label", F.ceil(F.col("n") / (most / 2)).alias("parts"))
+    named = named.join(small(written(large, "near-large")), "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = texts.join(small(written(named, "near-dealt")), F.col("digest") == F.col("_digest")).select("digest", "label", "key", "parts", "text").dropDuplicates(["digest"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                members = pa.array([_shingle_set(t.as_py(), k).view(np.int64) for t in part.column(3)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), members], names=["label", "key", "parts", "members"])
+
+    full = held.select("label", "key", "parts", "text").mapInArrow(whole, "label binary, key binary, parts long, members array<long>")
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    dealt = full.withColumn("part", part).withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    dealt = dealt.select("label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "members")
+    links = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key").mapInArrow(_verified, "a binary, b binary")
+    labels = components(links)
+    return rows.select("doc_id", "digest", "key").join(labels, F.col("key") == F.col("v"), "left").select("doc_id", "digest", F.coalesce("label", "key").alias("label"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, that of the smallest doc_id; rows of one doc_id are one
     document, of which the first by text stays. Rows without a doc_id stay."""
-    found = near_duplicates(docs, **(NEAR | near))
-    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
+    found = written(close_groups(docs), "near-groups").filter(F.col("doc_id").isNotNull())
+    least = found.groupBy("label").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("n")).filter("n > 1")
+    gone = written(found.join(least, "label").filter("doc_id != least").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
     out = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
     again = docs.filter(docs["doc_id"].isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     again = written(again, "simhash-again")
