@@ -444,22 +444,25 @@ def close_groups(docs: DataFrame, k: int = NEAR["shingle"], most: int = TASK_SHI
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; rows of one doc_id are one
-    document, of which the first by text stays. Rows without a doc_id stay."""
-    found = written(close_groups(docs), "near-groups").filter(F.col("doc_id").isNotNull())
-    least = found.groupBy("label").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("n")).filter("n > 1")
-    gone = written(found.join(least, "label").filter("doc_id != least").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    out = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = docs.filter(docs["doc_id"].isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    again = written(again, "simhash-again")
+    """docs with one row of each group, that of the smallest doc_id, then the first by the text's digest. What
+    goes are rows, not ids: a doc_id that stands for unrelated texts keeps each of them. Rows without a doc_id
+    never stand for one with an id; of those in a group one stays too."""
+    found = close_groups(docs).groupBy("label", "doc_id", "digest").count()
+    place = F.row_number().over(W.partitionBy("label", F.col("doc_id").isNull()).orderBy("doc_id", "digest"))
+    found = written(found.withColumn("place", place), "near-rows")
+    key = lambda c: F.struct(F.coalesce(c, F.lit(0)), c.isNull())
+    rows = docs.withColumn("_digest", F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn("_id", key(docs["doc_id"].cast("long")))
+    gone = written(found.filter("place > 1").select(key(F.col("doc_id")).alias("_id"), F.col("digest").alias("_digest")), "near-gone")
+    out = rows.join(small(gone), ["_id", "_digest"], "left_anti")
+    again = written(found.filter("place = 1 and count > 1").select(key(F.col("doc_id")).alias("_id"), F.col("digest").alias("_digest")), "near-again")
     n = again.count()
     if not n:
-        return out
+        return out.select(*docs.columns)
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
-    single = out.join(again, out["doc_id"] == F.col("_again"), "left_anti")
-    repeated = out.join(again, out["doc_id"] == F.col("_again"), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return single.unionByName(repeated.withColumn("_first", first).filter("_first = 1").drop("_first"))
+    single = out.join(again, ["_id", "_digest"], "left_anti")
+    first = F.row_number().over(W.partitionBy("_id", "_digest").orderBy("text"))
+    repeated = out.join(again, ["_id", "_digest"], "left_semi").withColumn("_first", first).filter("_first = 1")
+    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

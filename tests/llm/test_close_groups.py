@@ -68,3 +68,13 @@ def test_close_links_join_what_all_pairs_join():
         forest.join(*np.array(links).T)
         found.append(forest.find(np.arange(60)).tolist())
     assert found[0] == found[1] and len(links) < len(pairs)
+
+
+def test_rows_not_ids_are_dropped(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(some(rng, 60)) for _ in range(4))
+    rows = [(5, a), (5, a), (5, b), (3, b + " more"), (7, c), (7, d), (None, c), (None, c), (None, c + " more"), (None, "alone")]
+    kept = [(r.doc_id, r.text) for r in simhash.without_copies(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(x for x in kept if x[0]) == sorted([(3, b + " more"), (5, a), (7, c), (7, d)])
+    without = [t for i, t in kept if i is None]
+    assert len(without) == 2 and "alone" in without
