@@ -17,7 +17,8 @@ Defined cases: rows with a null vec_id, and vectors that are null, empty, zero o
 number that isn't finite, take no part as queries or candidates. Vectors of another length than the
 query's aren't its candidates. With fewer candidates than k all that were found are returned; a
 shard within the beam width is searched as a whole. Ties go to the smaller id. Repeated rows (same
-vec_id) are separate candidates, but not of a query with that id. Other columns are ignored.
+vec_id) are separate candidates, but not of a query with that id. Repeated query rows are one query; a
+query id with several vectors gets the k rows nearest to any of them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def index(points: DataFrame, shards: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """vectors, queries: vec_id, embedding. query_id, rank, vec_id, score: the k nearest found."""
     clean = lambda df: df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    vectors, queries = clean(vectors), clean(queries)
+    vectors, queries = clean(vectors), clean(queries).dropDuplicates(["vec_id", "vec"])
     points = written(nodes(vectors, k), "ann-nodes")
     shards = max(1, math.ceil(points.count() / shard))
     graph = written(index(points, shards), "ann-graph")
@@ -202,9 +203,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
     left = graph.withColumn("block", spread(blocks))
     right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")).withColumn("dim", F.size("vec")).withColumn("shard", spread(shards))
 
-    def look(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    columns = ["query_id", "dim", "shard", "place", "copy", "vec_id", "score"]
+
+    def look(key: tuple, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({c: [] for c in columns})
         x = np.stack(g["vec"].to_numpy())
         order = np.lexsort(x.T[::-1])
         x, ids = x[order], g["ids"].to_numpy()[order]
@@ -218,12 +221,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
             if len(d) > k + 1:
                 near = d <= np.partition(d, k)[k]
                 places, d = places[near], d[near]
-            rows = sorted((s, i) for s, p in zip(d.tolist(), places, strict=True) for i in ids[p] if i != query_id)[:k]
-            out += [(query_id, i, s) for s, i in rows]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            rows = sorted((s, i, p, c) for s, p in zip(d.tolist(), places.tolist(), strict=True) for c, i in enumerate(ids[p]) if i != query_id)[:k]
+            out += [(query_id, key[0], key[1], p, c, i, s) for s, i, p, c in rows]
+        return pd.DataFrame(out, columns=columns)
 
     keys = ["dim", "shard", "block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "query_id long, vec_id long, score double")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "query_id long, dim int, shard long, place long, copy int, vec_id long, score double")
+    # a candidate row that several vectors of one query id found counts once, with its smallest distance
+    met = met.groupBy(*columns[:-1]).agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
