@@ -1,9 +1,11 @@
 """Chat formatting of typed content parts (DataFrame operations only).
 
-A turn has a list of parts: text, image, audio or document. A visitor maps each part to text: a text
-part to its escaped text, an attachment to a placeholder whose number counts the attachments of the
-conversation in order. Attachments are returned as a list (number, kind, reference, tokens), and the
-expanded length is what the placeholders stand for.
+A turn has a list of parts: text, image, audio or document. A visitor (``VISITORS``, one rule a kind) maps each
+part to text: a text part to its escaped text, an attachment to a placeholder whose number counts the
+attachments of the conversation in order. Attachments are returned as a list (number, kind, reference,
+tokens), and the expanded length is what the placeholders stand for. A part brings its own token count along;
+where it is null, the kind's rule counts ``units`` (pixels of an image as "640x480", seconds of an audio part,
+pages of a document), which are part of its text.
 
 Template of a turn: ``<|im_start|>role``, newline, body, ``<|im_end|>``, newline. Every control string
 begins with ``<|``, and texts and roles are escaped so that they can't hold ``<|``: ``&`` becomes
@@ -14,7 +16,7 @@ Scale: turns are rendered where they are read; one shuffle by conversation bring
 conversation becomes one string, so it must fit a task: that is what the format asks for.
 
 Defined cases: null text is empty, null role is empty, a null list of parts has no parts, a part of
-an unknown kind is an attachment of that kind, null token counts are 0. Turns are ordered by turn
+an unknown kind is an attachment of that kind, token counts that neither the part nor its kind's rule gives are 0. Turns are ordered by turn
 (null first), then role, then body; repeated rows are turns of their own. A null conv_id is a
 conversation. An empty table gives an empty result. Columns beyond those named are ignored.
 """
@@ -51,11 +53,46 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
+def _placeholder(part: Column, number: Column) -> Column:
+    return F.concat(F.lit("<|"), F.replace(escape(part["type"]), F.lit("|>"), F.lit("&gt;")), F.lit(":"), number.cast("string"), F.lit("|>"))
+
+
+def _units(part: Column) -> Column:
+    return F.regexp_extract(F.coalesce(part["text"], F.lit("")), r"^([0-9]{1,6})(?:\.[0-9]*)?$", 1)
+
+
+def _patches(part: Column) -> Column:
+    """An image's tokens: one for each patch of PATCH x PATCH pixels begun."""
+    side = lambda i: F.regexp_extract(F.coalesce(part["text"], F.lit("")), "^([0-9]{1,5})x([0-9]{1,5})$", i).try_cast("int")
+    return F.ceil(side(1) / PATCH) * F.ceil(side(2) / PATCH)
+
+
+#: For each kind of part: the text that stands for it (part, number) and its token count (part).
+PATCH, AUDIO_TOKENS, PAGE_TOKENS = 28, 25, 512
+VISITORS = {
+    "text": (lambda part, number: escape(F.coalesce(part["text"], F.lit(""))), lambda part: F.lit(0)),
+    "image": (_placeholder, _patches),
+    "audio": (_placeholder, lambda part: _units(part).try_cast("int") * AUDIO_TOKENS),
+    "document": (_placeholder, lambda part: _units(part).try_cast("int") * PAGE_TOKENS),
+}
+
+
+def _by_kind(part: Column, rule: int, *args: Column) -> Column:
+    """The kind's rule; one that isn't known is an attachment that brings its own count."""
+    kind, out = F.coalesce(part["type"], F.lit("text")), None
+    for name, rules in VISITORS.items():
+        out = F.when(kind == name, rules[rule](part, *args)) if out is None else out.when(kind == name, rules[rule](part, *args))
+    return out.otherwise(F.lit(0) if rule else _placeholder(part, *args))
+
+
 def visit(part: Column, number: Column) -> Column:
     """The text that stands for a part; number: its place among the attachments of the conversation."""
-    return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), F.replace(escape(part["type"]), F.lit("|>"), F.lit("&gt;")), F.lit(":"), number.cast("string"), F.lit("|>"))
-    )
+    return _by_kind(part, 0, number)
+
+
+def expanded(part: Column) -> Column:
+    """Tokens that a part stands for: its own count, else its kind's rule, else 0."""
+    return F.coalesce(part["tokens"].cast("long"), _by_kind(part, 1).cast("long"), F.lit(0).cast("long"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -79,7 +116,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("rendered", F.concat("head", "body", F.lit(f"{END}\n")))
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("rendered").cast("long")).over(before), F.lit(0)))
     rows = rows.withColumn("refs", F.transform(attached, lambda p, i: F.struct(
-        (F.col("first_attached") + i).cast("int").alias("number"), p["type"].alias("kind"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"))))
+        (F.col("first_attached") + i).cast("int").alias("number"), p["type"].alias("kind"), p["ref"].alias("ref"), expanded(p).cast("int").alias("tokens"))))
     item = F.struct(
         "seq", "rendered", F.col("at").alias("start"), (F.col("at") + F.length("head")).alias("body_start"),
         F.length("body").cast("long").alias("body_length"), (F.col("role") == "assistant").alias("loss"), "refs",
@@ -121,7 +158,7 @@ def text_turns(conversations: DataFrame) -> DataFrame:
 
 def op9_format_chat(spark, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{own}'), (-1L, 1L, 'assistant', '{own}') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     back = read_back(format_conversations(text_turns(turns)))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

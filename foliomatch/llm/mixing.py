@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomatch.llm.common import WS, small, table, written
+from foliomatch.llm.common import WS, small, table, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -121,10 +121,12 @@ def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with the columns of docs."""
-    plan = mix_plan(sizes(docs, seed), weights, max_repeats).select(F.col("source").alias("_mix_source"), F.col("last_keys").alias("_mix_last"))
-    out = docs.join(small(plan), docs["source"].eqNullSafe(F.col("_mix_source")))
-    n = copies(shuffle_key(seed), F.col("_mix_last"))
-    return out.withColumn("_mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])
+    own, last, copy = unused(docs, "mix_source", "mix_last", "mix_copy")
+    plan = mix_plan(sizes(docs, seed), weights, max_repeats).select(F.col("source").alias(own), F.col("last_keys").alias(last))
+    out = docs.join(small(plan), F.col("source").eqNullSafe(F.col(own)))
+    n = copies(shuffle_key(seed), F.col(last))
+    times = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return out.withColumn(copy, F.explode(times)).select(*docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -4,47 +4,54 @@ A document's fingerprint has a bit set where over half of its shingles' hashes h
 further groups of 64 bits come from mixing the same hash anew). Documents are linked if their
 fingerprints differ in at most ``radius`` bits; groups are the connected components of the links.
 
-Candidates share a block of bits. With radius + 1 blocks (``exact_blocks``) no link can be missed. Rows of
-one block value are a bucket: its fingerprints are stored as vertical bit planes, 64 to a word, so one
+Candidates share blocks of bits: the bits are cut into m blocks, and fingerprints within the radius agree in
+m - radius of them, so every choice of that many blocks is a key and no link can be missed. m rises with the
+number of fingerprints (``block_count``), which keeps buckets, and so comparisons per document, of one size.
+Rows of one key are a bucket: its fingerprints are stored as vertical bit planes, 64 to a word, so one
 XOR compares a bit of one fingerprint with 64 others. Distances are kept in carry-save counters, also
 bit by bit; words in which every lane has exceeded the radius are abandoned.
 
 Scale: each document is read once for its fingerprint (bounded memory for any length), after that all
-tables are narrow. Copies fall together before any comparison. A bucket over ``BUCKET`` rows is dealt
-out as pairs of sub-blocks, so no task gets more than 2 x BUCKET rows and no pair is lost. A task
-reports a spanning forest of its links, not the links, so its output is at most its input. Components
-are found by passing on least labels with pointer jumping, on tables written to the shared folder.
+tables are narrow. Copies fall together before any comparison. A bucket over ``BUCKET`` rows is dealt out in
+parts (``bucket_links``): first each part is compared with itself; members outside the largest group so found
+are then compared with all parts. No link is lost, and a large group of copies costs about its size, not its
+square. A task reports a spanning forest of its links, not the links, so its output is at most its input.
+Components are found by passing on least labels with pointer jumping, on tables written to the shared folder.
+
+The pipeline's near copies (``close_groups``) have a Jaccard similarity of 0.8 or more of their sets of five-word
+shingles. Buckets are documents that share one of their rarest shingles (prefix filter: no link can be missed);
+there, bit-sliced comparison of 128-bit fingerprints of the sets proposes, with a radius over five standard
+deviations wide of the distance at 0.8; then whole sets are compared exactly within the groups so proposed.
 
 Defined cases: null, empty and blank texts have fingerprint 0, linked like any other. Fewer words than
 a shingle: the whole text is the one shingle. A null doc_id can't name a group; such a row gets the
-group of its fingerprint, if that has another row, else null. Repeated rows are copies. An empty table
-gives no rows. Other columns are ignored or returned as they are.
-
-The pipeline's near copies aren't estimated by fingerprints: close_groups compares sets of five-word
-shingles (as XXH64 values) exactly.
+group of its fingerprint, if that has another row, else null. Repeated rows are copies. Ties in a bit (set in
+exactly half) are 0. An empty table gives no rows. Other columns are ignored or returned as they are.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomatch.llm.common import BROADCAST_ROWS, small, table, written
+from foliomatch.llm.common import BROADCAST_ROWS, small, table, unused, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: For near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more. At 0.8 the sets'
-#: cosine is 8/9, so 512-bit fingerprints differ in 512 arccos(8/9) / pi = 78 bits at most on average, give
-#: or take 8, so a radius of 92 keeps them; at 0.7 in 98. Blocks of 10 or 11 bits of the first four groups give 24 chances to meet.
-NEAR = {"shingle": 5, "prints": 8, "radius": 92, "block_prints": 4, "block_bits": 10}
+#: Near copies: words of a shingle, groups of 64 bits of a fingerprint, and radius. At 0.8 the sets' cosine is 8/9, so
+#: 128 bits differ in 128 arccos(8/9) / pi = 19 bits on average, in 24 for the smallest sets, give or take 4.4.
+NEAR_SHINGLE, NEAR_PRINTS, NEAR_RADIUS = 5, 2, 48
 BUCKET = 16_384
-#: Slots of the counts that order shingles by rarity, and shingles of a group that one task compares.
-SLOTS, TASK_SHINGLES = 1 << 18, 4_000_000
+#: Rows that a bucket of one key holds on average, at most.
+KEY_ROWS = 64
+#: Least and most slots of the counts that order shingles by rarity, and shingles of a group that one task compares.
+SLOTS, MOST_SLOTS, TASK_SHINGLES = 1 << 18, 1 << 22, 4_000_000
 CHUNK_ROWS, CHUNK_PAIRS = 32_768, 32_768
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -75,8 +82,11 @@ def mixed(h: np.ndarray, i: int) -> np.ndarray:
 def fingerprint(text: bytes, k: int = SHINGLE, prints: int = 1, distinct: bool = False) -> list[int]:
     """Groups of 64 bits; distinct: of the set of shingles instead of all of them."""
     hashes = shingle_hashes(text, k)
-    if distinct:
-        hashes = np.unique(hashes)
+    return print_of(np.unique(hashes) if distinct else hashes, prints)
+
+
+def print_of(hashes: np.ndarray, prints: int) -> list[int]:
+    """The fingerprint of hashes."""
     n = len(hashes)
     if not n:
         return [0] * prints
@@ -108,15 +118,25 @@ def _names(prints: int) -> list[str]:
     return [f"p{i}" for i in range(prints)]
 
 
-def exact_blocks(radius: int, bits: int = 64) -> list[tuple[int, int]]:
-    """radius + 1 blocks (first bit, number of bits): fingerprints within the radius share one of them."""
-    cut = [bits * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+def block_count(n: int, radius: int = RADIUS, bits: int = 64) -> int:
+    """How many blocks to cut the bits into, so that buckets of n evenly spread fingerprints stay small."""
+    m = radius + 1
+    while m < 2 * radius and n / 2 ** (bits * (m - radius) / m) > KEY_ROWS:
+        m += 1
+    return m
+
+
+def exact_blocks(radius: int, bits: int = 64, m: int | None = None) -> list[int]:
+    """Masks of the bits: fingerprints within the radius agree under one of them at least. The bits are cut into m
+    blocks (least: radius + 1); each mask covers m - radius of them."""
+    m = m or radius + 1
+    cut = [bits * i // m for i in range(m + 1)]
+    block = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cut)]
+    return [sum(some) for some in itertools.combinations(block, m - radius)]
 
 
-def even_blocks(prints: int, width: int) -> list[tuple[int, int]]:
-    """Blocks of about the width, none across two groups of 64 bits."""
-    return [(64 * p + a, n) for p in range(prints) for a, n in exact_blocks(64 // width - 1)]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -251,24 +271,55 @@ def _runs(groups: int, radius: int):
     return run
 
 
-def linked(reps: DataFrame, prints: int, radius: int, blocks: list[tuple[int, int]], bucket: int = BUCKET) -> DataFrame:
+def _met(rows: DataFrame, prints: int, radius: int) -> DataFrame:
+    """Links of a forest of every bucket (band, key, i, j) of rows (band, key, i, j, rep, p0 ...)."""
+    ordered = rows.select("band", "key", "i", "j", "rep", *_names(prints))
+    ordered = ordered.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return ordered.mapInArrow(_runs(prints, radius), "a long, b long")
+
+
+def bucket_links(rows: DataFrame, large: DataFrame, prints: int, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links that join the same groups as all links within the buckets of rows (band, key, rep, p0 ...) do.
+
+    large: band, key, n of the buckets with more than `bucket` rows; they are dealt out in parts of half that."""
+    zero = F.lit(0).cast("long")
+    large = written(large.select("band", "key", F.ceil(F.col("n") / (bucket / 2)).cast("long").alias("parts")), "simhash-large")
+    if not large.count():
+        return _met(rows.withColumn("i", zero).withColumn("j", zero), prints, radius)
+    dealt = rows.join(small(large), ["band", "key"], "left")
+    dealt = dealt.withColumn("i", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), zero)).withColumn("j", zero)
+    first = written(_met(dealt, prints, radius), "simhash-first")
+    labels = components(first).toDF("rep", "label")
+    # members of a large bucket outside its largest group so far meet all its parts
+    hot = dealt.filter(F.col("parts").isNotNull()).drop("j").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    hot = written(hot, "simhash-hot")
+    main = hot.groupBy("band", "key", "label").count().groupBy("band", "key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    # every bucket left has one row here, and there are at most rows / bucket of them
+    main = written(main, "simhash-main")
+    apart = hot.join(small(main), ["band", "key"]).filter(F.col("label") != F.col("main"))
+    shares = apart.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / (bucket / 2)).cast("long").alias("shares"))
+    shares = written(shares, "simhash-shares")
+    each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    asked = hot.join(small(shares), ["band", "key"]).withColumn("j", each("shares"))
+    asking = apart.join(small(shares), ["band", "key"]).withColumn("j", F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.col("shares")))
+    asking = asking.drop("i").withColumn("i", each("parts"))
+    columns = ["band", "key", "i", "j", "rep", *_names(prints)]
+    second = _met(asked.select(*columns).union(asking.select(*columns)), prints, radius)
+    return first.union(second)
+
+
+def linked(reps: DataFrame, prints: int, radius: int, blocks: list[int], bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that join the same groups as all links between the fingerprints do."""
     names = _names(prints)
-    value = lambda first, n: F.shiftrightunsigned(F.col(names[first // 64]), first % 64).bitwiseAND(F.lit((1 << n) - 1))
-    keys = F.array(*[F.struct(F.lit(i).cast("long").alias("band"), value(a, n).alias("key")) for i, (a, n) in enumerate(blocks)])
+    full = (1 << 64) - 1
+
+    def key(mask: int) -> Column:
+        under = [F.col(p).bitwiseAND(F.lit(_signed(mask >> 64 * i & full))) for i, p in enumerate(names)]
+        return under[0] if len(under) == 1 else F.xxhash64(*under)
+
+    keys = F.array(*[F.struct(F.lit(i).cast("long").alias("band"), key(m).alias("key")) for i, m in enumerate(blocks)])
     rows = reps.filter(F.col("rep").isNotNull()).select("rep", *names, F.explode(keys).alias("k")).select("k.band", "k.key", "rep", *names)
-    large = written(rows.groupBy("band", "key").count().filter(F.col("count") > bucket), "simhash-large")
-    zero = F.lit(0).cast("long")
-    dealt = rows.withColumn("i", zero).withColumn("j", zero)
-    if large.count():
-        # a large bucket is cut into parts by hash; each pair of parts is a bucket of its own
-        large = large.select("band", "key", F.ceil(F.col("count") / (bucket / 2)).alias("parts"))
-        split = rows.join(small(large), ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-        split = split.withColumn("part", part).withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
-        dealt = split.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    ordered = dealt.select("band", "key", "i", "j", "rep", *names).repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return ordered.mapInArrow(_runs(prints, radius), "a long, b long")
+    return bucket_links(rows, rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket), prints, radius, bucket)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,22 +338,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1, blocks: list[tuple[int, int]] | None = None, bucket: int = BUCKET, distinct: bool = False) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1, blocks: list[int] | None = None, bucket: int = BUCKET, distinct: bool = False) -> DataFrame:
     """doc_id, p0 ..., component_id for every document."""
     names = _names(prints)
     made = written(fingerprints(docs, shingle, prints, distinct), "simhash-prints")
     reps = written(made.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    labels = components(linked(reps, prints, radius, blocks or exact_blocks(radius, 64 * prints), bucket))
+    blocks = blocks or exact_blocks(radius, 64 * prints, block_count(reps.count(), radius, 64 * prints))
+    labels = components(linked(reps, prints, radius, blocks, bucket))
     named = reps.join(labels, reps["rep"] == labels["v"], "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
     return made.join(named, names).select("doc_id", *names, "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int, prints: int, radius: int, block_prints: int, block_bits: int) -> DataFrame:
-    """Groups by wider fingerprints of shingle sets, for similarities too low for radius + 1 wide blocks. An estimate;
-    the pipeline takes close_groups instead."""
-    return groups(docs, shingle, radius, prints, even_blocks(block_prints, block_bits), distinct=True)
-
-
 def prefix_length(n: int) -> int:
     """Sets of which 4/5 is common share one of this many first members in any common order."""
     return n - (4 * n + 4) // 5 + 1
@@ -314,9 +360,10 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
-def close_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Places of sets that are alike: links that join the same groups as all such pairs do. Pairs that are
-    joined already aren't compared; all others that the sizes and the rarest members allow are."""
+def close_links(sets: list[np.ndarray], asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Places of sets that are alike: links that join the same groups as all such pairs do (asks: all pairs with
+    one that asks). Pairs that are joined already aren't compared; all others that the sizes and the rarest
+    members allow are."""
     if len(sets) < 2:
         return []
     _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -334,10 +381,15 @@ def close_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n = len(sets[i])
         own = which[ends[i] - n : ends[i]]
         first = own[np.lexsort((own, count[own]))[: prefix_length(n)]].tolist()
-        for j in sorted({j for x in first for j in index.get(x, ()) if 5 * len(sets[j]) >= 4 * n}):
-            if top(i) != top(j) and alike(sets[i], sets[j]):
-                parent[top(i)] = top(j)
-                out.append((i, j))
+        seen: set[int] = set()
+        for x in first:
+            for j in index.get(x, ()):
+                if j in seen or 5 * len(sets[j]) < 4 * n:
+                    continue
+                seen.add(j)
+                if (asks is None or asks[i] or asks[j]) and top(i) != top(j) and alike(sets[i], sets[j]):
+                    parent[top(i)] = top(j)
+                    out.append((i, j))
         for x in first:
             index.setdefault(x, []).append(i)
     return out
@@ -347,85 +399,114 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode(), k))
 
 
-def _rarity(texts: DataFrame, k: int) -> np.ndarray:
-    """How many of the texts' shingles fall into each of a fixed number of slots. It only orders shingles, rare
-    ones first, so shared slots cost time and no link."""
+def slots_for(n: int) -> int:
+    """Slots of shingle counts for n documents."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << max(0, n // 4).bit_length()))
+
+
+def _rarity(texts: DataFrame, k: int, slots: int) -> np.ndarray:
+    """How many of the texts' shingles fall into each slot. It orders shingles, rare ones first, and bounds how many
+    texts share one, so shared slots cost time and no link. What the driver gets is bounded by the slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(slots, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                counts += np.bincount((_shingle_set(text.as_py(), k) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                counts += np.bincount((_shingle_set(text.as_py(), k) % np.uint64(slots)).astype(np.int64), minlength=slots)
         some = np.flatnonzero(counts)
         for at in range(0, len(some), 1 << 15):
             yield pa.RecordBatch.from_arrays([pa.array(some[at : at + (1 << 15)]), pa.array(counts[some[at : at + (1 << 15)]])], names=["slot", "n"])
 
     rows = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SLOTS, np.int64)
+    out = np.zeros(slots, np.int64)
     out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
-def _prefixes(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, digest of the text, key (a digest of the shingle set), size and rarest shingles of every text."""
-    rarity = _rarity(texts.select("text"), k)
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def _prefixes(texts: DataFrame, k: int, bucket: int) -> DataFrame:
+    """doc_id, digest of the text, key (a digest of the shingle set), rep (64 bits of it), size, rarest shingles, those
+    of them that more than `bucket` texts may share, and fingerprint of every text."""
+    slots = slots_for(texts.count())
+    rarity = _rarity(texts.select("text"), k, slots)
+    names = _names(NEAR_PRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, sizes, first = [], [], []
+                keys, sizes, first, hot, prints = [], [], [], [], []
                 for text in part.column(2):
                     s = _shingle_set(text.as_py(), k)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    first.append(s[np.lexsort((s, rarity[(s % np.uint64(SLOTS)).astype(np.int64)]))[: prefix_length(len(s))]].view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "digest", "key", "size", "first"])
+                    count = rarity[(s % np.uint64(slots)).astype(np.int64)]
+                    rarest = np.lexsort((s, count))[: prefix_length(len(s))]
+                    first.append(s[rarest])
+                    hot.append(s[rarest[count[rarest] > bucket]])
+                    prints.append(print_of(s, NEAR_PRINTS))
+                own = np.array(prints, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([int.from_bytes(x[:8], "big", signed=True) for x in keys], pa.int64()), pa.array(sizes, pa.int64()), _lists(first), _lists(hot), *[pa.array(own[:, i]) for i in range(NEAR_PRINTS)]],
+                    names=["doc_id", "digest", "key", "rep", "size", "first", "hot", *names],
+                )
 
-    return texts.mapInArrow(run, "doc_id long, digest string, key binary, size long, first array<long>")
+    return texts.mapInArrow(run, "doc_id long, digest string, key binary, rep long, size long, first array<long>, hot array<long>, " + ", ".join(f"{p} long" for p in names))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (label, i, j, key, set) sorted by label, i and j: links (a, b) between keys."""
+    """Over rows (label, i, j, key, set, asks) sorted by label, i and j: links (a, b) between keys."""
 
-    def links(keys: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if found := close_links(sets):
+    def links(keys: list[bytes], sets: list[np.ndarray], asks: list[bool]) -> Iterator[pa.RecordBatch]:
+        if found := [(x, y) for x, y in close_links(sets, asks) if keys[x] != keys[y]]:
             yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in found], pa.binary()), pa.array([keys[y] for _, y in found], pa.binary())], names=["a", "b"])
 
-    now, keys, sets = None, [], []
+    now, keys, sets, asks = None, [], [], []
     for batch in batches:
-        label, i, j, key, members = batch.columns
+        label, i, j, key, members, asking = batch.columns
         for row in range(batch.num_rows):
             at = (label[row].as_py(), i[row].as_py(), j[row].as_py())
             if at != now:
-                yield from links(keys, sets)
-                now, keys, sets = at, [], []
+                yield from links(keys, sets, asks)
+                now, keys, sets, asks = at, [], [], []
             keys.append(key[row].as_py())
             sets.append(np.array(members[row].values).view(np.uint64))
-    yield from links(keys, sets)
+            asks.append(asking[row].as_py())
+    yield from links(keys, sets, asks)
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Links between the sets of every (label, i, j) of rows (label, i, j, key, members, asks)."""
+    rows = rows.select("label", "i", "j", "key", "members", "asks").repartition("label", "i", "j")
+    return rows.sortWithinPartitions("label", "i", "j", "key").mapInArrow(_verified, "a binary, b binary")
 
 
-def close_groups(docs: DataFrame, k: int = NEAR["shingle"], most: int = TASK_SHINGLES) -> DataFrame:
+def close_groups(docs: DataFrame, k: int = NEAR_SHINGLE, most: int = TASK_SHINGLES, bucket: int = BUCKET) -> DataFrame:
     """doc_id, digest of the text and label of every document; labels are equal where links join the documents.
 
-    Documents are linked if the Jaccard similarity of their sets of k-word shingles is 0.8 or more. Each set's
-    rarest shingles (prefix_length of them) propose: no link can be missed. Of the documents that share one, each
-    meets the next one by size only, which joins candidates to groups without listing pairs. Then whole sets are
-    compared within such groups. A group with more than ``most`` shingles is dealt out as pairs of its parts."""
+    Documents are linked if the Jaccard similarity of their sets of k-word shingles is 0.8 or more. Bit-sliced
+    comparison among the documents that share a rare shingle proposes groups, in which whole sets are compared. A
+    group with more than ``most`` shingles is dealt out in parts, as large buckets are."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest"), docs["text"].cast("string").alias("text"))
-    rows = written(_prefixes(texts, k), "near-prefixes")
-    sets = rows.select("key", "size", "first").dropDuplicates(["key"])
-    by = W.partitionBy("shingle").orderBy("size", "key")
-    met = sets.select("key", "size", F.explode("first").alias("shingle")).select("key", "size", F.lag("key").over(by).alias("other"), F.lag("size").over(by).alias("less"))
-    maybe = components(met.filter(F.col("less") * 5 >= F.col("size") * 4).select(F.col("key").alias("a"), F.col("other").alias("b")))
+    rows = written(_prefixes(texts, k, bucket), "near-prefixes")
+    names = _names(NEAR_PRINTS)
+    sets = rows.select("rep", "first", "hot", *names).dropDuplicates(["rep"])
+    band = F.lit(0).cast("long").alias("band")
+    shared = sets.select(band, F.explode("first").alias("key"), "rep", *names)
+    hot = sets.select(band, F.explode("hot").alias("key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
+    maybe = components(bucket_links(shared, hot, NEAR_PRINTS, NEAR_RADIUS, bucket))
     # one text of each candidate set
-    named = rows.groupBy("key").agg(F.min("digest").alias("_digest"), F.first("size").alias("size")).join(maybe, F.col("key") == F.col("v")).select("_digest", "key", "size", "label")
+    named = rows.groupBy("key").agg(F.min("digest").alias("_digest"), F.first("size").alias("size"), F.first("rep").alias("rep")).join(maybe, F.col("rep") == F.col("v")).select("_digest", "key", "size", "label")
     named = written(named, "near-members")
     zero = F.lit(0).cast("long")
-    large = named.groupBy("label").agg(F.sum("size").alias("n")).filter(F.col("n") > most).select("label", F.ceil(F.col("n") / (most / 2)).alias("parts"))
-    named = named.join(small(written(large, "near-large")), "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    held = texts.join(small(written(named, "near-dealt")), F.col("digest") == F.col("_digest")).select("digest", "label", "key", "parts", "text").dropDuplicates(["digest"])
+    large = named.groupBy("label").agg(F.sum("size").alias("n")).filter(F.col("n") > most).select("label", F.ceil(F.col("n") / (most / 2)).cast("long").alias("parts"))
+    large = written(large, "near-large")
+    named = written(named.join(small(large), "label", "left"), "near-dealt")
+    held = texts.join(small(named), F.col("digest") == F.col("_digest")).select("digest", "label", "key", "parts", "text").dropDuplicates(["digest"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -434,12 +515,31 @@ def close_groups(docs: DataFrame, k: int = NEAR["shingle"], most: int = TASK_SHI
                 members = pa.array([_shingle_set(t.as_py(), k).view(np.int64) for t in part.column(3)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), members], names=["label", "key", "parts", "members"])
 
-    full = held.select("label", "key", "parts", "text").mapInArrow(whole, "label binary, key binary, parts long, members array<long>")
-    part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    dealt = full.withColumn("part", part).withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
-    dealt = dealt.select("label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "members")
-    links = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key").mapInArrow(_verified, "a binary, b binary")
-    labels = components(links)
+    full = held.select("label", "key", "parts", "text").mapInArrow(whole, "label long, key binary, parts long, members array<long>")
+    if not large.count():
+        links = _compared(full.withColumn("i", zero).withColumn("j", zero).withColumn("asks", F.lit(True)))
+        return _labelled(rows, components(links))
+    full = full.withColumn("i", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), zero)).withColumn("j", zero)
+    full = written(full, "near-sets")
+    first = written(_compared(full.withColumn("asks", F.lit(True))), "near-first")
+    # sets of a large group outside its largest group of links so far meet all its parts
+    joined = components(first).toDF("key", "group")
+    parted = full.filter(F.col("parts").isNotNull()).drop("j").join(joined, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    parted = written(parted, "near-parted")
+    main = parted.groupBy("label", "group").count().groupBy("label").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
+    apart = parted.join(small(written(main, "near-main")), "label").filter(F.col("group") != F.col("main"))
+    shares = apart.groupBy("label").agg(F.ceil(F.sum(F.size("members")) / (most / 2)).cast("long").alias("shares"))
+    shares = written(shares, "near-shares")
+    each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    asked = parted.join(small(shares), "label").withColumn("j", each("shares")).withColumn("asks", F.lit(False))
+    asking = apart.join(small(shares), "label").withColumn("j", F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.col("shares")))
+    asking = asking.drop("i").withColumn("i", each("parts")).withColumn("asks", F.lit(True))
+    columns = ["label", "i", "j", "key", "members", "asks"]
+    second = _compared(asked.select(*columns).union(asking.select(*columns)))
+    return _labelled(rows, components(first.union(second)))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "digest", "key").join(labels, F.col("key") == F.col("v"), "left").select("doc_id", "digest", F.coalesce("label", "key").alias("label"))
 
 
@@ -451,17 +551,18 @@ def without_copies(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("label", F.col("doc_id").isNull()).orderBy("doc_id", "digest"))
     found = written(found.withColumn("place", place), "near-rows")
     key = lambda c: F.struct(F.coalesce(c, F.lit(0)), c.isNull())
-    rows = docs.withColumn("_digest", F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn("_id", key(docs["doc_id"].cast("long")))
-    gone = written(found.filter("place > 1").select(key(F.col("doc_id")).alias("_id"), F.col("digest").alias("_digest")), "near-gone")
-    out = rows.join(small(gone), ["_id", "_digest"], "left_anti")
-    again = written(found.filter("place = 1 and count > 1").select(key(F.col("doc_id")).alias("_id"), F.col("digest").alias("_digest")), "near-again")
+    own, digest, turn = unused(docs, "copy_id", "copy_digest", "copy_turn")
+    rows = docs.withColumn(digest, F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn(own, key(docs["doc_id"].cast("long")))
+    gone = written(found.filter("place > 1").select(key(F.col("doc_id")).alias(own), F.col("digest").alias(digest)), "near-gone")
+    out = rows.join(small(gone), [own, digest], "left_anti")
+    again = written(found.filter("place = 1 and count > 1").select(key(F.col("doc_id")).alias(own), F.col("digest").alias(digest)), "near-again")
     n = again.count()
     if not n:
         return out.select(*docs.columns)
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
-    single = out.join(again, ["_id", "_digest"], "left_anti")
-    first = F.row_number().over(W.partitionBy("_id", "_digest").orderBy("text"))
-    repeated = out.join(again, ["_id", "_digest"], "left_semi").withColumn("_first", first).filter("_first = 1")
+    single = out.join(again, [own, digest], "left_anti")
+    first = F.row_number().over(W.partitionBy(own, digest).orderBy("text"))
+    repeated = out.join(again, [own, digest], "left_semi").withColumn(turn, first).filter(F.col(turn) == 1)
     return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
