@@ -15,16 +15,22 @@ Plain text: comments, scripts, styles and templates go; block-level tags end a l
 character references are decoded once; runs of blanks become one, empty lines go. A payload whose
 Content-Type isn't HTML or XHTML is text as it is, but for blanks; without a Content-Type it counts as HTML.
 
-Everything is a column expression: one scan, no shuffle, whatever the number or size of the pages.
+Header values (ids, URIs, dates, source header lines) can't begin lines of their own: line breaks in them become
+blanks. Character references are those of HTML 5 that end in a semicolon, and numeric ones; others stay as they
+are. A tag holds no ``<``; what looks like one and isn't closed before the next ``<`` is text. Digests are SHA-256 in
+hexadecimal (``sha256:``), where many writers use SHA-1 in base 32.
+
+Everything is a column expression: one scan, no shuffle, whatever the number or size of the pages. Patterns
+take time in proportion to a page's length.
 
 Defined cases: a null block is an empty one, which gives records with empty text and an empty status;
 a block without an empty line is all headers; null ids, URIs and dates are empty header values.
-Repeated rows give repeated records; an empty table gives an empty result; other columns are ignored.
+Repeated rows give repeated records; an empty table gives an empty result; other columns are ignored. There are no ties.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,37 +42,38 @@ BLOCK_TAGS = (
     "address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul"
 ).split()
-DROPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</(?:script|style|template|noscript)\s*>|\z)"
-LINE = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
-TAG = r"<[/!?a-zA-Z][^>]*>"
+DROPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b[^<>]*+>.*?(?:</(?:script|style|template|noscript)\s*+>|\z)"
+LINE = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^<>]*+)?+>"
+TAG = r"<[/!?a-zA-Z][^<>]*+>"
+LINK = r"(?i)<a\s[^<>]*?href=\"([^\"<>]*)\""
+TITLE = r"(?is)<title[^<>]*+>([^<]*)"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 OTHER_REFERENCE = REFERENCE.replace("[a-zA-Z][", "(?!amp;)[a-zA-Z][")
 CRLF = "\r\n"
+#: What HTML's names stand for; the commonest are looked at first, as looking one up costs their number.
+NAMES = {k[:-1]: " " if v == "\xa0" else v for k, v in sorted(html5.items()) if k.endswith(";")}
+COMMON = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "bull", "raquo", "laquo", "reg", "trade")
 
 
-def _code_point(ref: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in sorted(name2codepoint.items()) for x in pair])
+def _decoded(ref: Column) -> Column:
+    """What a reference stands for, itself if that isn't known."""
+    # one literal text that Spark folds into a map: thousands of literals would be slow to plan
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in NAMES.items())), F.lit("\x01"), F.lit("\x02"))
     body = F.substring(ref, 2, F.length(ref) - 2)
-    return (
-        F.when(body == "amp", F.lit(38).cast("long"))
-        .when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("long"))
-        .when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body)).cast("long"))
-        .otherwise(F.try_element_at(names, body).cast("long"))
-    )
-
-
-def _decoded(r: Column) -> Column:
-    cp = r["cp"]
-    valid = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-    return F.when(cp == 160, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(r["ref"])
+    point = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("long")).otherwise(F.substring(body, F.lit(2), F.length(body)).cast("long"))
+    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    char = F.when(point == 160, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(ref)
+    out = F.when(body.startswith("#"), char)
+    for name in COMMON:
+        out = out.when(body == name, NAMES[name])
+    return out.otherwise(F.coalesce(F.try_element_at(names, body), ref))
 
 
 def unescape(text: Column) -> Column:
     """Decode every character reference once; a no-break space becomes a blank. text should be a stored
     column: it is read more than once. Most texts have no reference, or none but &amp;."""
     pieces, refs = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    known = F.transform(refs, lambda ref: F.struct(ref.alias("ref"), _code_point(ref).alias("cp")))
-    decoded = F.concat(F.transform(known, _decoded), F.array(F.lit("")))
+    decoded = F.concat(F.transform(refs, _decoded), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, b)), "")
     return F.when(~F.contains(text, F.lit("&")), text).when(~text.rlike(OTHER_REFERENCE), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(joined)
 
@@ -95,7 +102,8 @@ def derive(responses: DataFrame) -> DataFrame:
     """Two rows a response: record_id, record_type, refers_to, target_uri, date, content_type, block,
     content_length, block_digest, source_payload_digest, record (the record as it stands in a file)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    r = responses.select(text("record_id").alias("rid"), text("target_uri").alias("uri"), text("date").alias("date"), text("block").alias("raw"))
+    one_line = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")
+    r = responses.select(one_line(text("record_id")).alias("rid"), one_line(text("target_uri")).alias("uri"), one_line(text("date")).alias("date"), text("block").alias("raw"))
     cut = F.instr("raw", CRLF + CRLF)
     r = r.select(
         "rid", "uri", "date",
@@ -109,19 +117,19 @@ def derive(responses: DataFrame) -> DataFrame:
     is_html = F.col("html")
     # each step is a column of its own, so that what is read twice is computed once
     r = r.withColumn("bare", F.when(is_html, bare_text(F.col("payload"))).otherwise(F.col("payload")))
-    r = r.withColumn("bare_title", F.when(is_html, F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1)).otherwise(""))
+    r = r.withColumn("bare_title", F.when(is_html, F.regexp_extract("payload", TITLE, 1)).otherwise(""))
     r = r.withColumn("text", _tidy(F.when(is_html, unescape(F.col("bare"))).otherwise(F.col("bare"))))
-    links = F.when(is_html, F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*?href=\"([^\">]*)\""), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    links = F.when(is_html, F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))).otherwise(F.array().cast("array<string>"))
     title = _tidy(unescape(F.col("bare_title")))
     r = r.withColumn("links", links).withColumn("lines", F.split("head", CRLF))
     links, lines = F.col("links"), F.col("lines")
-    headers = F.array_join(F.transform(F.slice(lines, 2, 1_000_000), lambda h: F.concat(F.lit("http-header: "), h, F.lit(CRLF))), "")
+    headers = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), lambda h: F.concat(F.lit("http-header: "), one_line(h), F.lit(CRLF))), "")
     fields = F.concat(
-        F.lit("http-status: "), F.element_at(lines, 1), F.lit(CRLF), headers,
+        F.lit("http-status: "), one_line(F.element_at(lines, 1)), F.lit(CRLF), headers,
         F.lit("payload-length: "), _octets(F.col("payload")).cast("string"), F.lit(CRLF),
         F.lit("payload-digest: "), F.col("digest"), F.lit(CRLF), F.lit("title: "), F.replace(title, F.lit("\n"), F.lit(" ")), F.lit(CRLF),
         F.lit("n-outlinks: "), F.size(links).cast("string"), F.lit(CRLF),
-        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(u, r"[\r\n]+", " "), F.lit(CRLF))), ""),
+        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), one_line(u), F.lit(CRLF))), ""),
     )
     one = lambda t, mime, block: F.struct(F.lit(t).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
     r = r.withColumn("made", F.explode(F.array(one("metadata", "application/warc-fields", fields), one("conversion", "text/plain", F.col("text")))))
@@ -161,13 +169,17 @@ def _sql_uuid(h: str) -> str:
     return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-8' || {h}[18:20] || '-' || {h}[21:32] || '>'"
 
 
+def _re2(pattern: str) -> str:
+    """The pattern without possessive marks, which DuckDB's engine lacks and doesn't need."""
+    return pattern.replace("*+", "*").replace("?+", "?")
+
+
 def _sql_unescape(x: str) -> str:
-    names = ", ".join(f"'{k}': {v}" for k, v in sorted(name2codepoint.items()))
     # DuckDB has no split by expression: references are marked off by a private character first
     parts = rf"string_split(regexp_replace({x}, '({REFERENCE})', chr(57345) || '\1' || chr(57345), 'g'), chr(57345))"
-    cp = rf"CASE WHEN regexp_matches(s, '^&#[xX]') THEN ('0x' || s[4:-2])::BIGINT WHEN s LIKE '&#%' THEN s[3:-2]::BIGINT ELSE MAP {{{names}}}[s[2:-2]] END"
+    cp = r"CASE WHEN regexp_matches(s, '^&#[xX]') THEN ('0x' || s[4:-2])::BIGINT ELSE s[3:-2]::BIGINT END"
     one = (
-        rf"CASE WHEN NOT regexp_full_match(s, '{REFERENCE}') THEN s WHEN ({cp}) = 160 THEN ' ' "
+        rf"CASE WHEN NOT regexp_full_match(s, '{REFERENCE}') THEN s WHEN NOT s LIKE '&#%' THEN coalesce(names[s[2:-2]], s) WHEN ({cp}) = 160 THEN ' ' "
         rf"WHEN ({cp}) BETWEEN 1 AND 1114111 AND NOT ({cp}) BETWEEN 55296 AND 57343 THEN chr(({cp})::INT) ELSE s END"
     )
     return f"array_to_string(list_transform({parts}, lambda s: {one}), '')"
@@ -177,14 +189,19 @@ def _sql_tidy(x: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')"
 
 
+def _sql_text(s: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in s)
+
+
 _NL = "chr(13) || chr(10)"
 OP1_SQL = rf"""
-WITH p AS (SELECT coalesce(page_id::VARCHAR, '') AS id, coalesce(url, '') AS uri, coalesce(html, '') AS payload,
-             sha256('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h FROM pages),
+WITH n AS (SELECT MAP {{{", ".join(f"'{k}': {_sql_text(v)}" for k, v in NAMES.items())}}} AS names),
+p AS (SELECT coalesce(page_id::VARCHAR, '') AS id, coalesce(url, '') AS uri, coalesce(html, '') AS payload,
+             sha256('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h, names FROM pages, n),
 q AS (SELECT *, {_sql_uuid('h')} AS rid, 'sha256:' || sha256(payload) AS digest,
-        regexp_extract_all(payload, '(?i)<a\s[^>]*?href="([^">]*)"', 1) AS links,
-        {_sql_tidy(_sql_unescape(r"regexp_extract(payload, '(?is)<title[^>]*>([^<]*)', 1)"))} AS title,
-        regexp_replace(regexp_replace(regexp_replace(payload, '{DROPPED}', ' ', 'g'), '{LINE}', chr(10), 'g'), '{TAG}', '', 'g') AS bare FROM p),
+        regexp_extract_all(payload, '{LINK}', 1) AS links,
+        {_sql_tidy(_sql_unescape(rf"regexp_extract(payload, '{_re2(TITLE)}', 1)"))} AS title,
+        regexp_replace(regexp_replace(regexp_replace(payload, '{_re2(DROPPED)}', ' ', 'g'), '{_re2(LINE)}', chr(10), 'g'), '{_re2(TAG)}', '', 'g') AS bare FROM p),
 b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
         'http-status: HTTP/1.1 200 OK' || {_NL} || 'http-header: Content-Type: text/html; charset=utf-8' || {_NL}
         || 'http-header: Content-Length: ' || strlen(payload) || {_NL} || 'http-header: X-Page: ' || id || {_NL}
