@@ -24,7 +24,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format. n_chars stays the original's."""
-    return pii.pseudonymise(docs).select(*docs.columns)
+    return pii.pseudonymise(docs, pii.configured_key(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
