@@ -1,28 +1,36 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
 Each word is predicted from the two words before it and the two after it. The network sums an embedding
-per neighbour and place, applies tanh and predicts the word in two steps, its class among 32, then the
-word among the 32 of the class. A document's score is the sum of the logarithms of these conditional
-probabilities over all its words.
+per neighbour and place, applies tanh and predicts an id in two steps, its class, then the id among those
+of the class. A frequent word has an id of its own; the others share ids, and a word's part of its id's
+probability is its part of the id's count in the corpus. So every word has a probability of its own. A document's
+score is the sum of the logarithms of these conditional probabilities over all its words.
 
-Words are lower-cased runs of characters other than ASCII white space, hashed to 2^18 buckets. The
-buckets' counts over the whole corpus give the vocabulary: the most frequent 896 have an id each, the
-others share 128 ids. Ids are in order of frequency, so classes hold words of like frequency.
+Words are lower-cased runs of characters other than ASCII white space, known by a 32-bit hash. All are
+counted over the whole corpus, in a written table. The number of ids grows with the number of distinct words
+(``class_count``), and so does the table of the rarer words' counts (``Vocabulary.counts``): one byte a slot, exact
+to 63 and within 5 % above, four slots a distinct word up to 2^26 slots (64 MB; beyond, words share slots). A word
+that was never counted takes half an occurrence.
 
-Training runs in numpy, one pass over all words: each task trains a copy on all the words it reads, from
-a common start whose biases are the corpus's frequencies, and the copies are averaged by their numbers of
-words, first in groups on the executors, then on the driver. A copy has a fixed size (0.3 MB), so memory
-doesn't grow with the corpus; what is gathered does, with the number of tasks.
+Training runs in numpy in ``ROUNDS`` passes over all words. Documents are dealt by hash to copies of the network,
+one for about ``COPY_WORDS`` words, which train on them in the order of their hashes from a common start, whose
+biases are the corpus's frequencies; copies are averaged by their numbers of words, ``FAN`` at a time, and the
+average is where the next pass starts. Neither the partitions of the input nor the cluster's size change the result.
+
+Scale: texts are read once for a narrow table of hashes. A copy has a fixed size for a given number of ids, so no
+task's memory grows with the corpus; the number of copies does, and the driver gets ``FAN`` of them at most.
 
 Defined cases: null, empty and blank texts have no words, the sum 0 and a null mean. Texts shorter than
-the window see boundary marks. Repeated rows count and are scored each. An empty table trains nothing
-and gives no rows. Columns beyond doc_id and text are ignored.
+the window see boundary marks. Repeated rows count and are scored each; rows with the same id and text go to
+one copy. Ties in frequency go to the smaller hash. An empty table trains nothing and gives no rows. Columns beyond
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,117 +42,225 @@ from pyspark.sql import functions as F
 
 from foliomatch.llm.common import table, text_slices, written
 
-BUCKETS = 1 << 18
-CLASSES, IN_CLASS = 32, 32
-VOCABULARY = CLASSES * IN_CLASS
-SHARED = 128
+CLASSES = 32
 WINDOW = (-2, -1, 1, 2)
 SIZE = 16
-STEP_WORDS, RATE = 8_192, 0.5
-SLICE_BYTES = 1 << 24
-
-
-def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of every word of the texts, one after the other, and each word's text."""
+STEP_WORDS, RATE = 8_192, 0.05
+COPY_WORDS, ROUNDS, FAN = 2_000_000, 2, 64
+SLICE_BYTES, SLICE_WORDS = 1 << 24, 1 << 20
+#: Slots of the rarer words' counts, at least and at most, and slots that one row of their table holds.
+LEAST_SLOTS, MOST_SLOTS, ROW_SLOTS = 1 << 18, 1 << 26, 1 << 16
+#: Distinct words a task counts before it passes them on.
+HELD_WORDS = 1 << 20
+UNSEEN = 0.5
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts (uint32), one after the other, and each word's text."""
     texts = pc.ascii_lower(texts)
     for ws in ("\t", "\n", "\r", "\x0b", "\x0c"):
         texts = pc.replace_substring(texts, ws, " ")
     split = pc.split_pattern(texts, " ")
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    of_word = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS if w else -1 for w in words), np.int64, len(words))
+    of_word = np.fromiter((xxhash.xxh32_intdigest(w) if w else -1 for w in words), np.int64, len(words))
     found = of_word[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
     text_of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(split.offsets).astype(np.int64)))
-    return found[found >= 0], text_of[found >= 0]
+    return found[found >= 0].astype(np.uint32), text_of[found >= 0]
+
 
+def _binaries(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The parts of a flat array as binary values."""
+    raw = flat.tobytes()
+    at = (np.concatenate([[0], ends]) * flat.itemsize).tolist()
+    return pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
-def count_buckets(docs: DataFrame) -> np.ndarray:
-    """Counts of all buckets over the whole corpus."""
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text), words (hashes of all words) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for _, texts in text_slices(batches, SLICE_BYTES):
-            counts += np.bincount(word_buckets(texts)[0], minlength=BUCKETS)
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 1 << 15):
-            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + (1 << 15)]), pa.array(counts[some[at : at + (1 << 15)]])], names=["bucket", "n"])
-
-    rows = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
-
-
-def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The id of every bucket, and the count of every id; ids are in order of falling counts."""
-    order = np.argsort(-counts, kind="stable")
-    own = VOCABULARY - SHARED
-    first = np.empty(BUCKETS, np.int64)
-    first[order[:own]] = np.arange(own)
-    first[order[own:]] = own + order[own:] % SHARED
-    of_id = np.bincount(first, weights=counts, minlength=VOCABULARY)
-    rank = np.empty(VOCABULARY, np.int64)
-    rank[np.argsort(-of_id, kind="stable")] = np.arange(VOCABULARY)
-    return rank[first].astype(np.int16), np.sort(of_id)[::-1]
+        for ids, texts in text_slices(batches, SLICE_BYTES):
+            words, text_of = word_hashes(texts)
+            ends = np.cumsum(np.bincount(text_of, minlength=len(texts)))
+            h = [xxhash.xxh3_64_intdigest(t.as_buffer() or b"") - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h, pa.int64()), _binaries(words, ends)], names=["doc_id", "h", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, words binary")
+
+
+def _word_slices(batches: Iterator[pa.RecordBatch], at: int, kind) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches of about SLICE_WORDS words, their words one after the other and each word's row in the part."""
+    for batch in batches:
+        sizes = np.asarray(pc.binary_length(batch.column(at))).astype(np.int64) // np.dtype(kind).itemsize
+        n, a = np.cumsum(sizes), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(n, (n[a - 1] if a else 0) + SLICE_WORDS)))
+            words = np.frombuffer(b"".join(batch.column(at).slice(a, b - a).to_pylist()), kind)
+            yield batch.slice(a, b - a), words, np.repeat(np.arange(b - a), sizes[a:b])
+            a = b
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """word, n: counts of all words over the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(words), 1 << 15):
+                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + (1 << 15)].astype(np.int64)), pa.array(counts[a : a + (1 << 15)])], names=["word", "n"])
+
+        for _, found, _ in _word_slices(batches, 0, np.uint32):
+            some, n = np.unique(found, return_counts=True)
+            words, which = np.unique(np.concatenate([words, some]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([counts, n]), len(words)).astype(np.int64)
+            if len(words) > HELD_WORDS:
+                yield from out()
+                words, counts = words[:0], counts[:0]
+        yield from out()
+
+    return rows.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def class_count(types: int) -> int:
+    """Classes of ids, and ids of a class, for a number of distinct words: 1024 ids to 4 million words, then doubled
+    with every 16 times as many words, to 65,536."""
+    return min(256, CLASSES << max(0, math.ceil(math.log(max(types, 1) / (1 << 22), 16))))
+
+
+def _as_byte(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact to 63, then eight steps for every doubling."""
+    n = np.asarray(n, np.float64)
+    return np.where(n < 64, n, np.minimum(64 + np.round(8 * np.log2(np.maximum(n, 64) / 64)), 255)).astype(np.uint8)
+
+
+_OF_BYTE = np.concatenate([[UNSEEN], np.arange(1, 64), 64 * 2 ** (np.arange(192) / 8)])
+
+
+@dataclass
+class Vocabulary:
+    """Ids of words. own: the hashes, in order, of words with an id of their own, and their ids; shared: the ids that the
+    others share; of_id: the count of every id, falling; counts: of the others' slots, as bytes."""
+
+    classes: int
+    own: np.ndarray
+    own_id: np.ndarray
+    shared: np.ndarray
+    of_id: np.ndarray
+    counts: np.ndarray
+
+    def ids(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and logarithms of their parts of their ids."""
+        out = self.shared[_share(words, len(self.shared))]
+        part = np.log(_OF_BYTE[self.counts[_slot(words, len(self.counts))]] / np.maximum(self.of_id[out], 1))
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
+            mine = self.own[at] == words
+            out, part = np.where(mine, self.own_id[at], out), np.where(mine, 0.0, part)
+        return out, np.minimum(part, 0.0)
+
+
+def _share(words: np.ndarray, n: int) -> np.ndarray:
+    return ((words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
+
+
+def _slot(words: np.ndarray, n: int) -> np.ndarray:
+    return (words & np.uint32(n - 1)).astype(np.int64)
+
+
+def vocabulary(words: DataFrame) -> tuple[Vocabulary, int]:
+    """From the written counts (word, n): the vocabulary and the number of words in the corpus."""
+    types, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = class_count(types)
+    size, shares = classes * classes, classes * classes // 8
+    top = words.orderBy(F.col("n").desc(), "word").limit(size - shares).toPandas()
+    own = top["word"].to_numpy(np.int64).astype(np.uint32)
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << max(0, 4 * types - 1).bit_length()))
+    rest = words.join(F.broadcast(words.sparkSession.createDataFrame(top[["word"]]) if len(top) else words.select("word").limit(0)), "word", "left_anti")
+
+    def row(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        words_ = part["word"].to_numpy(np.int64).astype(np.uint32)
+        n = np.bincount(_slot(words_, slots) % ROW_SLOTS, part["n"], ROW_SLOTS)
+        by_share = np.bincount(_share(words_, shares), part["n"], shares)
+        return pd.DataFrame({"at": [key[0]], "counts": [_as_byte(n).tobytes()], "shares": [by_share.tobytes()]})
+
+    # a row holds at most ROW_SLOTS slots, so a group has about a quarter of that many words
+    at = F.floor(F.pmod("word", F.lit(slots)) / ROW_SLOTS).cast("long")
+    counts, by_share = np.zeros(slots, np.uint8), np.zeros(shares)
+    for r in rest.groupBy(at.alias("at")).applyInPandas(row, "at long, counts binary, shares binary").toLocalIterator():
+        counts[r["at"] * ROW_SLOTS : (r["at"] + 1) * ROW_SLOTS] = np.frombuffer(r["counts"], np.uint8)
+        by_share += np.frombuffer(r["shares"])
+    of_first = np.concatenate([top["n"].to_numpy(np.int64), np.zeros(size - shares - len(top)), by_share])
+    order = np.argsort(-of_first, kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    by = np.argsort(own)
+    return Vocabulary(classes, own[by], rank[: len(own)][by], rank[size - shares :], of_first[order], counts), int(total)
 
 
 class Network:
     """Parameters are one flat array, of which the named arrays are views."""
 
-    shapes = {
-        "embed": (len(WINDOW), VOCABULARY + 1, SIZE), "bias": (SIZE,), "to_class": (SIZE, CLASSES), "class_bias": (CLASSES,),
-        "to_word": (CLASSES, SIZE, IN_CLASS), "word_bias": (CLASSES, IN_CLASS),
-    }
-    length = sum(math.prod(s) for s in shapes.values())
-
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat, at = flat, 0
-        for name, shape in self.shapes.items():
+    def __init__(self, flat: np.ndarray, classes: int = CLASSES) -> None:
+        self.flat, self.classes, at = flat, classes, 0
+        for name, shape in self.shapes(classes).items():
             setattr(self, name, flat[at : at + math.prod(shape)].reshape(shape))
             at += math.prod(shape)
 
+    @staticmethod
+    def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+        return {
+            "embed": (len(WINDOW), classes * classes + 1, SIZE), "bias": (SIZE,), "to_class": (SIZE, classes), "class_bias": (classes,),
+            "to_word": (classes, SIZE, classes), "word_bias": (classes, classes),
+        }
+
     @classmethod
-    def start(cls, counts: np.ndarray, seed: int = 1) -> Network:
+    def length(cls, classes: int = CLASSES) -> int:
+        return sum(math.prod(s) for s in cls.shapes(classes).values())
+
+    @classmethod
+    def start(cls, counts: np.ndarray, classes: int = CLASSES, seed: int = 1) -> Network:
         """Small random embeddings; the biases are the frequencies' logarithms."""
-        net = cls(np.zeros(cls.length, np.float32))
+        net = cls(np.zeros(cls.length(classes), np.float32), classes)
         rng = np.random.default_rng(seed)
         for name in ("embed", "to_class", "to_word"):
-            getattr(net, name)[:] = rng.normal(0, 0.1, cls.shapes[name])
-        p = (counts + 1).reshape(CLASSES, IN_CLASS) / (counts + 1).sum()
+            getattr(net, name)[:] = rng.normal(0, 0.1, cls.shapes(classes)[name])
+        p = (counts + 1).reshape(classes, classes) / (counts + 1).sum()
         net.class_bias[:] = np.log(p.sum(1))
         net.word_bias[:] = np.log(p / p.sum(1, keepdims=True))
         return net
 
     def forward(self, context: np.ndarray, ids: np.ndarray):
-        """Logarithms of the conditional probabilities of words sorted by id, and what backward needs."""
+        """Logarithms of the conditional probabilities of ids in order, and what backward needs."""
         hidden = self.embed[0][context[0]]
         for k in range(1, len(WINDOW)):
             hidden += self.embed[k][context[k]]
         hidden = np.tanh(hidden + self.bias)
-        classes = ids // IN_CLASS
+        classes = ids // self.classes
         of_class, log_c = _softmax(hidden @ self.to_class + self.class_bias)
-        bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
-        logits = np.empty((len(ids), IN_CLASS), np.float32)
-        for c in range(CLASSES):
+        bounds = np.searchsorted(classes, np.arange(self.classes + 1))
+        logits = np.empty((len(ids), self.classes), self.flat.dtype)
+        for c in range(self.classes):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
                 logits[a:b] = hidden[a:b] @ self.to_word[c] + self.word_bias[c]
         in_class, log_w = _softmax(logits)
         rows = np.arange(len(ids))
-        score = log_c[rows, classes] + log_w[rows, ids % IN_CLASS]
+        score = log_c[rows, classes] + log_w[rows, ids % self.classes]
         return score, (hidden, of_class, in_class, classes, bounds)
 
-    def step(self, context: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
-        """One step of Adagrad on the mean logarithm of the probabilities."""
+    def gradient(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of minus the mean logarithm of the probabilities, by all parameters."""
         _, (hidden, of_class, in_class, classes, bounds) = self.forward(context, ids)
-        rows, n = np.arange(len(ids)), len(ids)
+        rows = np.arange(len(ids))
         of_class[rows, classes] -= 1
-        in_class[rows, ids % IN_CLASS] -= 1
-        grad = Network(np.zeros(self.length, np.float32))
+        in_class[rows, ids % self.classes] -= 1
+        grad = Network(np.zeros(len(self.flat), self.flat.dtype), self.classes)
         grad.to_class[:] = hidden.T @ of_class
         grad.class_bias[:] = of_class.sum(0)
         back = of_class @ self.to_class.T
-        for c in range(CLASSES):
+        for c in range(self.classes):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
                 grad.to_word[c] = hidden[a:b].T @ in_class[a:b]
@@ -154,10 +270,14 @@ class Network:
         grad.bias[:] = back.sum(0)
         for k in range(len(WINDOW)):
             for j in range(SIZE):
-                grad.embed[k, :, j] = np.bincount(context[k], back[:, j], VOCABULARY + 1)
-        g = grad.flat / np.float32(n)
+                grad.embed[k, :, j] = np.bincount(context[k], back[:, j], self.classes**2 + 1)
+        return grad.flat / self.flat.dtype.type(len(ids))
+
+    def step(self, context: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
+        """One step of Adagrad on the mean logarithm of the probabilities."""
+        g = self.gradient(context, ids)
         squares += g * g
-        self.flat -= np.float32(RATE) * 0.1 * g / (np.sqrt(squares) + np.float32(1e-4))
+        self.flat -= np.float32(RATE) * g / (np.sqrt(squares) + np.float32(1e-4))
 
 
 def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,82 +289,132 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, logits
 
 
-def windows(ids: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
-    """The neighbours' ids of every word, one row per place; VOCABULARY beyond a text's ends."""
+def windows(ids: np.ndarray, text_of: np.ndarray, texts: int, mark: int) -> np.ndarray:
+    """The neighbours' ids of every word, one row per place; `mark` beyond a text's ends."""
     reach = max(map(abs, WINDOW))
-    padded = np.full(len(ids) + reach * (texts + 1), VOCABULARY, np.int64)
+    padded = np.full(len(ids) + reach * (texts + 1), mark, np.int64)
     at = np.arange(len(ids)) + reach * (text_of + 1)
     padded[at] = ids
     return np.stack([padded[at + w] for w in WINDOW])
 
 
-def _sorted_steps(ids: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def log_likelihoods(net: Network, vocab: Vocabulary, words: np.ndarray, text_of: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words and summed conditional log-probabilities of each text."""
+    ids, part = vocab.ids(words)
+    context = windows(ids, text_of, texts, net.classes**2)
+    score = np.zeros(len(ids))
     for at in range(0, len(ids), STEP_WORDS):
-        part = ids[at : at + STEP_WORDS]
-        order = np.argsort(part, kind="stable")
-        yield at + order, context[:, at + order], part[order]
+        order = at + np.argsort(ids[at : at + STEP_WORDS], kind="stable")
+        score[order] = net.forward(context[:, order], ids[order])[0]
+    return np.bincount(text_of, minlength=texts), np.bincount(text_of, score + part, texts)
 
 
-def log_likelihoods(net: Network, id_of: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and summed conditional log-probabilities of each text."""
-    buckets, text_of = word_buckets(texts)
-    ids = id_of[buckets].astype(np.int64)
-    score = np.zeros(len(ids))
-    for place, context, part in _sorted_steps(ids, windows(ids, text_of, len(texts))):
-        score[place] = net.forward(context, part)[0]
-    return np.bincount(text_of, minlength=len(texts)), np.bincount(text_of, score, len(texts))
+class Copy:
+    """A copy of the network in training; steps don't depend on how the words come in."""
+
+    def __init__(self, start: np.ndarray, classes: int) -> None:
+        self.net, self.squares, self.seen = Network(start.copy(), classes), np.zeros(len(start), np.float32), 0
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def take(self, ids: np.ndarray, context: np.ndarray) -> None:
+        self.held.append(np.concatenate([ids[None], context]))
+        self.n += len(ids)
+        if self.n >= STEP_WORDS:
+            self._steps(self.n - self.n % STEP_WORDS)
 
+    def _steps(self, end: int) -> None:
+        rows = np.concatenate(self.held, 1)
+        for at in range(0, end, STEP_WORDS):
+            part = rows[:, at : min(at + STEP_WORDS, end)]
+            part = part[:, np.argsort(part[0], kind="stable")]
+            self.net.step(part[1:], part[0], self.squares)
+        self.seen += end
+        self.held, self.n = [rows[:, end:]], self.n - end
 
-def train(docs: DataFrame) -> tuple[Network, np.ndarray]:
-    """The averaged network, and the id of every bucket."""
-    counts = count_buckets(docs)
-    id_of, of_id = vocabulary(counts)
-    start = Network.start(of_id).flat
+    def done(self) -> bytes:
+        if self.n:
+            self._steps(self.n)
+        return self.net.flat.tobytes()
+
+
+def _pass(rows: DataFrame, start: np.ndarray, classes: int) -> DataFrame:
+    """copy, n, net: every copy after one pass over its rows (copy, ids), in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        net, squares, seen = Network(start.copy()), np.zeros(Network.length, np.float32), 0
-        for _, texts in text_slices(batches, SLICE_BYTES):
-            buckets, text_of = word_buckets(texts)
-            ids = id_of[buckets].astype(np.int64)
-            seen += len(ids)
-            for _, context, part in _sorted_steps(ids, windows(ids, text_of, len(texts))):
-                net.step(context, part, squares)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([net.flat.tobytes()])], names=["task", "n", "net"])
-
-    copies = written(docs.mapInArrow(run, "task long, n long, net binary"), "lm-copies")
-    groups = max(1, math.isqrt(copies.count()))
-
-    def average(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("task")
-        total = np.zeros(Network.length)
-        for n, net in zip(rows["n"], rows["net"], strict=True):
-            total += float(n) * np.frombuffer(net, np.float32)
-        return pd.DataFrame({"task": [int(rows["task"].min())], "n": [int(rows["n"].sum())], "net": [(total / rows["n"].sum()).astype(np.float32).tobytes()]})
-
-    parts = copies.groupBy(F.pmod("task", F.lit(groups))).applyInPandas(average, "task long, n long, net binary").toPandas()
-    if not len(parts):
-        return Network(start), id_of
-    return Network(np.frombuffer(average(parts)["net"][0], np.float32).copy()), id_of
-
-
-def score(docs: DataFrame, net: Network, id_of: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood."""
-    flat = net.flat
+        now, copy = None, None
+
+        def out() -> pa.RecordBatch:
+            net = copy.done()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([copy.seen], pa.int64()), pa.array([net])], names=["copy", "n", "net"])
+
+        for part, ids, text_of in _word_slices(batches, 1, np.uint16):
+            copies = np.asarray(part.column(0))
+            context, ids = windows(ids, text_of, part.num_rows, classes**2), ids.astype(np.int64)
+            for which in np.unique(copies).tolist():  # in order, as the rows are
+                if which != now:
+                    if copy and copy.seen + copy.n:
+                        yield out()
+                    now, copy = which, Copy(start, classes)
+                mine = copies[text_of] == which
+                copy.take(ids[mine], context[:, mine])
+        if copy and copy.seen + copy.n:
+            yield out()
+
+    return rows.mapInArrow(run, "copy long, n long, net binary")
+
+
+def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("copy")
+    n = rows["n"].to_numpy(np.int64)
+    total = sum(w * np.frombuffer(net, np.float32).astype(np.float64) for w, net in zip(n, rows["net"], strict=True))
+    return pd.DataFrame({"copy": [int(rows["copy"].min()) // FAN], "n": [int(n.sum())], "net": [(total / n.sum()).astype(np.float32).tobytes()]})
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -> tuple[Network, Vocabulary]:
+    """From encoded documents: the averaged network and the vocabulary."""
+    vocab, total = vocabulary(written(count_words(rows), "lm-words"))
+    classes, net = vocab.classes, Network.start(vocab.of_id, vocab.classes).flat
+    copies = max(1, math.ceil(total / copy_words))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, text_of in _word_slices(batches, 2, np.uint32):
+            ends = np.cumsum(np.bincount(text_of, minlength=part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binaries(vocab.ids(words)[0].astype(np.uint16), ends)], names=["copy", "order", "ids"])
+
+    order = F.xxhash64("doc_id", "h")
+    dealt = rows.select(F.pmod(order, F.lit(copies)).alias("copy"), order.alias("order"), "words").mapInArrow(ids, "copy long, order long, ids binary")
+    dealt = dealt.repartition(min(2 * copies, 10_000), "copy").sortWithinPartitions("copy", "order", "ids").select("copy", "ids")
+    for _ in range(rounds if total else 0):
+        made = written(_pass(dealt, net, classes), "lm-copies")
+        left = copies
+        while left > FAN:
+            made = written(made.groupBy(F.floor(F.col("copy") / FAN).alias("at")).applyInPandas(_average, "copy long, n long, net binary"), "lm-copies")
+            left = math.ceil(left / FAN)
+        net = np.frombuffer(_average(made.toPandas())["net"][0], np.float32).copy()
+    return Network(net, classes), vocab
+
+
+def score(rows: DataFrame, net: Network, vocab: Vocabulary) -> DataFrame:
+    """Of encoded documents: doc_id, n_tokens, log_likelihood, mean_log_likelihood."""
+    flat, classes = net.flat, net.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(flat)
-        for ids, texts in text_slices(batches, SLICE_BYTES):
-            n, total = log_likelihoods(own, id_of, texts)
+        own = Network(flat, classes)
+        for part, words, text_of in _word_slices(batches, 1, np.uint32):
+            n, total = log_likelihoods(own, vocab, words, text_of, part.num_rows)
             mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return rows.select("doc_id", "words").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
-def op4_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def encode(docs: DataFrame) -> DataFrame:
+    """The written table of encoded documents, from doc_id and text."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return score(docs, *train(docs))
+    return written(encoded(docs), "lm-encoded")
+
+
+def op4_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
+    rows = encode(table(spark, sf_dir, "documents"))
+    return score(rows, *train(rows))
