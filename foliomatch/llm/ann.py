@@ -56,8 +56,9 @@ def _to_entries(x: np.ndarray, entries: np.ndarray, q: np.ndarray) -> np.ndarray
     return np.maximum(np.einsum("ed,ed->e", e, e) + np.einsum("bd,bd->b", q, q)[:, None] - 2 * q @ e.T, 0)
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest points that a greedy search of this beam width meets, nearest first: places (-1: none), distances."""
+def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int, visited: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest points that a greedy search of this beam width meets, nearest first: places (-1: none), distances.
+    visited: gets the share of points whose distance was computed, besides the entries, of each query."""
     b = len(q)
     rows = np.arange(b)[:, None]
     seen = np.zeros((b, len(x) + 1), bool)  # the last column takes what isn't there
@@ -85,6 +86,8 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.nda
         order = np.argsort(all_d, 1, kind="stable")[:, :width]
         ids[active], dist[active], done[active] = (np.take_along_axis(z, order, 1) for z in (all_ids, all_d, all_done))
         active = active[~done[active].all(1)]
+    if visited is not None:
+        visited += ((seen.sum(1) - 1) / len(x)).tolist()
     return ids, dist
 
 
@@ -169,7 +172,7 @@ def _single(x: np.ndarray) -> np.ndarray:
     return (x / max(float(np.abs(x).max(initial=0)), 1e-300)).astype(np.float32)
 
 
-def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, width: int | None = None, seed: int = 1, copies: np.ndarray | None = None) -> np.ndarray:
+def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, width: int | None = None, seed: int = 1, copies: np.ndarray | None = None, visited: list | None = None) -> np.ndarray:
     """For each query the places (-1: none) that its beam ends with. Up to `width` points: all of them. copies: of
     each point; searches begin at those with the most copies too, as missing one of them costs many results."""
     n = len(x)
@@ -181,7 +184,7 @@ def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, width: int | None =
     if copies is not None:
         most = np.argsort(-copies, kind="stable")[:CLIQUE]
         entries = np.union1d(entries, most[copies[most] > 1])
-    return np.concatenate([beam_search(both[:n], edges, entries, both[n + a : n + a + BATCH], width)[0] for a in range(0, len(q), BATCH)])
+    return np.concatenate([beam_search(both[:n], edges, entries, both[n + a : n + a + BATCH], width, visited)[0] for a in range(0, len(q), BATCH)])
 
 
 def usable(v: Column) -> Column:

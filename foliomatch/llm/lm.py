@@ -9,8 +9,8 @@ score is the sum of the logarithms of these conditional probabilities over all i
 Words are lower-cased runs of characters other than ASCII white space, known by a 32-bit hash. All are
 counted over the whole corpus, in a written table. The number of ids grows with the number of distinct words
 (``class_count``), and so does the table of the rarer words' counts (``Vocabulary.counts``): one byte a slot, exact
-to 63 and within 5 % above, four slots a distinct word up to 2^26 slots (64 MB; beyond, words share slots). A word
-that was never counted takes half an occurrence.
+to 63 and within 5 % above, four slots or more a distinct word up to 2^26 slots (64 MB). Words that share a slot
+count together, about one in eight up to that size. A word that was never counted takes half an occurrence.
 
 Training runs in numpy in ``ROUNDS`` passes over all words. Documents are dealt by hash to copies of the network,
 one for about ``COPY_WORDS`` words, which train on them in the order of their hashes from a common start, whose

@@ -10,7 +10,7 @@ Scale: each row is handled by itself where it is read: one scan, no shuffle, mem
 Defined cases: a null file has no packets; a file that ends inside an element gives the packets before
 that place; elements of unknown size end with their parent; unknown elements are passed over. Repeated
 rows give repeated packets; an empty table gives none; other columns are ignored. In op5 null text is
-empty text, and a payload has at least 64 bytes.
+empty text, and a payload has at least 64 bytes. Ties: packets of equal time stay in the file's order.
 """
 
 from __future__ import annotations
@@ -32,10 +32,13 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
+ENCODINGS, ENCODING, COMPRESSION, COMPRESSION_ALGORITHM, COMPRESSION_SETTINGS = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255
+HEADER_STRIPPING = 3
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-PARENTS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_TRACK_POSITIONS}
+PARENTS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_TRACK_POSITIONS, ENCODINGS, ENCODING, COMPRESSION}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
@@ -121,6 +124,7 @@ class Packet:
     length: int
     lacing: str
     cluster: int
+    header: bytes = b""
 
 
 @dataclass
@@ -131,6 +135,12 @@ class Media:
     scale: int = 1_000_000
     complete: bool = True
 
+    def frame_time(self, track: int, frames: int, duration: int | None) -> float:
+        """Of a laced block's frames, in the file's time units: the block's own duration or the track's."""
+        if duration is not None:
+            return duration / frames
+        return self.tracks.get(track, {}).get("duration", 0) / self.scale
+
 
 def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], int]:
     """Sizes of a block's frames and where the first begins."""
@@ -155,7 +165,7 @@ def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], in
     return [*sizes, end - at - sum(sizes)], at
 
 
-def _block(data: bytes, begin: int, end: int, key: bool | None, base: int, cluster: int, media: Media) -> None:
+def _block(data: bytes, begin: int, end: int, key: bool | None, base: int, cluster: int, media: Media, duration: int | None = None) -> None:
     """Packets of a block's frames; key None: a simple block, whose flags say whether it is a keyframe."""
     track, n, _ = vint(data, begin)
     time, flags = struct.unpack_from(">hB", data, begin + n)
@@ -163,8 +173,9 @@ def _block(data: bytes, begin: int, end: int, key: bool | None, base: int, clust
     sizes, at = lace_sizes(data, begin + n + 3, end, kind)
     if end > len(data) or min(sizes) < 0:
         raise IndexError(begin)
-    for size in sizes:
-        media.packets.append(Packet(track, base + time, bool(flags & 0x80) if key is None else key, at, size, LACINGS[kind], cluster))
+    each, header = media.frame_time(track, len(sizes), duration), media.tracks.get(track, {}).get("header", b"")
+    for i, size in enumerate(sizes):
+        media.packets.append(Packet(track, base + time + round(i * each), bool(flags & 0x80) if key is None else key, at, size, LACINGS[kind], cluster, header))
         at += size
 
 
@@ -172,13 +183,30 @@ def _number(data: bytes, begin: int, end: int) -> int:
     return int.from_bytes(data[begin:end], "big")
 
 
+def _encodings(data: bytes, begin: int, end: int) -> dict:
+    """encoded: frames are stored in another form; header: the bytes that header stripping left off every frame."""
+    found: dict = {}
+    for ident, b, e in elements(data, begin, end):
+        if ident != ENCODING:
+            continue
+        found["encoded"] = True
+        for i, x, y in elements(data, b, e):
+            if i == COMPRESSION:
+                parts = {j: (u, v) for j, u, v in elements(data, x, y)}
+                if _number(data, *parts.get(COMPRESSION_ALGORITHM, (0, 0))) == HEADER_STRIPPING:
+                    found |= {"encoded": False, "header": data[slice(*parts.get(COMPRESSION_SETTINGS, (0, 0)))]}
+    return found
+
+
 def _track(data: bytes, begin: int, end: int) -> dict:
     found: dict = {}
     for ident, b, e in elements(data, begin, end):
         if ident == CODEC_ID:
             found["codec"] = data[b:e].decode("ascii", "replace")
-        elif ident in (TRACK_NUMBER, TRACK_TYPE, TRACK_UID):
-            found[{TRACK_NUMBER: "number", TRACK_TYPE: "type", TRACK_UID: "uid"}[ident]] = _number(data, b, e)
+        elif ident in (TRACK_NUMBER, TRACK_TYPE, TRACK_UID, DEFAULT_DURATION):
+            found[{TRACK_NUMBER: "number", TRACK_TYPE: "type", TRACK_UID: "uid", DEFAULT_DURATION: "duration"}[ident]] = _number(data, b, e)
+        elif ident == ENCODINGS:
+            found |= _encodings(data, b, e)
         elif ident == AUDIO:
             for i, x, y in elements(data, b, e):
                 if i == SAMPLING_FREQUENCY:
@@ -189,7 +217,8 @@ def _track(data: bytes, begin: int, end: int) -> dict:
 
 
 def parse(data: bytes) -> Media:
-    """Tracks, packets and cues of a file. Frames of a laced block carry the block's timestamp."""
+    """Tracks, packets and cues of a file. Frames of a laced block follow each other by the block's duration or the
+    track's default duration; where neither is stated, all carry the block's timestamp."""
     media = Media()
     try:
         for ident, begin, end in elements(data, 0, len(data)):
@@ -215,9 +244,10 @@ def parse(data: bytes) -> Media:
                         elif j == BLOCK_GROUP:
                             parts = list(elements(data, x, y))
                             key = all(k != REFERENCE_BLOCK for k, _, _ in parts)
+                            lasts = next((_number(data, u, v) for k, u, v in parts if k == BLOCK_DURATION), None)
                             for k, u, v in parts:
                                 if k == BLOCK:
-                                    _block(data, u, v, key, base, clusters, media)
+                                    _block(data, u, v, key, base, clusters, media, lasts)
                     clusters += 1
                 elif i == CUES:
                     for j, x, y in elements(data, b, e):
@@ -254,7 +284,7 @@ def block_bytes(frames: list[bytes], time: int, kind: int | None = None, track:
 def _head(n: int) -> bytes:
     info = uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", n * 1000 / RATE)) + element(MUXING_APP, b"foliomatch") + element(WRITING_APP, b"foliomatch")
     audio = element(SAMPLING_FREQUENCY, struct.pack(">d", float(RATE))) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8)
-    track = uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, audio)
+    track = uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, audio)
     return element(INFO, info) + element(TRACKS, element(TRACK_ENTRY, track))
 
 
@@ -283,7 +313,7 @@ def mux(payload: bytes) -> bytes:
 def demux(data: bytes, track: int = 1) -> tuple[bytes, Media]:
     """A track's bytes in packet order, and what else the file holds."""
     media = parse(data)
-    return b"".join(data[p.offset : p.offset + p.length] for p in media.packets if p.track == track), media
+    return b"".join(p.header + data[p.offset : p.offset + p.length] for p in media.packets if p.track == track), media
 
 
 def feature(samples: bytes, media: Media) -> str:
@@ -304,18 +334,20 @@ def feature(samples: bytes, media: Media) -> str:
     )
 
 
-PACKETS = "id long, track long, packet long, timestamp long, keyframe boolean, offset long, length long, lacing string, cluster long"
+PACKETS = "id long, track long, packet long, timestamp long, keyframe boolean, offset long, length long, lacing string, cluster long, header binary"
 
 
 def packet_table(media: DataFrame, id_col: str, file_col: str) -> DataFrame:
-    """One row per packet of the files in a binary column."""
+    """One row per packet of the files in a binary column. A packet is `header` (what header stripping left off every
+    frame of its track, mostly nothing) and then the file's bytes from offset on. Frames that a track stores
+    compressed or encrypted otherwise are given as stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("track", pa.int64()), ("packet", pa.int64()), ("timestamp", pa.int64()), ("keyframe", pa.bool_()), ("offset", pa.int64()), ("length", pa.int64()), ("lacing", pa.string()), ("cluster", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("track", pa.int64()), ("packet", pa.int64()), ("timestamp", pa.int64()), ("keyframe", pa.bool_()), ("offset", pa.int64()), ("length", pa.int64()), ("lacing", pa.string()), ("cluster", pa.int64()), ("header", pa.binary())])
         for batch in batches:
             for ident, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(ident, p.track, i, p.timestamp, p.keyframe, p.offset, p.length, p.lacing, p.cluster) for i, p in enumerate(parse(data.as_py() or b"").packets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 9, schema, strict=True)], schema=schema)
+                rows = [(ident, p.track, i, p.timestamp, p.keyframe, p.offset, p.length, p.lacing, p.cluster, p.header) for i, p in enumerate(parse(data.as_py() or b"").packets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 10, schema, strict=True)], schema=schema)
 
     return media.select(media[id_col].cast("long"), media[file_col]).mapInArrow(run, PACKETS)
 

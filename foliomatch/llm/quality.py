@@ -15,7 +15,8 @@ Every document is scored where it is read, from its whole text.
 
 Defined cases: null or empty text has all features 0; null labels are passed over; a document with
 several labels has their mean, rounded. Without labels of both kinds nothing can be learned: every score
-is 0.7, which keeps all documents. Repeated rows are scored each; an empty table gives no rows.
+is 0.7, which keeps all documents. Repeated rows are scored each; an empty table gives no rows. Ties: equal texts have
+equal scores, and a score at the threshold is accepted. Other columns never enter a score.
 """
 
 from __future__ import annotations

@@ -1,12 +1,14 @@
 """Token ids by a public tokenizer for whole columns of texts, in bounded memory.
 
-The tokenizer's pre-tokeniser never joins characters across white space and its normaliser works on
-either side of it alone, so the ids of a text are those of its blank-separated pieces one after the
-other. Pieces repeat far more often than texts, so each distinct one is encoded once and kept; a long
+Where the tokenizer's pre-tokeniser never joins characters across white space and its normaliser works on
+either side of it alone (``splits_at_blanks`` reads that from the file), the ids of a text are those of its
+blank-separated pieces one after the other; with any other file, texts are encoded whole. Pieces repeat far more often than texts, so each distinct one is encoded once and kept; a long
 text costs what its distinct pieces cost."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,13 +23,30 @@ SEPARATOR = "\x01"
 MARKS = r"([a-z])([!-&(-/:-@\[-`{-~]+)([ \t-\r])"
 
 
+# The normaliser and the pattern of words for which pieces and MARKS hold.
+NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_blanks(path: str) -> bool:
+    """Whether the file's normaliser lower-cases and works by character, and its words are those of WORD, without blanks."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    normaliser, splitter = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+    first, *others = splitter.get("pretokenizers") or [{}]
+    words = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD} and first.get("behavior") == "Removed" and first.get("invert") is True
+    level = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    return words and others == level and tuple(normaliser.get("normalizers") or ()) == NORMALISERS and not said.get("truncation") and not said.get("padding")
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lower = self.tokenizer.encode("ABC. x", add_special_tokens=False).ids == self.tokenizer.encode("abc . x", add_special_tokens=False).ids
-        (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.pieces = splits_at_blanks(path)
+        if self.pieces:
+            (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -61,7 +80,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (large strings, none null) one after the other (uint32), and each text's first place (one more at the end)."""
-        if self.lower and not pc.any(pc.match_substring(texts, "<|")).as_py():
+        if not self.pieces:
+            coded = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *coded]), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
             # no special token to spare: fewer distinct pieces without capitals and with marks after a word apart
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2\3")
         for ws in ("\t", "\n", "\r", "\x0b", "\x0c"):

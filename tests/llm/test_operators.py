@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,26 @@ def test_warc(spark):
     assert warc.derive(spark.createDataFrame([], "record_id string, target_uri string, date string, block string")).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<p ", "<a ", "&", '<a href="x', "</script ", "<title ", "\n ", "&apos;"])
+def test_warc_of_hostile_pages(spark, piece):
+    n = 3_000_000 // len(piece)
+    head = "HTTP/1.1 200 OK\r\n\r\n"
+    df = spark.range(1).select(F.lit("r").alias("record_id"), F.lit("u").alias("target_uri"), F.lit("d").alias("date"), F.concat(F.lit(head), F.repeat(F.lit(piece), n)).alias("block"))
+    began = time.monotonic()
+    assert warc.derive(df).select(F.length("block")).count() == 2
+    assert time.monotonic() - began < 60
+
+
+def test_warc_headers_and_references(spark):
+    long = "HTTP/1.1 200 OK" + "".join(f"\r\nX-{i}: v" for i in range(3000)) + "\r\nX-Fold: a\n b\r\n\r\n<p>&apos;&hellip;&ngE;&nosuch;&#x41;&nbsp;x &lt;b&gt;"
+    rows = [("r\r\nX: 1", "u\r\nX: 2", "d\nX: 3", long)]
+    made = {m.record_type: m for m in warc.derive(spark.createDataFrame(rows, "record_id string, target_uri string, date string, block string")).collect()}
+    assert made["conversion"].block == "'\u2026\u2267\u0338&nosuch;A x <b>"
+    head = made["metadata"].record.split("\r\n\r\n")[0].split("\r\n")
+    assert not any(line.startswith("X: ") for line in head) and made["metadata"].block.count("http-header: ") == 3001
+    assert "http-header: X-Fold: a  b\r\n" in made["metadata"].block
+
+
 # 2
 
 
@@ -79,6 +100,12 @@ def test_mix(spark, docs, empty):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_mix_keeps_clashing_columns(spark):
+    rows = [(i, "one two", "a", i, i, i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_source int, MIX_LAST int, mix_copy int")
+    assert sorted(map(tuple, mixing.apply_mix(docs).collect())) == sorted(rows)
+
+
 def test_mix_leaves_wordless_sources_out(spark):
     rows = [(i, "one two three", "a") for i in range(8)] + [(i, " ", "b") for i in range(8, 16)] + [(i, None, "a") for i in range(16, 24)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -151,57 +178,98 @@ def test_encoder_equals_tokenizer(monkeypatch):
 # 4
 
 
+def some_vocabulary(rs, classes=lm.CLASSES):
+    own = np.unique(rs.integers(0, 1 << 32, 500).astype(np.uint32))
+    n = classes * classes
+    return lm.Vocabulary(classes, own, rs.permutation(n)[: len(own)], rs.integers(0, n, n // 8), np.sort(rs.integers(1, 900, n))[::-1], rs.integers(0, 90, 1 << 12).astype(np.uint8))
+
+
 def test_pseudo_likelihood():
     import pyarrow as pa
 
     rs = np.random.default_rng(2)
-    net = lm.Network(rs.normal(0, 0.3, lm.Network.length).astype(np.float32))
-    id_of = rs.integers(0, lm.VOCABULARY, lm.BUCKETS).astype(np.int16)
+    net, vocab = lm.Network(rs.normal(0, 0.3, lm.Network.length()).astype(np.float32)), some_vocabulary(rs)
     texts = ["", "one", "a b c d e A", " ".join(WORDS[:50]), " \n"]
-    n, total = lm.log_likelihoods(net, id_of, pa.array(texts, pa.large_string()))
+    words, text_of = lm.word_hashes(pa.array(texts, pa.large_string()))
+    assert words.tolist() == [xxhash.xxh32_intdigest(w) for t in texts for w in t.lower().split()]
+    n, total = lm.log_likelihoods(net, vocab, words, text_of, len(texts))
+    n_ids = lm.CLASSES**2
     for text, count, got in zip(texts, n, total, strict=True):
-        ids = [int(id_of[xxhash.xxh32_intdigest(w) % lm.BUCKETS]) for w in text.lower().split()]
-        want = 0.0
-        for i, word in enumerate(ids):
+        hashes = np.array([xxhash.xxh32_intdigest(w) for w in text.lower().split()], np.uint32)
+        ids, part = vocab.ids(hashes)
+        want = float(part.sum())
+        for i, word in enumerate(ids.tolist()):
             hidden = np.zeros(lm.SIZE)
             for k, w in enumerate(lm.WINDOW):
-                hidden += net.embed[k][ids[i + w] if 0 <= i + w < len(ids) else lm.VOCABULARY]
+                hidden += net.embed[k][ids[i + w] if 0 <= i + w < len(ids) else n_ids]
             hidden = np.tanh(hidden + net.bias)
-            c, j = divmod(word, lm.IN_CLASS)
+            c, j = divmod(word, lm.CLASSES)
             for logits, at in ((hidden @ net.to_class + net.class_bias, c), (hidden @ net.to_word[c] + net.word_bias[c], j)):
                 want += logits[at] - np.log(np.exp(logits).sum())
         assert count == len(ids) and got == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
-def test_gradient():
+def test_gradient_is_the_numerical_one():
     rs = np.random.default_rng(3)
-    net = lm.Network(rs.normal(0, 0.3, lm.Network.length).astype(np.float32))
-    ids = np.sort(rs.integers(0, lm.VOCABULARY, 200))
-    context = rs.integers(0, lm.VOCABULARY + 1, (4, 200))
-    before = net.forward(context, ids)[0].mean()
-    squares = np.zeros(net.length, np.float32)
-    for _ in range(20):
-        net.step(context, ids, squares)
-    assert net.forward(context, ids)[0].mean() > before + 0.5
+    classes = 4
+    flat = rs.normal(0, 0.5, lm.Network.length(classes))
+    ids = np.sort(rs.integers(0, classes**2, 60))
+    context = rs.integers(0, classes**2 + 1, (4, 60))
+    got = lm.Network(flat.copy(), classes).gradient(context, ids)
+    for at in rs.choice(len(flat), 150, replace=False):
+        moved = [-lm.Network(np.where(np.arange(len(flat)) == at, flat + d, flat), classes).forward(context, ids)[0].mean() for d in (1e-5, -1e-5)]
+        assert got[at] == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_vocabulary_against_brute_force(spark):
+    words = [w for i, w in enumerate(WORDS) for _ in range(1 + 4000 // (i + 1))] + [f"rare{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i::7])) for i in range(7)], "doc_id long, text string")
+    counts = {}
+    for w in words:
+        counts[xxhash.xxh32_intdigest(w)] = counts.get(xxhash.xxh32_intdigest(w), 0) + 1
+    table = lm.written(lm.count_words(lm.encode(docs)), "lm-test")
+    assert {r.word: r.n for r in table.collect()} == counts
+    vocab, total = lm.vocabulary(table)
+    assert total == len(words) and vocab.of_id.sum() == total and (np.diff(vocab.of_id) <= 0).all()
+    hashes = np.array(sorted(counts), np.uint32)
+    ids, part = vocab.ids(hashes)
+    own = set(vocab.own.tolist())
+    assert len(own) == lm.CLASSES**2 * 7 // 8 and min(counts[w] for w in own) >= max(n for w, n in counts.items() if w not in own)
+    for w, i, p in zip(hashes.tolist(), ids.tolist(), part.tolist(), strict=True):
+        same = [v for v in counts if v not in own and v % len(vocab.counts) == w % len(vocab.counts)]
+        want = 0.0 if w in own else np.log(sum(counts[v] for v in same) / vocab.of_id[i])
+        assert p == pytest.approx(want, abs=0.05) and (w not in own or vocab.of_id[i] == counts[w])
+    # probabilities of all words of an id sum to one, but where words share a slot of counts
+    sums = np.bincount(ids, np.exp(part), lm.CLASSES**2)
+    rest = [w for w in counts if w not in own]
+    slots = [w % len(vocab.counts) for w in rest]
+    sharing = set(vocab.ids(np.array([w for w, s in zip(rest, slots, strict=True) if slots.count(s) > 1], np.uint32))[0].tolist())
+    alone = [i for i in np.unique(ids).tolist() if i not in sharing]
+    assert len(alone) > 900 and np.abs(sums[alone] - 1).max() < 0.05 and len(sharing) < 60
+    assert lm.class_count(10**6) == 32 and lm.class_count(10**9) == 128 and lm.class_count(10**15) == 256
 
 
 def test_lm_query(spark, docs, empty):
-    ordered = lambda df: df.select("doc_id", "text")
-    net, id_of = lm.train(ordered(docs))
-    out = lm.score(ordered(docs), net, id_of).collect()
+    rows = lm.encode(docs)
+    net, vocab = lm.train(rows, copy_words=20_000)
+    out = lm.score(rows, net, vocab).collect()
     assert len(out) == len(TEXTS)
     by = {r.doc_id: r for r in out}
     assert by[1].n_tokens == 0 and by[1].log_likelihood == 0 and by[2].mean_log_likelihood is None and by[4].n_tokens == 30_000
-    assert lm.score(ordered(empty), *lm.train(ordered(empty))).count() == 0
+    # the same whatever the partitions and the order of rows
+    other = lm.encode(docs.orderBy(F.rand(3)).repartition(5))
+    again, _ = lm.train(other, copy_words=20_000)
+    assert (net.flat == again.flat).all()
+    none = lm.encode(empty)
+    assert lm.score(none, *lm.train(none)).count() == 0
 
 
 def test_lm_learns(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    counts = lm.count_buckets(d)
-    of_id = lm.vocabulary(counts)[1]
-    p = of_id[of_id > 0] / of_id.sum()
-    rows = lm.score(d, *lm.train(d)).collect()
-    assert sum(r.log_likelihood for r in rows) / sum(r.n_tokens for r in rows) > (p * np.log(p)).sum() + 0.1
+    rows = lm.encode(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    n = np.array([r.n for r in lm.count_words(rows).collect()])
+    unigram = (n / n.sum() * np.log(n / n.sum())).sum()
+    found = lm.score(rows, *lm.train(rows)).collect()
+    assert sum(r.log_likelihood for r in found) / sum(r.n_tokens for r in found) > unigram + 0.3
 
 
 # 5
@@ -253,9 +321,92 @@ def test_media_columns(spark):
     assert matroska.stored(b"x" * 65)[2:4] == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_packet_table_of_many_clusters(spark):
+    payload = random.Random(9).randbytes(600_000)
+    data = matroska.mux(payload)
+    out = sorted(matroska.packet_table(spark.createDataFrame([(7, data)], "id long, file binary"), "id", "file").collect(), key=lambda r: r.packet)
+    assert b"".join(data[r.offset : r.offset + r.length] for r in out) == payload
+    assert [r.timestamp for r in out] == [i * 128 for i in range(len(out))] and len({r.cluster for r in out}) > 2
+
+
+def test_frame_times_and_header_stripping():
+    settings = matroska.uint(matroska.COMPRESSION_ALGORITHM, 3) + matroska.element(matroska.COMPRESSION_SETTINGS, b"HEAD")
+    encodings = matroska.element(matroska.ENCODINGS, matroska.element(matroska.ENCODING, matroska.element(matroska.COMPRESSION, settings)))
+    track = lambda n, more: matroska.element(matroska.TRACK_ENTRY, matroska.uint(matroska.TRACK_NUMBER, n) + more)
+    tracks = matroska.element(matroska.TRACKS, track(1, matroska.uint(matroska.DEFAULT_DURATION, 20_000_000)) + track(2, encodings))
+    simple = matroska.element(matroska.SIMPLE_BLOCK, matroska.block_bytes([b"a", b"bb", b"c"], 5))
+    group = matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, matroska.block_bytes([b"x", b"y"], 9, None, 2)) + matroska.uint(matroska.BLOCK_DURATION, 30))
+    cluster = matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 100) + simple + group)
+    data = matroska._EBML_HEAD + matroska.element(matroska.SEGMENT, tracks + cluster)
+    media = matroska.parse(data)
+    assert [(p.track, p.timestamp) for p in media.packets] == [(1, 105), (1, 125), (1, 145), (2, 109), (2, 124)]
+    assert matroska.demux(data, 2)[0] == b"HEADxHEADy" and matroska.demux(data, 1)[0] == b"abbc"
+
+
+def test_media_feature_and_hash_against_brute_force():
+    text = ("Some Text, again and again. " * 500).encode()
+    row = matroska.stored(text)
+    payload = text + bytes(-len(text) % 64)
+    found = dict(x.split("=") for x in row[6].split(";"))
+    p = np.array([payload.count(bytes([b])) for b in set(payload)]) / len(payload)
+    assert float(found["mean"]) == pytest.approx(sum(payload) / len(payload), abs=1e-3) and int(found["entropy"]) == round(-1000 * sum(x * np.log2(x) for x in p))
+    assert float(found["power"]) == pytest.approx(sum((b - 128) ** 2 for b in payload) / len(payload), abs=1e-3)
+    assert int(found["packets"]) == -(-len(payload) // 1024) and int(found["ms"]) == len(payload) // 8
+    assert row[4:6] == (len(matroska.mux(payload)), hashlib.sha256(matroska.mux(payload)).hexdigest())
+
+
+@pytest.mark.parametrize("name", ["op4_pseudo_likelihood", "op5_matroska", "op6_quality", "op8_simhash", "op9_format_chat", "op10_pseudonyms"])
+def test_queries_over_odd_tables(spark, docs, empty, name, tmp_path):
+    """Null and empty texts, ties, repeated rows, clashing names and empty tables through the registered queries."""
+    for kind, rows in (("odd", docs), ("none", empty)):
+        rows.write.parquet(str(tmp_path / kind / "documents.parquet"))
+        rows.selectExpr("doc_id", "1 as quality", "0 as toxic", "1 as score").write.parquet(str(tmp_path / kind / "labels.parquet"))
+        chat_rows = rows.selectExpr("doc_id as conv_id", "p0 as turn", "source as role", "text", "lang as body", "rank as seq")
+        chat_rows.write.parquet(str(tmp_path / kind / "conversations.parquet"))
+        got = QUERIES[name](spark, str(tmp_path / kind)).count()
+        if name == "op9_format_chat":
+            assert got == (len({i for i, _, _ in TEXTS}) + 1 if kind == "odd" else 1)
+        else:
+            assert got == (len(TEXTS) if kind == "odd" else 0)
+
+
 # 6
 
 
+def test_quality_fit_against_plain_ascent():
+    """Newton's weights against plain gradient ascent on the same Bradley-Terry likelihood, written anew."""
+    rs = np.random.default_rng(8)
+    x = rs.normal(size=(120, 5))
+    y = (x @ [1.0, -2, 0.5, 0, 0] + rs.normal(size=120) > 0).astype(int)
+    model = quality.fit(x, y)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -6, 6)
+    again = np.random.default_rng(1)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    k = quality.PAIRS_PER_DOCUMENT
+    left = [(g, b) for g, b in zip(np.repeat(good, k), again.choice(bad, len(good) * k))]
+    right = list(zip(again.choice(good, len(bad) * k), np.repeat(bad, k)))
+    d = np.array([z[g] - z[b] for g, b in left + right])
+    w = np.zeros(5)
+    for _ in range(20_000):
+        w += 0.5 * ((d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(0) - 1e-3 * w)
+    assert model.weights == pytest.approx(w, abs=1e-4)
+    raw = z @ model.weights
+    share = lambda t: (raw[bad] < t).mean() + (raw[good] >= t).mean()
+    assert share(model.threshold) == max(share(t) for t in raw)
+
+
+def test_quality_features_against_brute_force():
+    text = "One two TWO, three! $x$ | y.\n\nOne two TWO, three! $x$ | y.\nÉté #42 " + "z" * 30
+    f = dict(zip(quality.FEATURES, quality.features(text.encode()), strict=True))
+    raw, words, lines = text.encode(), text.encode().split(), [x.strip() for x in text.encode().split(b"\n") if x.strip()]
+    letters = [b for b in raw if chr(b).isascii() and chr(b).isalpha()]
+    assert f["letters"] == pytest.approx(len(letters) / len(raw)) and f["upper"] == pytest.approx(sum(65 <= b <= 90 for b in letters) / len(letters))
+    assert f["word_length"] == pytest.approx(np.mean([len(w) for w in words])) and f["length_spread"] == pytest.approx(np.std([len(w) for w in words]))
+    assert f["distinct_words"] == pytest.approx(len(set(words)) / len(words) ** 0.8) and f["repeated_lines"] == pytest.approx(1 - len(set(lines)) / len(lines))
+    assert f["top_word"] == pytest.approx(max(words.count(w) for w in words) / len(words)) and f["long_words"] == pytest.approx(1 / len(words))
+    assert f["non_ascii"] == pytest.approx(sum(b > 127 for b in raw) / len(raw)) and f["bangs"] == pytest.approx(raw.count(b"!") / len(raw))
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -306,6 +457,34 @@ def test_ann(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_ann_of_repeated_rows(spark):
+    """Twelve rows of the query's own id, k + 1 rows of another, an equal vector under one id."""
+    rs = np.random.default_rng(6)
+    x = {i: rs.normal(size=4).tolist() for i in range(100, 130)}
+    x[101] = x[100]
+    rows = [(100, x[100])] * 12 + [(105, x[105])] * 11 + [(i, v) for i, v in x.items() if i not in (100, 105)]
+    table = spark.createDataFrame([(i, v, "s", 1) for i, v in rows], "vec_id long, embedding array<double>, shard string, rank int")
+    out = ann.nearest(table, table.filter("vec_id % 100 = 0")).orderBy("rank").collect()
+    want = sorted((float(np.linalg.norm(np.array(v) - x[100])), i) for i, v in rows if i != 100)[:10]
+    assert [(r.vec_id, round(r.score, 9)) for r in out] == [(i, round(s, 9)) for s, i in want] and out[0].vec_id == 101
+
+
+def test_ann_visits_few_points():
+    """Recall and the share of points visited, on clustered points like the test table's."""
+    rs = np.random.default_rng(7)
+    n = ann.BEAM_NODES
+    centres = rs.normal(size=(10, 64))
+    x = centres[rs.integers(0, 10, n)] + rs.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    edges, asked = ann.build(ann._single(x)), x[::100]
+    seen = []
+    ids = ann.search(x, edges, asked, visited=seen)
+    best = [set(np.argsort(((x - v) ** 2).sum(1))[:11].tolist()) for v in asked]
+    recall = np.mean([len(b & set(i.tolist())) / 11 for b, i in zip(best, ids, strict=True)])
+    print(f"recall {recall:.3f}, visited {np.mean(seen):.3f}")
+    assert recall >= 0.95 and np.mean(seen) < 0.2
+
+
 # 8
 
 
@@ -353,6 +532,30 @@ def test_simhash_large_buckets(spark, bucket):
     assert {i: labels.get(i, i) for i in range(350)} == want
 
 
+def test_blocks_miss_no_link():
+    for m in (5, 6, 7, 8):
+        masks = simhash.exact_blocks(4, 64, m)
+        for _ in range(300):
+            a, n = rng.getrandbits(64), rng.randint(0, 4)
+            b = a ^ sum(1 << i for i in rng.sample(range(64), n))
+            assert any(a & k == b & k for k in masks)
+
+
+def test_comparisons_per_document_stay_flat():
+    """By calculation to 100 thousand million documents, and counted on random fingerprints at three sizes."""
+    per = []
+    for n in (256_000, 25_000_000, 10**9, 10**11):
+        m = simhash.block_count(n)
+        per.append(sum(n / 2 ** mask.bit_count() for mask in simhash.exact_blocks(4, 64, m)))
+    assert max(per) < 70 * simhash.KEY_ROWS
+    counted = []
+    for n in (1 << 14, 1 << 17, 1 << 20):
+        prints = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        pairs = sum(float((c.astype(float) ** 2).sum()) for mask in simhash.exact_blocks(4, 64, simhash.block_count(n)) for c in [np.unique(prints & np.uint64(mask), return_counts=True)[1]])
+        counted.append(pairs / n)
+    assert max(counted) < 16 * simhash.KEY_ROWS
+
+
 def test_near_copies(spark, docs):
     kept = simhash.without_copies(docs)
     assert kept.columns == docs.columns
@@ -387,13 +590,13 @@ def test_chat_parts(spark):
 # 10
 
 
-def brute_string(s, kind, key=pii.KEY):
+def brute_string(s, kind, key=pii.TEST_KEY):
     left, right = s[: len(s) // 2], s[len(s) // 2 :]
     for i in range(1, pii.ROUNDS + 1):
         digest = hashlib.sha512(f"{key}|{kind}|{i}|{right}".encode()).hexdigest()
         moved = ""
         for j, c in enumerate(left):
-            for low, n in (("a", 26), ("A", 26), ("0", 10)):
+            for low, n in (("a", 26), ("A", 26), ("0", 10), (pii.EIGHT[0], 8)):
                 if 0 <= ord(c) - ord(low) < n:
                     c = chr((ord(c) - ord(low) + int(digest[4 * j : 4 * j + 4], 16)) % n + ord(low))
                     break
@@ -402,13 +605,29 @@ def brute_string(s, kind, key=pii.KEY):
     return left + right
 
 
-def brute_pair(a, b, size_a, size_b, kind, key=pii.KEY):
+def brute_pair(a, b, size_a, size_b, kind, key=pii.TEST_KEY):
     f = lambda i, x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)
     for i in range(1, pii.ROUNDS + 1):
         a, b = ((a + f(i, b)) % size_a, b) if i % 2 else (a, (b + f(i, a)) % size_b)
     return a, b
 
 
+def brute_phone(d):
+    code = lambda c: pii.EIGHT[int(c) - 2] if c > "1" else c
+    made = brute_string(code(d[0]) + d[1:3] + code(d[3]) + d[4:], "phone")
+    return "".join(str(pii.EIGHT.index(c) + 2) if c in pii.EIGHT else c for c in made)
+
+
+def brute_day(n):
+    side = lambda m: (np.datetime64(pii.EPOCH) + m).item().day > 12
+    m = n
+    while True:
+        a, b = brute_pair(m // 4297, m % 4297, 17, 4297, "date")
+        m = a * 4297 + b
+        if side(m) == side(n):
+            return np.datetime64(pii.EPOCH) + m
+
+
 def luhn(d):
     return sum(n if i % 2 == 0 else n * 2 - 9 * (n > 4) for i, n in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -419,23 +638,64 @@ def test_pseudonyms(spark):
     rest = ["+1 (743) 555-3824", "a.b@x.org", "2001-12-31", "31.12.2001", "12/31/2001", "31/12/2001", "2001-02-30", "123-45-6789", "000-45-6789", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"]
     text = " | ".join(cards + ips + rest)
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "none"), (5, "4785380592391139, again 4785380592391139."), (6, "10.0.0.1")], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, pii.TEST_KEY, "n").collect()}
     new = dict(zip(cards + ips + rest, out[1].text.split(" | "), strict=True))
-    assert out[2].text is None and out[3].text == "" and out[4].text == "none" and out[4]._pii_values == 0
+    assert out[2].text is None and out[3].text == "" and out[4].text == "none" and out[4].n == 0
     assert out[5].text == "{0}, again {0}.".format(new["4785380592391139"]) and out[6].text == new["10.0.0.1"]
     for same in ("4785380592391130", "256.1.1.1", "1.2.3.4.5", "2001-02-30", "000-45-6789", "GB82 WEST 1234 5698 7654 33"):
         assert new[same] == same
-    assert out[1]._pii_values == 11
+    assert out[1].n == 11
     own = brute_string("478538059239113", "card")
     assert new["4785380592391139"][:-1] == own and luhn(new["4785380592391139"]) and luhn(new["4111 1111 1111 1111"].replace(" ", ""))
     a, b = brute_pair(10 * 256, 1, 65536, 65536, "ip")
     assert new["10.0.0.1"] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
-    d = brute_string("7435553824", "phone")
+    d = brute_phone("7435553824")
+    assert d[0] > "1" and d[3] > "1"
     assert new["+1 (743) 555-3824"] == f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"
     assert new["a.b@x.org"] == brute_string("a.b", "email") + "@x.org"
     iban = new["GB82 WEST 1234 5698 7654 32"].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", new["2001-12-31"]) and new["31.12.2001"] == ".".join(reversed(new["2001-12-31"].split("-")))
+    y, m, day = new["2001-12-31"].split("-")
+    assert new["12/31/2001"] == f"{m}/{day}/{y}" and new["31/12/2001"] == f"{day}/{m}/{y}" and new["2001-12-31"] == str(brute_day(37254))
+    a, b = brute_pair(122, 44 * 9999 + 6788, 898, 99 * 9999, "ssn")
+    assert new["123-45-6789"] == f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+
+
+def test_pseudonyms_inside_runs(spark):
+    """Numbers before or after other groups, two in a row, and phones of other notations."""
+    cards = {"4111 1111 1111 1111 123": [(0, 19)], "4111 1111 1111 1111 12/25": [(0, 19)], "2024 4111 1111 1111 1111": [(5, 24)], "12 3782 822463 10005 7": [(3, 20)], "4242-4242-4242-4242 4111 1111 1111 1111": [(0, 19), (20, 39)]}
+    others = ["1234 123-45-6789", "ES91 2100 0418 4502 0005 1332 USD", "ES91 2100 0418 4502 0005 1332 PLEASE", "+1 555 123 4567", "+7 495 123-45-67", "1234 5678 9012 3456"]
+    df = spark.createDataFrame(list(enumerate([*cards, *others])), "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df, pii.TEST_KEY).orderBy("doc_id").collect()]
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    for (was, spans), now in zip(cards.items(), out, strict=False):
+        want = list(was)
+        for a, b in spans:
+            own = brute_string(digits(was[a:b])[:-1], "card")
+            own += next(c for c in "0123456789" if luhn(own + c))
+            places = [i for i in range(a, b) if was[i].isdigit()]
+            for i, c in zip(places, own, strict=True):
+                want[i] = c
+        assert now == "".join(want)
+    ssn, euro, words, home, moscow, none = out[len(cards) :]
+    assert ssn.startswith("1234 ") and ssn[5:] != "123-45-6789" and euro[:29] == words[:29] != others[1][:29] and euro.endswith(" USD") and words.endswith(" PLEASE")
+    assert digits(home) == "1" + brute_phone("5551234567") and digits(moscow) == "7" + brute_string("4951234567", "phone") and none == others[-1]
+
+
+def test_pseudonyms_keep_other_columns(spark):
+    df = spark.createDataFrame([(1, "a@x.org", 5, "w", "n")], "doc_id long, text string, pii_values int, pii_parts string, PII_NEW string")
+    (row,) = pii.pseudonymise(df, "k").collect()
+    assert (row.doc_id, row.pii_values, row.pii_parts, row.PII_NEW) == (1, 5, "w", "n") and row.text != "a@x.org"
+    assert pii.configured_key(spark) == pii.TEST_KEY
+
+
+@pytest.mark.parametrize("piece, n", [("b.", 2_500_000), ("1", 5_000_000), ("a@", 1_000_000), ("1.", 1_000_000), ("A0", 1_000_000), ("1 ", 20_000)])
+def test_pseudonyms_of_hostile_texts(spark, piece, n):
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a@"), F.repeat(F.lit(piece), n), F.lit("com")).alias("text"))
+    began = time.monotonic()
+    assert pii.pseudonymise(df, "k").select(F.length("text")).first()[0] == len(piece) * n + 5
+    assert time.monotonic() - began < 60
 
 
 def test_pseudonyms_are_permutations(spark):
