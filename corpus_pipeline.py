@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
 Parquet in the shared folder and reads them back as the next one's documents.
+
+Defined cases, for all stages: an empty table gives an empty one; further columns stay as they are, whatever
+their names; rows are counted one by one, so repeated rows are only dropped where near_duplicates says so.
 """
 
 from __future__ import annotations
@@ -13,27 +16,36 @@ from foliomatch.llm.common import table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones among docs."""
+    """Documents that the quality classifier accepts; it learns from the labelled ones among docs.
+
+    Null and empty texts are scored like others (all features 0). A score at the threshold is accepted. Without labels
+    of both kinds all documents stay."""
     return quality.keep(docs, quality.classifier(spark, sf_dir, docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies."""
+    """One document of each group of exact or near copies (five-word shingles, Jaccard similarity of 0.8 or more).
+
+    The smallest doc_id stays, then the smallest text; null and empty texts are copies of each other; rows without
+    a doc_id are grouped among themselves."""
     return simhash.without_copies(docs)
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms of the same format. n_chars stays the original's."""
+    """Personal data replaced by pseudonyms of the same format. n_chars stays the original's; null text stays null."""
     return pii.pseudonymise(docs, pii.configured_key(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, up to three times.
+
+    A null source is a source, the last. Documents without words go with the one behind them in their source. Equal
+    rows stay together."""
     return mixing.apply_mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in sequences of 4096 tokens."""
+    """The pieces of documents in sequences of 4096 tokens. Null text counts as empty: its end id alone."""
     return packing.pack(docs, packing.word_tokenizer())
 
 
