@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliomatch.config import CONFIG, STYLES
 from foliomatch.functions import dates, labels, numbers
+from foliomatch.functions import patterns as P
 from foliomatch.operators import similar, words
 from foliomatch.sources.intermediate import written
 
@@ -24,6 +25,30 @@ def near_copies(docs: DataFrame, prefix: int = 80, least: int = 100, chunk: int
     A beginning that many documents share is cut into chunks of doc_id; a document at the end of its chunk
     finds the next one through a table with one row per beginning and chunk."""
     rows = docs.filter(F.length("text") >= least).select("doc_id", F.substring("text", 1, prefix).alias("head"), F.md5("text").alias("digest"))
+    return _next_of(rows, chunk)
+
+
+def close_pairs(docs: DataFrame, shingle: int = 5, chunk: int = 65_536) -> DataFrame:
+    """pair_id, doc1, doc2: each document with the next one by doc_id that is much like it but another text.
+
+    A document's heads are two of four extreme hashes of its whole text's shingles (a text with fewer words is one
+    shingle): documents that share four fifths of their shingles share a head with a probability of 0.97, those that
+    share a fifth of them with one of 0.15. Texts of any length take part; those without words don't."""
+    words = F.regexp_extract_all("text", F.lit(P.TOKEN), F.lit(0))
+    n = F.size("w")
+    at = F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1)))
+    hashes = F.transform(at, lambda i: F.md5(F.array_join(F.slice("w", i, shingle), " ")))
+    rows = docs.select("doc_id", F.md5("text").alias("digest"), words.alias("w")).filter(n > 0).select("doc_id", "digest", hashes.alias("h"))
+    half = lambda start: F.transform("h", lambda x: F.substring(x, start, 16))
+    ends = [F.array_min(half(1)), F.array_max(half(1)), F.array_min(half(17)), F.array_max(half(17))]
+    rows = rows.select("doc_id", "digest", *[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    heads = [F.concat_ws(":", F.lit(f"{i}{j}"), f"e{i}", f"e{j}") for i in range(4) for j in range(i + 1, 4)]
+    found = _next_of(rows.select("doc_id", "digest", F.explode(F.array(*heads)).alias("head")), chunk)
+    return found.groupBy("pair_id", "doc1").agg(F.min("doc2").alias("doc2"))
+
+
+def _next_of(rows: DataFrame, chunk: int) -> DataFrame:
+    """pair_id, doc1, doc2 from doc_id, head, digest: each row with the next doc_id of another digest and the same head."""
     rows = rows.withColumn("chunk", F.floor(F.col("doc_id") / chunk))
     by = W.partitionBy("head", "chunk").orderBy("doc_id")
     before = F.lag("digest").over(by)
@@ -149,13 +174,15 @@ def diff_summary(pairs: DataFrame, all_words: DataFrame, vocab: DataFrame, catal
 
 
 def same_summary(pairs: DataFrame, all_words: DataFrame, vocab: DataFrame, catalog: bool = False) -> DataFrame:
-    """One row a pair: matched places of each side, matched words, a sample and the match rate. The rate is
-    places over unique words, so it can exceed 100."""
+    """One row a pair: matched places of each side (distinct by page, corner and text), matched words, a sample and the
+    match rate. The rate is places over unique words, so it can exceed 100."""
     met = same_words(pairs, vocab, catalog)
-    first = met.select("pair_id", F.col("a").alias("clean")).distinct().join(pairs.select("pair_id", F.col("doc1").alias("doc_id")), "pair_id").join(vocab, ["doc_id", "clean"])
-    one = first.groupBy("pair_id").agg(F.sum("n_occ").alias("matched_doc1"), F.count(F.lit(1)).alias("matched_unique_words"), _sample().alias("sample_matched"))
-    second = met.filter(F.col("b").isNotNull()).select("pair_id", F.col("b").alias("clean")).distinct()
-    two = second.join(pairs.select("pair_id", F.col("doc2").alias("doc_id")), "pair_id").join(vocab, ["doc_id", "clean"]).groupBy("pair_id").agg(F.sum("n_occ").alias("matched_doc2"))
+    of = lambda c, n: met.filter(F.col(c).isNotNull()).select("pair_id", F.col(c).alias("clean")).distinct().join(pairs.select("pair_id", F.col(f"doc{n}").alias("doc_id")), "pair_id")
+    place = words.normalised(all_words).select("doc_id", "clean", "page_num", "x0", "y0", "text")
+    places = lambda c, n: of(c, n).join(place, ["doc_id", "clean"]).groupBy("pair_id").agg(F.count_distinct("page_num", "x0", "y0", "text").alias(f"matched_doc{n}"))
+    one = of("a", 1).join(vocab, ["doc_id", "clean"]).groupBy("pair_id").agg(F.count(F.lit(1)).alias("matched_unique_words"), _sample().alias("sample_matched"))
+    one = one.join(places("a", 1), "pair_id")
+    two = places("b", 2)
     out = _base(pairs, all_words).join(one, "pair_id", "left").join(two, "pair_id", "left").na.fill(0).na.fill("")
     rate = F.when(F.col("doc1_unique_words") > 0, F.round(F.col("matched_doc1") * 100.0 / F.col("doc1_unique_words"), 4)).otherwise(0.0)
     return out.withColumn("match_rate", rate)
@@ -170,6 +197,12 @@ def highlights(found: DataFrame, all_words: DataFrame, mode: str) -> DataFrame:
     return out.select("pair_id", "side", "page_num", "pos", "x0", "y0", "x1", "y1", "text", "clean", *colours)
 
 
+def same_marks(matched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, side, doc_id, clean of the words matched on either side, for highlights."""
+    of = lambda c, n: matched.filter(F.col(c).isNotNull()).select("pair_id", F.lit(n).alias("side"), F.col(c).alias("clean")).distinct().join(pairs.select("pair_id", F.col(f"doc{n}").alias("doc_id")), "pair_id")
+    return of("a", 1).unionByName(of("b", 2))
+
+
 def page_zip(pairs: DataFrame, all_words: DataFrame) -> DataFrame:
     """pair_id, page_num, has1, has2: the pages of both documents side by side."""
     pages = all_words.select("doc_id", "page_num").distinct()
@@ -178,19 +211,28 @@ def page_zip(pairs: DataFrame, all_words: DataFrame) -> DataFrame:
     return out.select("pair_id", "page_num", F.coalesce("has1", F.lit(False)).alias("has1"), F.coalesce("has2", F.lit(False)).alias("has2"))
 
 
-def report_lines(summary: DataFrame) -> DataFrame:
-    """pair_id, line_no, line: a diff summary as text lines, for the text sink."""
+def report_lines(summary: DataFrame, mode: str = "diff") -> DataFrame:
+    """pair_id, line_no, line: a summary of either mode as text lines, for the text sink."""
     s = lambda c: F.col(c).cast("string")
     doc = lambda n: F.concat(F.lit(f"Document {n}: "), s(f"doc{n}"), F.lit(", pages "), s(f"doc{n}_pages"), F.lit(", words "), s(f"doc{n}_total_words"), F.lit(", unique "), s(f"doc{n}_unique_words"))
-    first = lambda n: F.array_join(F.slice(F.split(f"sample_doc{n}", ", ", -1), 1, 5), ", ")
-    lines = F.array(
-        F.lit("Mode: differences"), doc(1), doc(2),
-        *[F.concat(F.lit(f"Only in document {n}: "), s(f"diff_doc{n}")) for n in (1, 2)], *[F.concat(F.lit(f"Sample {n}: "), first(n)) for n in (1, 2)],
-        F.concat(F.lit("Difference rate in 1/10000: "), F.round(F.col("diff_rate") * 100).cast("long").cast("string")),
-    )
+    first = lambda c: F.array_join(F.slice(F.split(c, ", ", -1), 1, 5), ", ")
+    rate = lambda what, c: F.concat(F.lit(f"{what} in 1/10000: "), F.round(F.col(c) * 100).cast("long").cast("string"))
+    if mode == "same":
+        own = [F.concat(F.lit(f"Matching places in document {n}: "), s(f"matched_doc{n}")) for n in (1, 2)]
+        own += [F.concat(F.lit("Sample: "), first("sample_matched")), rate("Match rate", "match_rate")]
+    else:
+        own = [F.concat(F.lit(f"Only in document {n}: "), s(f"diff_doc{n}")) for n in (1, 2)]
+        own += [F.concat(F.lit(f"Sample {n}: "), first(f"sample_doc{n}")) for n in (1, 2)] + [rate("Difference rate", "diff_rate")]
+    lines = F.array(F.lit("Mode: matches" if mode == "same" else "Mode: differences"), doc(1), doc(2), *own)
     return summary.select("pair_id", F.posexplode(lines).alias("line_no", "line")).select("pair_id", "line_no", F.substring("line", 1, 100).alias("line"))
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """The text sink: a folder for each pair with its lines in order."""
+    one = lines.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    one.write.mode("overwrite").partitionBy("pair_id").text(path)
+
+
 def legend() -> list[tuple]:
     """What the colours mean: mode, side, r, g, b, opacity, label."""
     said = {"same": "in both documents", "diff": "only in this document"}

@@ -133,10 +133,28 @@ VOCABULARY = f"""{SIGNIFICANT},
 v0 AS (SELECT doc_id, clean, count(*)::BIGINT AS n_occ, arg_min(text, (page_num, pos)) AS first_text, min((page_num, pos)) AS place FROM signif GROUP BY ALL),
 v1 AS (SELECT *, {pad_zeros('clean')} AS norm FROM v0),
 vocab AS (SELECT *, {tones('norm')} AS norm_nt, length(clean)::INT AS len FROM v1)"""
-PAIRS = """
-r AS (SELECT doc_id, left(text, 80) AS head, md5(text) AS digest FROM documents WHERE length(text) >= 100),
-pairs AS (SELECT a.doc_id AS pair_id, a.doc_id AS doc1, min(b.doc_id) AS doc2 FROM r a JOIN r b ON a.head = b.head AND a.doc_id < b.doc_id AND a.digest <> b.digest GROUP BY ALL),
-chosen AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc1 FROM pairs UNION SELECT doc2 FROM pairs))"""
+#: Pairs with Thai words, tones, dates, times and numbers, which the tables lack: doc_id and text of both documents.
+INLINE = (
+    (-1, "Policy Insured John Smith Plate BM123 Amount 0500 Seats 17 Color red sometimes Bangkok 12.30"),
+    (-2, "Policy Insured Jane Smyth Plate NM333 Amount 500 Seats 25 Colour blue never Pattaya 13.45"),
+    (-3, "5มกราคม บ้าน บ้านพัก กรุงเทพ 1 มกราคม 2567 ทะเบียน กข1234 จำนวน 0700 007 หนึ่งร้อยบาท ห้อง 31\nบ้าน บ้านสวน"),
+    (-4, "05มกราคม บาน บานพักอาศัย เชียงใหม่ 2 กุมภาพันธ์ 2567 ทะเบียน กข1235 จำนวน 700 0๗ สองร้อยบาท ห้อง 12\nบาน บ้านสวนหลวง"),
+    (-5, "premium insurance 1 มกราคม 2567 09.15 kitten abcd 15 2567 x9 ตำบล"),
+    (-6, "premiun insurances 1 มกราคม 2567 09.15 sitting abdc 16 2568 x8 ตำบล"),
+)
+INLINE_PAIRS = ((-1, -2), (-3, -4), (-5, -6))
+_chr = lambda t: q(t).replace("\n", "' || chr(10) || '")
+PAIRS = f"""
+docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_chr(t)})' for i, t in INLINE)})),
+r AS (SELECT doc_id, md5(text) AS digest, regexp_extract_all(text, {q(P.TOKEN)}) AS w FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, digest, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM r),
+s5 AS (SELECT doc_id, digest, i, n, t || {' || '.join(f"coalesce(' ' || lead(t, {k}) OVER k, '')" for k in range(1, 5))} AS s FROM u WINDOW k AS (PARTITION BY doc_id, digest ORDER BY i)),
+sh AS (SELECT doc_id, digest, md5(s) AS x FROM s5 WHERE i <= greatest(n - 4, 1)),
+ends AS (SELECT doc_id, digest, [min(x[1:16]), max(x[1:16]), min(x[17:32]), max(x[17:32])] AS e FROM sh GROUP BY ALL),
+heads AS (SELECT doc_id, digest, unnest([{', '.join(f"'{i}{j}:' || e[{i + 1}] || ':' || e[{j + 1}]" for i in range(4) for j in range(i + 1, 4))}]) AS head FROM ends),
+pairs AS (SELECT a.doc_id AS pair_id, a.doc_id AS doc1, min(b.doc_id) AS doc2 FROM heads a JOIN heads b ON a.head = b.head AND a.doc_id < b.doc_id AND a.digest <> b.digest GROUP BY ALL
+  UNION ALL SELECT * FROM (VALUES {', '.join(f'({a}, {a}, {b})' for a, b in INLINE_PAIRS)})),
+chosen AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc1 FROM pairs UNION SELECT doc2 FROM pairs))"""
 BASE = f"WITH {PAIRS}, {words('chosen')}, {VOCABULARY}"
 
 
@@ -213,9 +231,10 @@ summary AS (SELECT base.*, coalesce(d1.n, 0) AS diff_doc1, coalesce(d1.places, 0
 
 def same_summary(catalog: bool) -> str:
     return f"""{same_ctes(catalog)}, {TOTALS},
-one AS (SELECT m.pair_id, sum(v.n_occ)::BIGINT AS matched_doc1, count(*)::BIGINT AS matched_unique_words, {SAMPLE.replace('clean', 'v.clean')} AS sample_matched
+one AS (SELECT m.pair_id, count(*)::BIGINT AS matched_unique_words, {SAMPLE.replace('clean', 'v.clean')} AS sample_matched
   FROM (SELECT DISTINCT pair_id, a FROM same) m JOIN pairs p USING (pair_id) JOIN vocab v ON v.doc_id = p.doc1 AND v.clean = m.a GROUP BY m.pair_id),
-two AS (SELECT m.pair_id, sum(v.n_occ)::BIGINT AS matched_doc2 FROM (SELECT DISTINCT pair_id, b FROM same WHERE b IS NOT NULL) m JOIN pairs p USING (pair_id) JOIN vocab v ON v.doc_id = p.doc2 AND v.clean = m.b GROUP BY m.pair_id)
+place1 AS (SELECT m.pair_id, count(DISTINCT (s.page_num, s.pos, s.text))::BIGINT AS matched_doc1 FROM (SELECT DISTINCT pair_id, a FROM same) m JOIN pairs p USING (pair_id) JOIN signif s ON s.doc_id = p.doc1 AND s.clean = m.a GROUP BY m.pair_id),
+two AS (SELECT m.pair_id, count(DISTINCT (s.page_num, s.pos, s.text))::BIGINT AS matched_doc2 FROM (SELECT DISTINCT pair_id, b FROM same WHERE b IS NOT NULL) m JOIN pairs p USING (pair_id) JOIN signif s ON s.doc_id = p.doc2 AND s.clean = m.b GROUP BY m.pair_id)
 SELECT base.*, coalesce(matched_doc1, 0) AS matched_doc1, coalesce(matched_unique_words, 0) AS matched_unique_words, coalesce(sample_matched, '') AS sample_matched, coalesce(matched_doc2, 0) AS matched_doc2,
   CASE WHEN doc1_unique_words > 0 THEN round(coalesce(matched_doc1, 0) * 100.0::DOUBLE / doc1_unique_words, 4) ELSE 0.0 END AS match_rate
-FROM base LEFT JOIN one USING (pair_id) LEFT JOIN two USING (pair_id)"""
+FROM base LEFT JOIN one USING (pair_id) LEFT JOIN place1 USING (pair_id) LEFT JOIN two USING (pair_id)"""

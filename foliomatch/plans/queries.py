@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables and their SQL.
 
 Scalar functions run over every distinct word of the documents and the sample texts; Thai cases come
-from the samples, as the tables have no Thai. Pairs are the documents' near copies (a document with the
-next one that begins alike)."""
+from the samples, as the tables have no Thai. Pairs are documents with the next one that is much like them,
+by their whole texts, and a few inline documents with Thai words, dates, times and numbers."""
 
 from __future__ import annotations
 
@@ -111,11 +111,14 @@ over_words("doc_word_counts", words.totals, f"SELECT doc_id, count(DISTINCT page
 
 
 class Pairs:
-    """The near copies with their words and vocabularies. The words of documents outside pairs go early."""
+    """Documents that are much alike, and the inline pairs, with their words and vocabularies. The words of documents
+    outside pairs go early."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        docs = _docs(spark, sf_dir)
-        self.pairs = written(compare.near_copies(docs), "pairs")
+        docs = _docs(spark, sf_dir).select("doc_id", "text")
+        own = spark.createDataFrame([(a, a, b) for a, b in O.INLINE_PAIRS], "pair_id long, doc1 long, doc2 long")
+        self.pairs = written(compare.close_pairs(docs).union(own), "pairs")
+        docs = docs.union(spark.createDataFrame(O.INLINE, "doc_id long, text string"))
         self.docs = compare.of_pairs(self.pairs, docs)
         self.words = written(words.occurrences(self.docs), "words")
         self.vocab = written(words.vocabulary(self.words), "vocabulary")
@@ -183,6 +186,12 @@ over_pairs(
     f"""{O.BASE}, pg AS (SELECT DISTINCT doc_id, page_num FROM words), p1 AS (SELECT pair_id, page_num FROM pairs JOIN pg ON doc_id = doc1), p2 AS (SELECT pair_id, page_num FROM pairs JOIN pg ON doc_id = doc2)
     SELECT coalesce(p1.pair_id, p2.pair_id) AS pair_id, coalesce(p1.page_num, p2.page_num) AS page_num, p1.pair_id IS NOT NULL AS has1, p2.pair_id IS NOT NULL AS has2 FROM p1 FULL JOIN p2 ON p1.pair_id = p2.pair_id AND p1.page_num = p2.page_num""",
 )
+over_pairs(
+    "highlights_same", lambda p: compare.highlights(compare.same_marks(compare.same_words(p.pairs, p.vocab), p.pairs), p.words, "same"),
+    f"""{O.same_ctes(False)}, marks AS (SELECT DISTINCT pair_id, 1 AS side, doc1 AS doc_id, a AS clean FROM same JOIN pairs USING (pair_id) UNION ALL SELECT DISTINCT pair_id, 2, doc2, b FROM same JOIN pairs USING (pair_id))
+    SELECT d.pair_id, d.side::INT AS side, s.page_num, s.pos, s.pos::DOUBLE AS x0, s.page_num::DOUBLE AS y0, (s.pos + 1)::DOUBLE AS x1, (s.page_num + 1)::DOUBLE AS y1, s.text, d.clean,
+    0.0::DOUBLE AS r, 0.8::DOUBLE AS g, 0.0::DOUBLE AS b, 0.35::DOUBLE AS opacity FROM marks d JOIN signif s USING (doc_id, clean)""",
+)
 _line = lambda n: f"'Document {n}: ' || doc{n} || ', pages ' || doc{n}_pages || ', words ' || doc{n}_total_words || ', unique ' || doc{n}_unique_words"
 over_pairs(
     "report_lines", lambda p: compare.report_lines(compare.diff_summary(p.pairs, p.words, p.vocab)),
@@ -193,13 +202,21 @@ over_pairs(
 )
 
 
+over_pairs(
+    "report_lines_same", lambda p: compare.report_lines(compare.same_summary(p.pairs, p.words, p.vocab), "same"),
+    f"""WITH summary AS ({O.same_summary(False)}), l AS (SELECT pair_id, ['Mode: matches', {_line(1)}, {_line(2)}, 'Matching places in document 1: ' || matched_doc1, 'Matching places in document 2: ' || matched_doc2,
+    'Sample: ' || array_to_string(string_split(sample_matched, ', ')[1:5], ', '), 'Match rate in 1/10000: ' || round(match_rate * 100)::BIGINT] AS l FROM summary)
+    SELECT pair_id, (generate_subscripts(l, 1) - 1)::INT AS line_no, left(unnest(l), 100) AS line FROM l""",
+)
+
+
 def _two_texts(p: Pairs) -> DataFrame:
     of = lambda n: p.docs.select(F.col("doc_id").alias(f"doc{n}"), F.col("text").alias(f"text{n}"))
     both = p.pairs.join(of(1), "doc1").join(of(2), "doc2")
     return both.filter(~text.blank(F.col("text1")) & ~text.blank(F.col("text2")))
 
 
-_texts = f"two AS (SELECT p.*, a.text AS text1, b.text AS text2 FROM pairs p JOIN documents a ON a.doc_id = p.doc1 JOIN documents b ON b.doc_id = p.doc2 WHERE NOT {O.blank('a.text')} AND NOT {O.blank('b.text')})"
+_texts = f"two AS (SELECT p.*, a.text AS text1, b.text AS text2 FROM pairs p JOIN docs a ON a.doc_id = p.doc1 JOIN docs b ON b.doc_id = p.doc2 WHERE NOT {O.blank('a.text')} AND NOT {O.blank('b.text')})"
 over_pairs(
     "prompt_compare", lambda p: _two_texts(p).select("pair_id", *[prompts.compare(language=lang, mode=mode).alias(f"{lang}_{mode}") for lang, mode in prompts.COMPARE]),
     f"WITH {O.PAIRS}, {_texts} SELECT pair_id, " + ", ".join(
@@ -285,5 +302,5 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["extracted_text"] = _extracted
-ORACLES["extracted_text"] = f"""SELECT conv_id AS doc_id, coalesce(string_agg('--- Page ' || (turn + 1) || CASE WHEN role = 'user' AND NOT {O.blank('text')} THEN ' (Native) ---' ELSE ' (OCR) ---' END || chr(10) || text || chr(10), '' ORDER BY turn)
+ORACLES["extracted_text"] = f"""SELECT conv_id AS doc_id, coalesce(string_agg('--- Page ' || (turn + 1) || CASE WHEN role = 'user' AND NOT {O.blank('text')} THEN ' (Native) ---' ELSE ' (EasyOCR) ---' END || chr(10) || text || chr(10), '' ORDER BY turn)
 FILTER (role <> 'system' AND text IS NOT NULL), '') AS extracted_text FROM conversations GROUP BY conv_id"""

@@ -1,7 +1,10 @@
 """The catalog of stored documents: a Parquet table with one row per document_id.
 
-Changes are written to a new version folder, and a small pointer file is replaced last, so readers see the old or the new
-table. Columns: id, document_id, filename, extracted_text, word_index (JSON), page_count,
+Versions are folders v-00000001, v-00000002 ...; the highest complete one (with Spark's _SUCCESS file) is the table. A change
+is written to a folder of its own and then renamed to the next version, so nothing that was stored is ever deleted
+before its successor is complete: readers see the old or the new table, whatever happens in between, and of two
+writers that began with the same version the second fails (``Conflict``) and can begin again. ``clean`` removes old
+versions. The file system must rename folders in one step, as HDFS and local ones do. Columns: id, document_id, filename, extracted_text, word_index (JSON), page_count,
 created_at, updated_at. An overwritten row keeps id and created_at; updated_at changes only if asked for.
 """
 
@@ -32,29 +35,57 @@ def merged(old: DataFrame, new: DataFrame, touch: bool = False) -> DataFrame:
     return kept.unionByName(put.select(*old.columns))
 
 
+class Conflict(Exception):
+    """Another writer was first."""
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, path: str) -> None:
         if not path:
             raise ValueError("a catalog needs a path")
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _current(self) -> str | None:
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.text(f"{self.path}/current").head()[0] if fs.exists(at) else None
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def table(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.schema(COLUMNS).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], COLUMNS)
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, in order."""
+        fs, path = self._files()
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))] if fs.exists(path(self.path)) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit() and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/v-{version:08d}"
 
-    def _replace(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+    def _read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(COLUMNS).parquet(self._at(version)) if version else self.spark.createDataFrame([], COLUMNS)
+
+    def table(self) -> DataFrame:
+        return self._read(max(self.versions(), default=0))
+
+    def _replace(self, change, base: int | None = None) -> None:
+        """Write change(table) as the next version."""
+        base = max(self.versions(), default=0) if base is None else base
+        fs, path = self._files()
+        made = f"{self.path}/new-{uuid.uuid4().hex}"
+        change(self._read(base)).write.parquet(made)
+        # renaming into an existing folder would move into it, so a folder that is there is a conflict
+        if fs.exists(path(self._at(base + 1))) or not fs.rename(path(made), path(self._at(base + 1))):
+            fs.delete(path(made), True)
+            raise Conflict(f"version {base + 1} of {self.path} was written by another")
+        if not fs.exists(path(f"{self._at(base + 1)}/_SUCCESS")):
+            raise Conflict(f"version {base + 1} of {self.path} was written by another")
+
+    def clean(self, keep: int = 2) -> None:
+        """Remove all versions but the last ones."""
+        fs, path = self._files()
+        for version in self.versions()[:-keep]:
+            fs.delete(path(self._at(version)), True)
 
     def upsert(self, rows: DataFrame, touch: bool = False) -> None:
-        self._replace(merged(self.table(), rows, touch))
+        self._replace(lambda old: merged(old, rows, touch))
 
     def get(self, document_id: str) -> DataFrame:
         return self.table().filter(F.col("document_id") == document_id).limit(1)
@@ -66,7 +97,7 @@ class Catalog:
         rows = self.table()
         if not rows.filter(F.col("document_id") == document_id).limit(1).count():
             return False
-        self._replace(rows.filter(F.col("document_id") != document_id))
+        self._replace(lambda old: old.filter(F.col("document_id") != document_id))
         return True
 
     def word_index(self, document_id: str) -> DataFrame:
@@ -95,6 +126,12 @@ def from_json(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", F.transform_keys(i["by_page"], lambda k, _: k.cast("int")).alias("by_page"), i["by_word"].alias("by_word"))
 
 
+def words_of(stored: DataFrame) -> DataFrame:
+    """doc_id, page_num, pos, x0, y0, x1, y1, text of every word of stored documents (doc_id, word_index)."""
+    pages = from_json(stored).select("doc_id", F.explode("by_page").alias("page_num", "ws"))
+    return pages.select("doc_id", "page_num", F.posexplode("ws").alias("pos", "w")).select("doc_id", "page_num", "pos", "w.x0", "w.y0", "w.x1", "w.y1", "w.text")
+
+
 def ingest(catalog: Catalog, texts: DataFrame, words: DataFrame, significant: DataFrame) -> int:
     """Store documents (doc_id, filename, extracted_text, page_count) with their index; how many."""
     rows = texts.join(to_json(words, significant), "doc_id", "left").withColumn("document_id", F.col("doc_id").cast("string"))

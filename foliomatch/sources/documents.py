@@ -6,6 +6,7 @@ file's bytes to pages, a recogniser an image to detections. What is done with th
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from foliomatch.config import CONFIG
 from foliomatch.functions.text import blank
 
+LOG = logging.getLogger(__name__)
 PAGES = "path string, page_num int, width double, height double, native_text string, image binary"
 
 
@@ -37,7 +39,8 @@ def pages(found: DataFrame, pager: Callable[[bytes], list[dict]]) -> DataFrame:
             for path, content in zip(part["path"], part["content"], strict=True):
                 try:
                     rows = pager(content)
-                except (ValueError, OSError):
+                except Exception as e:  # the pager is the caller's code: whatever it raises costs one file
+                    LOG.warning("%s can't be opened: %s", path, e)
                     rows = []
                 yield pd.DataFrame([{"path": path, **r} for r in rows], columns=[c.split()[0] for c in PAGES.split(", ")])
 
@@ -45,7 +48,7 @@ def pages(found: DataFrame, pager: Callable[[bytes], list[dict]]) -> DataFrame:
 
 
 def recognised(images: DataFrame, recogniser: Callable[[bytes], list[tuple]]) -> DataFrame:
-    """Detections of page images, one model per worker; a page that fails has none."""
+    """Detections of page images; a page that fails has none. The recogniser keeps its own model, once a worker."""
     schema = "path string, page_num int, det_no int, tlx double, tly double, trx double, try_ double, brx double, bry double, blx double, bly double, text string, prob double"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -54,7 +57,8 @@ def recognised(images: DataFrame, recogniser: Callable[[bytes], list[tuple]]) ->
             for path, page, image in zip(part["path"], part["page_num"], part["image"], strict=True):
                 try:
                     found = recogniser(image)
-                except (ValueError, OSError):
+                except Exception as e:  # the recogniser is the caller's code: whatever it raises costs one page
+                    LOG.warning("page %s of %s can't be recognised: %s", page, path, e)
                     found = []
                 yield pd.DataFrame([(path, page, i, *corners, text, prob) for i, (corners, text, prob) in enumerate(found)], columns=names)
 
@@ -84,11 +88,27 @@ def page_source(counts: DataFrame, force_ocr: bool = CONFIG.force_ocr) -> DataFr
     return counts.select("doc_id", "page_num", F.when(F.lit(force_ocr) | few, "ocr").otherwise("native").alias("source"))
 
 
+def page_words(native: DataFrame, detections: DataFrame, force_ocr: bool = CONFIG.force_ocr) -> DataFrame:
+    """doc_id, page_num, pos, x0, y0, x1, y1, text: each page's words from its source. A page with fewer native words than
+    the least has recognised words, or none; the others' native words must lie on the page.
+
+    native: doc_id, page_num, pos, x0, y0, x1, y1, text, page_w, page_h; detections: as detection_words takes them."""
+    box = ("x0", "y0", "x1", "y1", "text")
+    recognised_ = detection_words(detections).select("doc_id", "page_num", F.col("det_no").alias("pos"), *box)
+    if force_ocr:
+        return recognised_
+    pages_ = native.groupBy("doc_id", "page_num").agg(F.count(F.lit(1)).alias("native_words"))
+    pages_ = pages_.unionByName(detections.select("doc_id", "page_num", F.lit(0).cast("long").alias("native_words")).distinct())
+    chosen = page_source(pages_.groupBy("doc_id", "page_num").agg(F.max("native_words").alias("native_words")), False)
+    of = lambda df, kind: df.join(chosen.filter(F.col("source") == kind), ["doc_id", "page_num"], "left_semi")
+    return of(inside_page(native), "native").select("doc_id", "page_num", "pos", *box).unionByName(of(recognised_, "ocr"))
+
+
 def extracted_text(page_texts: DataFrame) -> DataFrame:
     """doc_id, extracted_text: each page's native text if not blank, else its recognised text, under a heading.
     A page without recognised text (null) is left out."""
     native = ~blank(F.col("native_text"))
     chunk = lambda kind, c: F.format_string(f"--- Page %d ({kind}) ---\n%s\n", F.col("page_num") + 1, F.col(c))
-    text = F.when(native, chunk("Native", "native_text")).when(F.col("ocr_text").isNotNull(), chunk("OCR", "ocr_text"))
+    text = F.when(native, chunk("Native", "native_text")).when(F.col("ocr_text").isNotNull(), chunk("EasyOCR", "ocr_text"))
     items = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("page_num", text.alias("t")))))
     return page_texts.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), "").alias("extracted_text"))

@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where that is unset (single-machine sessions such as tests), a fresh
-    temporary folder that is then set."""
+    """spark.checkpoint.dir. Where that is unset, a session on one machine (local master, as in tests) gets a temporary
+    folder, which is then set; on a cluster executors would write where the driver can't read, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="foliomatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def removed(spark: SparkSession) -> None:
+    """Delete the session's intermediates, once no table made from them is read any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate once to the shared folder and read it back.
 

@@ -115,3 +115,40 @@ def test_near_copies_over_chunks(spark, chunk):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {(a, min(later)) for a, s in rows if (later := [b for b, t in rows if b > a and t != s and t[:80] == s[:80]])}
     assert {(r.doc1, r.doc2) for r in compare.near_copies(docs, chunk=chunk).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [3, 100])
+def test_close_pairs(spark, chunk):
+    """Whole texts of any length: edits at the beginning, short texts, equal texts, texts without words."""
+    made = random.Random(4)
+    word = lambda: f"w{made.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    rows = [(1, None), (2, ""), (3, " ".join(base)), (4, " ".join(["new", *base])), (5, " ".join(base)), (6, " ".join(word() for _ in range(300))), (7, "one two"), (8, "one  two"), (9, "one three"), (10, " ".join([*base, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc1, r.doc2) for r in compare.close_pairs(docs, chunk=chunk).collect()} == {(3, 4), (4, 5), (5, 10), (7, 8)}
+
+
+def test_close_pairs_find_near_copies(spark):
+    """Recall of pairs that share four fifths of their shingles, by brute force."""
+    made = random.Random(5)
+    rows = []
+    for i in range(150):
+        base = [f"w{made.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, *(f"x{made.randrange(10**6)}" for _ in range(24))]))]
+    found = {(r.doc1, r.doc2) for r in compare.close_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found) and len(found) >= 0.92 * 150
+
+
+def test_matched_places_are_distinct(spark):
+    pairs, found, vocab = tables(spark, "same word same", "same word")
+    again = found.union(found.filter("doc_id = 1 and pos = 0"))
+    row = compare.same_summary(pairs, again, words.vocabulary(again)).first()
+    assert (row.matched_doc1, row.matched_doc2, row.matched_unique_words) == (3, 2, 2)
+
+
+def test_report_sink(spark, tmp_path):
+    pairs, found, vocab = tables(spark, A, B)
+    for mode, summary in (("same", compare.same_summary(pairs, found, vocab)), ("diff", compare.diff_summary(pairs, found, vocab))):
+        compare.write_report(compare.report_lines(summary, mode), str(tmp_path / mode))
+        (one,) = (tmp_path / mode / "pair_id=1").glob("*.txt")
+        assert one.read_text().splitlines()[0] == ("Mode: matches" if mode == "same" else "Mode: differences")

@@ -73,7 +73,7 @@ def test_extracted_text(spark):
     rows = [("d", 1, None, "ocr"), ("d", 0, "native", None), ("d", 2, " \n", None), ("e", 0, None, None)]
     out = documents.extracted_text(spark.createDataFrame(rows, "doc_id string, page_num int, native_text string, ocr_text string"))
     got = {r.doc_id: r.extracted_text for r in out.collect()}
-    assert got == {"d": "--- Page 1 (Native) ---\nnative\n--- Page 2 (OCR) ---\nocr\n", "e": ""}
+    assert got == {"d": "--- Page 1 (Native) ---\nnative\n--- Page 2 (EasyOCR) ---\nocr\n", "e": ""}
 
 
 def test_model(spark):
@@ -88,3 +88,51 @@ def test_model(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_catalog_survives_a_killed_write_and_two_writers(spark, tmp_path):
+    store = catalog.Catalog(spark, str(tmp_path / "c"))
+    store.upsert(row(spark, ("a", "a.pdf", "one", None, 1)))
+    # a writer that was killed before its folder was complete, and one killed before the rename
+    (tmp_path / "c" / "v-00000002").mkdir()
+    (tmp_path / "c" / "new-killed").mkdir()
+    assert [r.document_id for r in store.table().collect()] == ["a"] and store.versions() == [1]
+    with pytest.raises(catalog.Conflict):
+        store.upsert(row(spark, ("b", "b.pdf", "two", None, 1)))
+    (tmp_path / "c" / "v-00000002").rmdir()
+    store.upsert(row(spark, ("b", "b.pdf", "two", None, 1)))
+    # two writers that began with version 2: the second fails and nothing of the first is lost
+    store._replace(lambda old: catalog.merged(old, row(spark, ("c", "c.pdf", "x", None, 1))), base=2)
+    with pytest.raises(catalog.Conflict):
+        store._replace(lambda old: catalog.merged(old, row(spark, ("d", "d.pdf", "x", None, 1))), base=2)
+    assert sorted(r.document_id for r in store.table().collect()) == ["a", "b", "c"]
+    store.clean(1)
+    assert store.versions() == [3] and store.table().count() == 3
+
+
+def test_words_of_a_stored_index(spark):
+    w = words.occurrences(spark.createDataFrame([(1, "Hello big world\nagain hello"), (2, "x")], "doc_id long, text string"))
+    stored = catalog.to_json(w, words.normalised(w))
+    assert sorted(map(tuple, catalog.words_of(stored).collect())) == sorted(map(tuple, w.collect()))
+
+
+def test_page_words(spark):
+    native = [(1, 0, i, 1.0 * i, 1.0, i + 1.0, 2.0, f"n{i}", 6.0, 9.0) for i in range(8)] + [(1, 1, 0, 0.0, 0.0, 1.0, 1.0, "few", 6.0, 9.0)]
+    native = spark.createDataFrame(native, "doc_id long, page_num int, pos int, x0 double, y0 double, x1 double, y1 double, text string, page_w double, page_h double")
+    seen = [(1, p, 0, 0.0, 0.0, 4.0, 0.0, 4.0, 2.0, 0.0, 2.0, f"o{p}", 0.9, 1.0, 1.0) for p in range(3)]
+    seen = spark.createDataFrame(seen, "doc_id long, page_num int, det_no int, tlx double, tly double, trx double, try_ double, brx double, bry double, blx double, bly double, text string, prob double, scale_x double, scale_y double")
+    got = sorted((r.page_num, r.text) for r in documents.page_words(native, seen, False).collect())
+    assert got == [(0, f"n{i}") for i in range(6)] + [(1, "o1"), (2, "o2")]
+    assert sorted(r.text for r in documents.page_words(native, seen, True).collect()) == ["o0", "o1", "o2"]
+
+
+def test_errors_of_any_kind_cost_one_file(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"a")
+    (tmp_path / "b.pdf").write_bytes(b"b")
+
+    def pager(content):
+        if content == b"a":
+            raise RuntimeError("broken")
+        return [{"page_num": 0, "width": 1.0, "height": 1.0, "native_text": "b", "image": b""}]
+
+    assert [r.native_text for r in documents.pages(documents.files(spark, str(tmp_path)), pager).collect()] == ["b"]
