@@ -47,11 +47,11 @@ WINDOW = (-2, -1, 1, 2)
 SIZE = 16
 STEP_WORDS, RATE = 8_192, 0.05
 COPY_WORDS, ROUNDS, FAN = 2_000_000, 2, 64
-SLICE_BYTES, SLICE_WORDS = 1 << 24, 1 << 20
+SLICE_BYTES, SLICE_WORDS = 1 << 22, 1 << 17
 #: Slots of the rarer words' counts, at least and at most, and slots that one row of their table holds.
 LEAST_SLOTS, MOST_SLOTS, ROW_SLOTS = 1 << 18, 1 << 26, 1 << 16
 #: Distinct words a task counts before it passes them on.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 19
 UNSEEN = 0.5
 
 
@@ -292,7 +292,7 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def windows(ids: np.ndarray, text_of: np.ndarray, texts: int, mark: int) -> np.ndarray:
     """The neighbours' ids of every word, one row per place; `mark` beyond a text's ends."""
     reach = max(map(abs, WINDOW))
-    padded = np.full(len(ids) + reach * (texts + 1), mark, np.int64)
+    padded = np.full(len(ids) + reach * (texts + 1), mark, np.int32)
     at = np.arange(len(ids)) + reach * (text_of + 1)
     padded[at] = ids
     return np.stack([padded[at + w] for w in WINDOW])
@@ -350,7 +350,7 @@ def _pass(rows: DataFrame, start: np.ndarray, classes: int) -> DataFrame:
 
         for part, ids, text_of in _word_slices(batches, 1, np.uint16):
             copies = np.asarray(part.column(0))
-            context, ids = windows(ids, text_of, part.num_rows, classes**2), ids.astype(np.int64)
+            context, ids = windows(ids, text_of, part.num_rows, classes**2), ids.astype(np.int32)
             for which in np.unique(copies).tolist():  # in order, as the rows are
                 if which != now:
                     if copy and copy.seen + copy.n:
