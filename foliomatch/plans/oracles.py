@@ -146,13 +146,13 @@ INLINE_PAIRS = ((-1, -2), (-3, -4), (-5, -6))
 _chr = lambda t: q(t).replace("\n", "' || chr(10) || '")
 PAIRS = f"""
 docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_chr(t)})' for i, t in INLINE)})),
-r AS (SELECT doc_id, md5(text) AS digest, regexp_extract_all(text, {q(P.TOKEN)}) AS w FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, digest, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM r),
-s5 AS (SELECT doc_id, digest, i, n, t || {' || '.join(f"coalesce(' ' || lead(t, {k}) OVER k, '')" for k in range(1, 5))} AS s FROM u WINDOW k AS (PARTITION BY doc_id, digest ORDER BY i)),
-sh AS (SELECT doc_id, digest, md5(s) AS x FROM s5 WHERE i <= greatest(n - 4, 1)),
-ends AS (SELECT doc_id, digest, [min(x[1:16]), max(x[1:16]), min(x[17:32]), max(x[17:32])] AS e FROM sh GROUP BY ALL),
-heads AS (SELECT doc_id, digest, unnest([{', '.join(f"'{i}{j}:' || e[{i + 1}] || ':' || e[{j + 1}]" for i in range(4) for j in range(i + 1, 4))}]) AS head FROM ends),
-pairs AS (SELECT a.doc_id AS pair_id, a.doc_id AS doc1, min(b.doc_id) AS doc2 FROM heads a JOIN heads b ON a.head = b.head AND a.doc_id < b.doc_id AND a.digest <> b.digest GROUP BY ALL
+near_tokens AS (SELECT doc_id, md5(text) AS digest, regexp_extract_all(text, {q(P.TOKEN)}) AS w FROM documents WHERE text IS NOT NULL),
+near_words AS (SELECT doc_id, digest, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM near_tokens),
+near_runs AS (SELECT doc_id, digest, i, n, t || {' || '.join(f"coalesce(' ' || lead(t, {k}) OVER k, '')" for k in range(1, 5))} AS s FROM near_words WINDOW k AS (PARTITION BY doc_id, digest ORDER BY i)),
+near_hashes AS (SELECT doc_id, digest, md5(s) AS x FROM near_runs WHERE i <= greatest(n - 4, 1)),
+near_ends AS (SELECT doc_id, digest, [min(x[1:16]), max(x[1:16]), min(x[17:32]), max(x[17:32])] AS e FROM near_hashes GROUP BY ALL),
+near_heads AS (SELECT doc_id, digest, unnest([{', '.join(f"'{i}{j}:' || e[{i + 1}] || ':' || e[{j + 1}]" for i in range(4) for j in range(i + 1, 4))}]) AS head FROM near_ends),
+pairs AS (SELECT a.doc_id AS pair_id, a.doc_id AS doc1, min(b.doc_id) AS doc2 FROM near_heads a JOIN near_heads b ON a.head = b.head AND a.doc_id < b.doc_id AND a.digest <> b.digest GROUP BY ALL
   UNION ALL SELECT * FROM (VALUES {', '.join(f'({a}, {a}, {b})' for a, b in INLINE_PAIRS)})),
 chosen AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc1 FROM pairs UNION SELECT doc2 FROM pairs))"""
 BASE = f"WITH {PAIRS}, {words('chosen')}, {VOCABULARY}"

@@ -33,5 +33,5 @@ def test_query(spark, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 8
+    assert __spark_entry__.entry(spark).count() == 16
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
