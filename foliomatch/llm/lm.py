@@ -135,7 +135,7 @@ def _as_byte(n: np.ndarray) -> np.ndarray:
     return np.where(n < 64, n, np.minimum(64 + np.round(8 * np.log2(np.maximum(n, 64) / 64)), 255)).astype(np.uint8)
 
 
-_OF_BYTE = np.concatenate([[UNSEEN], np.arange(1, 64), 64 * 2 ** (np.arange(192) / 8)])
+_LOG_OF_BYTE = np.log(np.concatenate([[UNSEEN], np.arange(1, 64), 64 * 2 ** (np.arange(192) / 8)]))
 
 
 @dataclass
@@ -153,7 +153,7 @@ class Vocabulary:
     def ids(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and logarithms of their parts of their ids."""
         out = self.shared[_share(words, len(self.shared))]
-        part = np.log(_OF_BYTE[self.counts[_slot(words, len(self.counts))]] / np.maximum(self.of_id[out], 1))
+        part = _LOG_OF_BYTE[self.counts[_slot(words, len(self.counts))]] - np.log(np.maximum(self.of_id, 1))[out]
         if len(self.own):
             at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
             mine = self.own[at] == words
@@ -232,45 +232,52 @@ class Network:
         return net
 
     def forward(self, context: np.ndarray, ids: np.ndarray):
-        """Logarithms of the conditional probabilities of ids in order, and what backward needs."""
-        hidden = self.embed[0][context[0]]
+        """Logarithms of the conditional probabilities of ids in order, and what backward needs. Matrices have a column a word."""
+        hidden = self.embed[0].take(context[0], axis=0)
         for k in range(1, len(WINDOW)):
-            hidden += self.embed[k][context[k]]
-        hidden = np.tanh(hidden + self.bias)
-        classes = ids // self.classes
-        of_class, log_c = _softmax(hidden @ self.to_class + self.class_bias)
+            hidden += self.embed[k].take(context[k], axis=0)
+        hidden += self.bias
+        hidden = np.tanh(np.ascontiguousarray(hidden.T))
+        classes, words = np.divmod(ids, self.classes)
         bounds = np.searchsorted(classes, np.arange(self.classes + 1))
-        logits = np.empty((len(ids), self.classes), self.flat.dtype)
+        of_class, in_class = (np.empty((self.classes, len(ids)), self.flat.dtype) for _ in range(2))
+        np.matmul(self.to_class.T, hidden, out=of_class)
+        of_class += self.class_bias[:, None]
         for c in range(self.classes):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                logits[a:b] = hidden[a:b] @ self.to_word[c] + self.word_bias[c]
-        in_class, log_w = _softmax(logits)
-        rows = np.arange(len(ids))
-        score = log_c[rows, classes] + log_w[rows, ids % self.classes]
-        return score, (hidden, of_class, in_class, classes, bounds)
+                in_class[:, a:b] = self.to_word[c].T @ hidden[:, a:b] + self.word_bias[c][:, None]
+        score, class_total = _exponentials(of_class, classes)
+        of_word, word_total = _exponentials(in_class, words)
+        return score + of_word, (hidden, of_class, class_total, in_class, word_total, classes, words, bounds)
 
     def gradient(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of minus the mean logarithm of the probabilities, by all parameters."""
-        _, (hidden, of_class, in_class, classes, bounds) = self.forward(context, ids)
-        rows = np.arange(len(ids))
-        of_class[rows, classes] -= 1
-        in_class[rows, ids % self.classes] -= 1
+        _, (hidden, of_class, class_total, in_class, word_total, classes, words, bounds) = self.forward(context, ids)
+        columns = np.arange(len(ids))
+        of_class /= class_total
+        in_class /= word_total
+        of_class[classes, columns] -= 1
+        in_class[words, columns] -= 1
         grad = Network(np.zeros(len(self.flat), self.flat.dtype), self.classes)
-        grad.to_class[:] = hidden.T @ of_class
-        grad.class_bias[:] = of_class.sum(0)
-        back = of_class @ self.to_class.T
+        grad.to_class[:] = hidden @ of_class.T
+        grad.class_bias[:] = of_class.sum(1)
+        back = self.to_class @ of_class
         for c in range(self.classes):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                grad.to_word[c] = hidden[a:b].T @ in_class[a:b]
-                grad.word_bias[c] = in_class[a:b].sum(0)
-                back[a:b] += in_class[a:b] @ self.to_word[c].T
-        back *= 1 - hidden * hidden
-        grad.bias[:] = back.sum(0)
+                part = in_class[:, a:b]
+                grad.to_word[c] = hidden[:, a:b] @ part.T
+                grad.word_bias[c] = part.sum(1)
+                back[:, a:b] += self.to_word[c] @ part
+        hidden *= hidden
+        back *= 1 - hidden
+        grad.bias[:] = back.sum(1)
+        back = back.astype(np.float64)
         for k in range(len(WINDOW)):
+            at = context[k].astype(np.intp)
             for j in range(SIZE):
-                grad.embed[k, :, j] = np.bincount(context[k], back[:, j], self.classes**2 + 1)
+                grad.embed[k, :, j] = np.bincount(at, back[j], self.classes**2 + 1)
         return grad.flat / self.flat.dtype.type(len(ids))
 
     def step(self, context: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
@@ -280,13 +287,18 @@ class Network:
         self.flat -= np.float32(RATE) * g / (np.sqrt(squares) + np.float32(1e-4))
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(1, keepdims=True)
-    logits -= np.log(total)
-    p /= total
-    return p, logits
+def _exponentials(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the chosen rows' probabilities, column by column, and the columns' totals; logits become exponentials."""
+    logits -= logits.max(0)
+    score = logits[chosen, np.arange(logits.shape[1])]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    return score - np.log(total), total
+
+
+def _by_id(ids: np.ndarray) -> np.ndarray:
+    """The stable order by id; ids are below 65,536, for which numpy sorts by radix."""
+    return np.argsort(ids.astype(np.uint16), kind="stable")
 
 
 def windows(ids: np.ndarray, text_of: np.ndarray, texts: int, mark: int) -> np.ndarray:
@@ -304,7 +316,7 @@ def log_likelihoods(net: Network, vocab: Vocabulary, words: np.ndarray, text_of:
     context = windows(ids, text_of, texts, net.classes**2)
     score = np.zeros(len(ids))
     for at in range(0, len(ids), STEP_WORDS):
-        order = at + np.argsort(ids[at : at + STEP_WORDS], kind="stable")
+        order = at + _by_id(ids[at : at + STEP_WORDS])
         score[order] = net.forward(context[:, order], ids[order])[0]
     return np.bincount(text_of, minlength=texts), np.bincount(text_of, score + part, texts)
 
@@ -327,7 +339,7 @@ class Copy:
         rows = np.concatenate(self.held, 1)
         for at in range(0, end, STEP_WORDS):
             part = rows[:, at : min(at + STEP_WORDS, end)]
-            part = part[:, np.argsort(part[0], kind="stable")]
+            part = part[:, _by_id(part[0])]
             self.net.step(part[1:], part[0], self.squares)
         self.seen += end
         self.held, self.n = [rows[:, end:]], self.n - end
