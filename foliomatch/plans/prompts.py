@@ -42,6 +42,29 @@ def summary(text1: str = "text1", text2: str = "text2") -> Column:
     return F.concat(F.lit("Explain this comparison: document type, key data, what agrees, what differs, what to verify.\n\n"), stats, F.lit("\n\nDocument 1:\n"), _cut(text1, PREVIEW_CHARS), F.lit("\n\nDocument 2:\n"), _cut(text2, PREVIEW_CHARS))
 
 
+EXPLAIN = {
+    "en": "Explain the result of this comparison: what kind of documents they are, their key data, what agrees, what differs, what it means and what to verify.",
+    "th": "อธิบายผลการเปรียบเทียบนี้เป็นภาษาไทย: ชนิดของเอกสาร ข้อมูลสำคัญ สิ่งที่ตรงกัน สิ่งที่ต่างกัน ความหมาย และสิ่งที่ควรตรวจสอบ",
+}
+
+
+def explain(mode: str = "diff", language: str = "en") -> Column:
+    """From a summary of either mode with name1, name2, text1 and text2: names, sizes, the rate to one decimal, samples and the
+    beginnings of the texts. A null or empty text is left out."""
+    s = lambda c: F.col(c).cast("string")
+    doc = lambda n: F.concat(F.lit(f"Document {n}: "), F.coalesce(s(f"name{n}"), F.lit(f"Document {n}")), F.lit(" ("), s(f"doc{n}_pages"), F.lit(" pages, "), s(f"doc{n}_total_words"), F.lit(" words)"))
+    rate = lambda what, c: F.format_string(f"{what} rate: %.1f%%", F.col(c).cast("double"))
+    if mode == "same":
+        own = [F.concat(F.lit(f"Matching words in document {n}: "), s(f"matched_doc{n}")) for n in (1, 2)]
+        own += [rate("Match", "match_rate"), F.concat(F.lit("Sample: "), F.col("sample_matched"))]
+    else:
+        own = [F.concat(F.lit(f"Words only in document {n}: "), s(f"diff_doc{n}")) for n in (1, 2)]
+        own += [rate("Difference", "diff_rate"), *[F.concat(F.lit(f"Sample {n}: "), F.col(f"sample_doc{n}")) for n in (1, 2)]]
+    stats = F.concat_ws("\n", F.lit("Mode: matches" if mode == "same" else "Mode: differences"), doc(1), doc(2), *own)
+    previews = [F.when(F.length(f"text{n}") > 0, F.concat(F.lit(f"Document {n}:\n"), _cut(f"text{n}", PREVIEW_CHARS))) for n in (1, 2)]
+    return F.concat_ws("\n\n", F.lit(EXPLAIN[language]), stats, *previews)
+
+
 def answered(prompts: DataFrame, model: Callable[[str, int], str], max_tokens: int) -> DataFrame:
     """prompts (key, prompt) with the model's answer; an error becomes the answer's text."""
 
