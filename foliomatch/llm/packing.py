@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         else:  # the last `over` windows of a meet those of b in the opposite order
             x, y = a[-over:], b[-over:][::-1]
             merged = a[:-over] + b[:-over] + [(p[0] + q[0], (p[1], q[1])) for p, q in zip(x, y, strict=True)]
-        merged.sort(key=lambda w: -w[0])
+        merged.sort(key=itemgetter(0), reverse=True)
         least = merged[-1][0] if len(merged) == k else 0
         heapq.heappush(heap, (least - merged[0][0], made, merged))
         made += 1

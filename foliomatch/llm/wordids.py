@@ -8,6 +8,7 @@ text costs what its distinct pieces cost."""
 from __future__ import annotations
 
 import json
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +94,15 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         offsets -= offsets[0]
         pieces = coded.dictionary.to_pylist()
-        new = [p for p in pieces if p not in self.index]
-        if len(self.index) + len(new) > KEPT:
+        # one look-up a distinct piece; new ones get the next numbers, in order
+        known = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(known < 0)
+        if len(self.index) + len(fresh) > KEPT:
             self.clear()
-            new = pieces
-        self._add(new)
-        which = np.fromiter((self.index[p] for p in pieces), np.int64, len(pieces))[np.asarray(coded.indices)]
+            fresh = np.arange(len(pieces))
+        known[fresh] = np.arange(len(self.index), len(self.index) + len(fresh))
+        self._add([pieces[i] for i in fresh.tolist()])
+        which = known[np.asarray(coded.indices)]
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
