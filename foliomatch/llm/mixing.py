@@ -7,9 +7,9 @@ these times, until the budget is used up, serves all sources at once in proporti
 
 Scale: documents are read once for a narrow table (id, source, size, key). Running sums never put a
 whole source into one task: each source is cut into ranges of its shuffle key, summed by range, and a
-prefix sum over the ranges is added to the sum inside a range. The global order is cut in the same
-way into ranges of the virtual time, which serve about equal numbers of words by construction. The
-decision is a key per source and repeat, so it is applied to the documents without a shuffle.
+prefix sum over the ranges (in two steps) is added to the sum inside a range. The global order is cut in the same
+way into ranges of the virtual time, which serve about equal numbers of words by construction; there are many
+more of them than tasks, so that tasks get about equal rows too. The decision is a key per source and repeat, so it is applied to the documents without a shuffle.
 
 Defined cases: a null or empty text, or one of white space only, has size 0 and takes 0 words; such a
 document goes with the one behind it in its source, and not at all where its source has no words. A null
@@ -30,8 +30,8 @@ from foliomatch.llm.common import WS, small, table, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-#: Rows that one range of keys or virtual times holds on average.
-RANGE_ROWS = 20_000
+#: Rows that one range of keys or virtual times holds on average; small, so that ranges even out over the tasks.
+RANGE_ROWS = 2_000
 SEED = 7
 
 
@@ -69,6 +69,18 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     return per.withColumn("target", F.least(cap, F.col("weight") * F.col("level"))).drop("_level")
 
 
+def sums_before(sums: DataFrame, by: list[str], at: str, group: Column, size: str, name: str) -> DataFrame:
+    """sums with the total of `size` at all places before each one, by `by` and in the order of `at`.
+
+    Two steps, as there are as many places as rows of the corpus allow: inside groups of neighbouring places, then over
+    the groups. Each window sorts about the square root of the places."""
+    sums = sums.withColumn("_group", group)
+    earlier = lambda df, keys, order, c: df.withColumn(name, F.coalesce(F.sum(c).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    groups = earlier(sums.groupBy(*by, "_group").agg(F.sum(size).alias("_all")), by, "_group", "_all").withColumnRenamed(name, "_base")
+    inside = earlier(sums, [*by, "_group"], at, size)
+    return inside.join(groups.select(*by, "_group", "_base"), [*by, "_group"]).withColumn(name, F.col(name) + F.col("_base")).select(*by, at, name)
+
+
 def mix_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per source: its targets and last_keys, for each repeat the last key that is taken."""
     per = written(source_targets(sized, weights, max_repeats), "mix-sources")
@@ -78,11 +90,8 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats
     rows = sized.join(small(one), F.col("source").eqNullSafe(F.col("_s"))).select(
         "rank", "weight", "source_size", "level", "budget", "size", "key", F.substring("key", 1, digits).alias("range")
     )
-    before = (
-        rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
-        .withColumn("before", F.coalesce(F.sum("in_range").over(W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .drop("in_range")
-    )
+    in_range = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
+    before = sums_before(in_range, ["rank"], "range", F.substring("range", 1, digits // 2), "in_range", "before")
     inside = rows.withColumn("inside", F.sum("size").over(W.partitionBy("rank", "range").orderBy("key")))
     sent = inside.join(before, ["rank", "range"]).withColumn("sent", F.col("before") + F.col("inside"))
     rounds = F.array(*[F.lit(i) for i in range(max_repeats)])
@@ -90,15 +99,15 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats
     offers = sent.filter(F.col("size") > 0).withColumn("round", F.explode(rounds)).filter(F.col("round") * F.col("source_size") <= F.col("weight") * F.col("level"))
     offers = offers.withColumn("finish", (F.col("round") * F.col("source_size") + F.col("sent")) / F.col("weight"))
     slots = max(1, math.ceil(n / RANGE_ROWS))
-    slot = F.when(F.col("level") > 0, F.least(F.lit(slots), F.floor(F.col("finish") / F.col("level") * slots))).otherwise(0)
+    # ranges go on behind the level: what isn't taken there is no heap at the end
+    slot = F.when(F.col("level") > 0, F.floor(F.col("finish") / F.col("level") * slots)).otherwise(0)
     offers = offers.withColumn("slot", slot.cast("long")).select("rank", "round", "key", "size", "finish", "slot", "budget")
-    earlier = (
-        offers.groupBy("slot").agg(F.sum("size").alias("in_slot"))
-        .withColumn("earlier", F.coalesce(F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .drop("in_slot")
-    )
+    in_slot = offers.groupBy("slot").agg(F.sum("size").alias("in_slot"))
+    earlier = sums_before(in_slot, [], "slot", F.floor(F.col("slot") / max(1, math.isqrt(slots))), "in_slot", "earlier")
     running = F.sum("size").over(W.partitionBy("slot").orderBy("finish", "rank", "key"))
-    taken = offers.withColumn("running", running).join(earlier, "slot").filter(F.col("earlier") + F.col("running") <= F.col("budget"))
+    # a range that begins behind the budget has nothing to take
+    open_ = offers.join(earlier, "slot").filter(F.col("earlier") < F.col("budget"))
+    taken = open_.withColumn("running", running).filter(F.col("earlier") + F.col("running") <= F.col("budget"))
     last = taken.groupBy("rank").agg(F.array(*[F.max(F.when(F.col("round") == i, F.col("key"))) for i in range(max_repeats)]).alias("last_keys"))
     return written(per.join(last, "rank", "left"), "mix-plan")
 
