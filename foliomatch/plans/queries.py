@@ -6,6 +6,7 @@ by their whole texts, and a few inline documents with Thai words, dates, times a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,10 @@ from foliomatch.config import CONFIG
 from foliomatch.functions import dates, labels, numbers, text
 from foliomatch.functions import patterns as P
 from foliomatch.operators import compare, similar, words
+from foliomatch.plans import jobs, prompts
 from foliomatch.plans import oracles as O
-from foliomatch.plans import prompts
 from foliomatch.sources import catalog, documents
-from foliomatch.sources.intermediate import spread, written
+from foliomatch.sources.intermediate import shared_dir, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,6 +159,25 @@ over_pairs("fuzzy_ladder", lambda p: p.named(similar.ladder(p.rest, p.other, CON
 over_pairs("fuzzy_ladder_index", lambda p: p.named(similar.ladder(p.rest, p.other, CONFIG.fuzzy_default, False), "a", "b"), f"{_own}, met AS ({O.matches('rest', CONFIG.fuzzy_default, False)}) SELECT pair_id, a, b FROM met")
 
 
+DIFF = ("pair_id", "side", "doc_id", "clean", "first_text", "n_occ")
+_number = lambda c: F.substring_index(c, ":", -1).cast("long").alias(c)
+
+
+def _numbered(summary: DataFrame) -> DataFrame:
+    return summary.select(*[_number(c) if c in ("doc1", "doc2") else c for c in summary.columns])
+
+
+def _from_catalog(p: Pairs, mode: str) -> jobs.Compared:
+    """The pairs with their second documents put into a catalog, whose stored word indexes are compared."""
+    second = p.docs.join(p.pairs.select(F.col("doc2").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = second.select("doc_id", F.concat("doc_id", F.lit(".txt")).alias("filename"), F.col("text").alias("extracted_text"), F.size(F.split("text", "\n", -1)).alias("page_count"))
+    of_second = p.words.join(texts.select("doc_id"), "doc_id", "left_semi")
+    store = _store(p.words.sparkSession)
+    catalog.ingest(store, texts, of_second, words.normalised(of_second))
+    pairs = p.pairs.select("pair_id", F.col("doc1").alias("doc_id"), F.col("doc2").cast("string").alias("document_id"))
+    return jobs.compare_with_catalog(pairs, p.words, store.table(), mode)
+
+
 def _number_anti(p: Pairs) -> DataFrame:
     value = numbers.smart_number(F.col("clean")).alias("value")
     own = p.own.filter(F.col("clean").rlike(r"\p{Nd}")).select("pair", "clean", value)
@@ -170,11 +190,14 @@ over_pairs(
     lambda p: p.named(p.own.join(p.other.select("pair", "clean"), ["pair", "clean"], "left_semi").select("pair", "doc_id", "clean").join(words.normalised(p.words), ["doc_id", "clean"]), "clean", "page_num", "pos", "text"),
     f"{_own} SELECT w.pair_id, w.clean, s.page_num, s.pos, s.text FROM own w JOIN signif s USING (doc_id, clean) WHERE EXISTS (SELECT 1 FROM vocab o WHERE o.doc_id = w.other AND o.clean = w.clean)",
 )
-for _name, _catalog in (("", False), ("_catalog", True)):
-    over_pairs(f"diff_words{_name}", lambda p, c=_catalog: compare.diff_words(p.pairs, p.words, p.vocab, c).select("pair_id", "side", "doc_id", "clean", "first_text", "n_occ"), f"{O.diff(_catalog)} SELECT pair_id, side::INT AS side, doc_id, clean, first_text, n_occ FROM diff")
-    over_pairs(f"same_words{_name}", lambda p, c=_catalog: compare.same_words(p.pairs, p.vocab, c), f"{O.same_ctes(_catalog)} SELECT pair_id, a, b, stage FROM same")
-    over_pairs(f"diff_summary{_name}", lambda p, c=_catalog: compare.diff_summary(p.pairs, p.words, p.vocab, c), f"{O.diff_summary(_catalog)} SELECT * FROM summary")
-    over_pairs(f"same_summary{_name}", lambda p, c=_catalog: compare.same_summary(p.pairs, p.words, p.vocab, c), O.same_summary(_catalog))
+over_pairs("diff_words", lambda p: compare.diff_words(p.pairs, p.words, p.vocab).select(*DIFF), f"{O.diff(False)} SELECT pair_id, side::INT AS side, doc_id, clean, first_text, n_occ FROM diff")
+over_pairs("same_words", lambda p: compare.same_words(p.pairs, p.vocab), f"{O.same_ctes(False)} SELECT pair_id, a, b, stage FROM same")
+over_pairs("diff_summary", lambda p: compare.diff_summary(p.pairs, p.words, p.vocab), f"{O.diff_summary(False)} SELECT * FROM summary")
+over_pairs("same_summary", lambda p: compare.same_summary(p.pairs, p.words, p.vocab), O.same_summary(False))
+over_pairs("diff_words_catalog", lambda p: _from_catalog(p, "diff").found.select(*[_number(c) if c == "doc_id" else c for c in DIFF]), f"{O.diff(True)} SELECT pair_id, side::INT AS side, doc_id, clean, first_text, n_occ FROM diff")
+over_pairs("same_words_catalog", lambda p: _from_catalog(p, "same").found, f"{O.same_ctes(True)} SELECT pair_id, a, b, stage FROM same")
+over_pairs("diff_summary_catalog", lambda p: _numbered(_from_catalog(p, "diff").summary), f"{O.diff_summary(True)} SELECT * FROM summary")
+over_pairs("same_summary_catalog", lambda p: _numbered(_from_catalog(p, "same").summary), O.same_summary(True))
 over_pairs("diff_samples", lambda p: compare.diff_summary(p.pairs, p.words, p.vocab).select("pair_id", "sample_doc1", "sample_doc2"), f"{O.diff_summary(False)} SELECT pair_id, sample_doc1, sample_doc2 FROM summary")
 over_pairs(
     "highlights", lambda p: compare.highlights(compare.diff_words(p.pairs, p.words, p.vocab), p.words, "diff"),
@@ -251,11 +274,30 @@ def _catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["catalog_upsert"] = _catalog_upsert
 ORACLES["catalog_upsert"] = f"""SELECT doc_id::VARCHAR AS document_id, source || '.pdf' AS filename, md5(text) AS digest, {_pages} AS page_count, doc_id IN (SELECT item_id FROM benchmark) AS kept_id FROM documents
 UNION ALL SELECT item_id::VARCHAR, item_id || '.pdf', md5(text), 1, true FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents)"""
-QUERIES["catalog_get"] = lambda spark, d: _stored(spark, d).filter(F.col("document_id") == "3").limit(1).select("document_id", "filename", "extracted_text")
+
+
+def _store(spark: SparkSession) -> catalog.Catalog:
+    """A new catalog among the session's intermediates."""
+    return catalog.Catalog(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/catalog-{uuid.uuid4().hex}")
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    store = _store(spark)
+    store.restore(_stored(spark, sf_dir))
+    return store
+
+
+def _catalog_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _filled(spark, sf_dir)
+    store.delete("3")
+    return store.table().select("document_id", "filename")
+
+
+QUERIES["catalog_get"] = lambda spark, d: _filled(spark, d).get("3").select("document_id", "filename", "extracted_text")
 ORACLES["catalog_get"] = "SELECT item_id::VARCHAR AS document_id, item_id || '.pdf' AS filename, text AS extracted_text FROM benchmark WHERE item_id = 3 LIMIT 1"
-QUERIES["catalog_list"] = lambda spark, d: _stored(spark, d).select("document_id", "filename", F.format_string("%s (%s)", "document_id", "filename").alias("label"), "page_count").orderBy(F.col("document_id").desc())
-ORACLES["catalog_list"] = "SELECT item_id::VARCHAR AS document_id, item_id || '.pdf' AS filename, item_id || ' (' || item_id || '.pdf)' AS label, 1::INT AS page_count FROM benchmark"
-QUERIES["catalog_delete"] = lambda spark, d: _stored(spark, d).filter(F.col("document_id") != "3").select("document_id", "filename")
+QUERIES["catalog_list"] = lambda spark, d: _filled(spark, d).listing().select("document_id", "filename", F.format_string("%s (%s)", "document_id", "filename").alias("label"), "page_count")
+ORACLES["catalog_list"] = "SELECT item_id::VARCHAR AS document_id, item_id || '.pdf' AS filename, item_id || ' (' || item_id || '.pdf)' AS label, 1::INT AS page_count FROM benchmark ORDER BY item_id DESC"
+QUERIES["catalog_delete"] = _catalog_delete
 ORACLES["catalog_delete"] = "SELECT item_id::VARCHAR AS document_id, item_id || '.pdf' AS filename FROM benchmark WHERE item_id <> 3"
 
 

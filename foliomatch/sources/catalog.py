@@ -87,11 +87,16 @@ class Catalog:
     def upsert(self, rows: DataFrame, touch: bool = False) -> None:
         self._replace(lambda old: merged(old, rows, touch))
 
+    def restore(self, rows: DataFrame) -> None:
+        """Put whole rows (COLUMNS) in as they are, with their ids and times; rows of the same document_id go."""
+        rows = rows.dropDuplicates(["document_id"])
+        self._replace(lambda old: old.join(rows.select("document_id"), "document_id", "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
+
     def get(self, document_id: str) -> DataFrame:
         return self.table().filter(F.col("document_id") == document_id).limit(1)
 
     def listing(self) -> DataFrame:
-        return self.table().select("id", "document_id", "filename", "page_count", "created_at").orderBy(F.col("created_at").desc())
+        return self.table().select("id", "document_id", "filename", "page_count", "created_at").orderBy(F.col("created_at").desc(), "document_id")
 
     def delete(self, document_id: str) -> bool:
         rows = self.table()
