@@ -22,7 +22,7 @@ task's memory grows with the corpus; the number of copies does, and the driver g
 
 Defined cases: null, empty and blank texts have no words, the sum 0 and a null mean. Texts shorter than
 the window see boundary marks. Repeated rows count and are scored each; rows with the same id and text go to
-one copy. Ties in frequency go to the smaller hash. An empty table trains nothing and gives no rows. Columns beyond
+one copy, over a hundred of them evenly to all. Ties in frequency go to the smaller hash. An empty table trains nothing and gives no rows. Columns beyond
 doc_id and text are ignored.
 """
 
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomatch.llm.common import table, text_slices, written
+from foliomatch.llm.common import small, table, text_slices, written
 
 CLASSES = 32
 WINDOW = (-2, -1, 1, 2)
@@ -383,6 +383,26 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"copy": [int(rows["copy"].min()) // FAN], "n": [int(n.sum())], "net": [(total / n.sum()).astype(np.float32).tobytes()]})
 
 
+def deal(rows: DataFrame, copies: int, repeats: int = 100) -> DataFrame:
+    """copy, order, words of encoded documents: each row goes to the copy of the network that its hash names. Rows with the
+    same id and text of which there are more than `repeats` are dealt out evenly over the copies from there on."""
+    order = F.xxhash64("doc_id", "h")
+    copy = lambda i: F.pmod(F.pmod(order, F.lit(copies)) + i, F.lit(copies)).alias("copy")
+    many = rows.groupBy("doc_id", "h").count().filter(F.col("count") > repeats)
+    many = written(many.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "count"), "lm-repeated")
+    if not many.count():
+        return rows.select(copy(F.lit(0)), order.alias("order"), "words")
+    many = small(many)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    one = rows.join(many, same).groupBy("doc_id", "h").agg(F.any_value("words").alias("words"), F.any_value("count").alias("count"))
+    some = one.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("count"), F.lit(copies).cast("long")) - 1)))
+    more = F.floor((F.col("count") - 1 - F.col("i")) / copies).alias("more")
+    # a copy's rows are made behind the shuffle
+    some = some.select(copy(F.col("i")), order.alias("order"), "words", more).repartition("copy")
+    some = some.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more")))).select("copy", "order", "words")
+    return rows.join(many, same, "left_anti").select(copy(F.lit(0)), order.alias("order"), "words").unionByName(some)
+
+
 def train(rows: DataFrame, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -> tuple[Network, Vocabulary]:
     """From encoded documents: the averaged network and the vocabulary."""
     vocab, total = vocabulary(written(count_words(rows), "lm-words"))
@@ -394,8 +414,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -
             ends = np.cumsum(np.bincount(text_of, minlength=part.num_rows))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binaries(vocab.ids(words)[0].astype(np.uint16), ends)], names=["copy", "order", "ids"])
 
-    order = F.xxhash64("doc_id", "h")
-    dealt = rows.select(F.pmod(order, F.lit(copies)).alias("copy"), order.alias("order"), "words").mapInArrow(ids, "copy long, order long, ids binary")
+    dealt = deal(rows, copies).mapInArrow(ids, "copy long, order long, ids binary")
     dealt = dealt.repartition(min(2 * copies, 10_000), "copy").sortWithinPartitions("copy", "order", "ids").select("copy", "ids")
     for _ in range(rounds if total else 0):
         made = written(_pass(dealt, net, classes), "lm-copies")

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -264,6 +265,20 @@ def test_lm_query(spark, docs, empty):
     assert lm.score(none, *lm.train(none)).count() == 0
 
 
+def test_lm_deals_repeated_rows_out(spark):
+    """A third of all rows without an id and with one text: every copy gets its share, none is lost, and the network is the
+    same for any partitions."""
+    hot = "one hot text of six words"
+    docs = spark.createDataFrame([(None, hot)] * 500 + [(i, f"words of document {i} and {i % 7}") for i in range(1000)], "doc_id long, text string")
+    coded = lm.encode(docs)
+    dealt = [(r.copy, bytes(r.words)) for r in lm.deal(coded, 40).collect()]
+    assert Counter(w for _, w in dealt) == Counter(bytes(r.words) for r in coded.collect()) and len(dealt) == 1500
+    words = Counter(w for _, w in dealt).most_common(1)[0][0]
+    assert sorted(Counter(c for c, w in dealt if w == words).values()) == [12] * 20 + [13] * 20
+    again = lm.encode(docs.orderBy(F.rand(5)).repartition(7))
+    assert (lm.train(coded, copy_words=300)[0].flat == lm.train(again, copy_words=300)[0].flat).all()
+
+
 def test_lm_learns(spark):
     rows = lm.encode(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     n = np.array([r.n for r in lm.count_words(rows).collect()])
