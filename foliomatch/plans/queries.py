@@ -45,13 +45,32 @@ def scalar(name: str, expression: Callable[[Column], Column], sql: str, kind: st
     ORACLES[name] = f"SELECT s, ({sql})::{kind} AS result FROM ({O.token_table(SAMPLES)})"
 
 
-def pairwise(name: str, samples: tuple[str, ...], expression: Callable[[Column, Column], Column], sql: str) -> None:
+def pairwise(name: str, samples: tuple[str, ...], expression: Callable[[Column, Column], Column], sql: str, numbers_only: bool = False) -> None:
+    """Over the samples, each with each, and over pairs of documents: their texts, or the numbers at the same places."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = spark.createDataFrame([(a, b) for a in samples for b in samples], "a string, b string")
+        p = Pairs(spark, sf_dir)
+        one = one.union(_same_places(p) if numbers_only else _texts_of_pairs(p))
         return one.select("a", "b", expression(F.col("a"), F.col("b")).alias("result"))
 
     QUERIES[name] = run
-    ORACLES[name] = f"SELECT a, b, ({sql}) AS result FROM (SELECT unnest([{', '.join(map(O.q, samples))}]) AS a), (SELECT unnest([{', '.join(map(O.q, samples))}]) AS b)"
+    if numbers_only:
+        two = f"{O.BASE}, two AS (SELECT DISTINCT v.text AS a, w.text AS b FROM pairs p JOIN words v ON v.doc_id = p.doc1 JOIN words w ON w.doc_id = p.doc2 AND w.page_num = v.page_num AND w.pos = v.pos WHERE {O.is_number('v.text')} AND {O.is_number('w.text')})"
+    else:
+        two = f"WITH {O.PAIRS}, two AS (SELECT x.text AS a, y.text AS b FROM pairs p JOIN docs x ON x.doc_id = p.doc1 JOIN docs y ON y.doc_id = p.doc2)"
+    listed = f"unnest([{', '.join(map(O.q, samples))}])"
+    ORACLES[name] = f"{two} SELECT a, b, ({sql}) AS result FROM (SELECT a, b FROM two UNION ALL SELECT a, b FROM (SELECT {listed} AS a), (SELECT {listed} AS b))"
+
+
+def _texts_of_pairs(p: Pairs) -> DataFrame:
+    of = lambda n, c: p.docs.select(F.col("doc_id").alias(f"doc{n}"), F.col("text").alias(c))
+    return p.pairs.join(of(1, "a"), "doc1").join(of(2, "b"), "doc2").select("a", "b")
+
+
+def _same_places(p: Pairs) -> DataFrame:
+    of = lambda n, c: p.words.filter(numbers.is_number(F.col("text"))).select(F.col("doc_id").alias(f"doc{n}"), "page_num", "pos", F.col("text").alias(c))
+    return p.pairs.join(of(1, "a"), "doc1").join(of(2, "b"), ["doc2", "page_num", "pos"]).select("a", "b").distinct()
 
 
 joined = lambda f: lambda s: F.array_join(f(s), "|")
@@ -70,11 +89,11 @@ scalar("date_context", dates.date_context, O.date_context("s"), "boolean")
 scalar("significant_words", labels.significant, O.significant(O.clean("s")), "boolean")
 scalar("form_labels", labels.form_label, O.form_label("s"), "boolean")
 scalar("document_id_from_path", documents.document_id, r"CASE WHEN regexp_matches(regexp_extract(s, '([^/\\]*)$', 1), '^\.[^.]*$') THEN regexp_extract(s, '([^/\\]*)$', 1) ELSE regexp_replace(regexp_extract(s, '([^/\\]*)$', 1), '\.[^.]*$', '') END", "string")
-_num = lambda x: f"CASE WHEN {O.is_number(x)} THEN ({O.ascii_digits(O.bare(x))})::DECIMAL(38,10) END"
+_num = lambda x: f"CASE WHEN {O.is_number(x)} THEN try_cast({O.ascii_digits(O.bare(x))} AS DECIMAL(38,10)) END"
 pairwise("numbers_equal", NUMBER_SAMPLES, numbers.numbers_equal, (
     f"coalesce(CASE WHEN ({_num('a')}) = floor({_num('a')}) AND ({_num('b')}) = floor({_num('b')}) THEN ({_num('a')}) = ({_num('b')}) "
     f"WHEN ({_num('b')}) <> 0 THEN abs((({_num('a')})::DOUBLE - ({_num('b')})::DOUBLE) / ({_num('b')})::DOUBLE) < 1e-6 ELSE ({_num('a')}) = 0 END, false)"
-))
+), True)
 pairwise("dates_match", DATED, lambda a, b: dates.lists_match(dates.extract_dates(a), dates.extract_dates(b)), O.match(O.extract_dates("a"), O.extract_dates("b")))
 pairwise("times_match", DATED, lambda a, b: dates.lists_match(dates.extract_times(a), dates.extract_times(b)), O.match(O.extract_times("a"), O.extract_times("b")))
 pairwise("date_time_gate", DATED, lambda a, b: dates.lists_same(dates.extract_dates(a), dates.extract_dates(b)) & dates.lists_same(dates.extract_times(a), dates.extract_times(b)),
