@@ -1,8 +1,12 @@
+import json
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliomatch.operators import words
 from foliomatch.plans import prompts
+from foliomatch.plans.queries import QUERIES
 from foliomatch.sources import catalog, documents
 from foliomatch.sources.intermediate import shared_dir
 from foliomatch.streaming import upsert_stream
@@ -116,6 +120,35 @@ def test_words_of_a_stored_index(spark):
     assert sorted(map(tuple, catalog.words_of(stored).collect())) == sorted(map(tuple, w.collect()))
 
 
+ODD = (
+    (1, 'Hello "big" w\\orld\nagain\x01 hello the\n\n \t a\x0bb  c\r\nc \u00a0 \u2028x'), (2, "x"), (3, ""), (4, None), (5, "ΟΔΟΣ Straße ก่ข้ İstanbul 12.5% --- !!!  x \fzz"), (5, "ΟΔΟΣ more\nlines"),
+    (6, "the"), (None, "one two"), (None, "two\nthree"), (7, " \n\t"),
+)
+
+
+def test_indexes_of_texts(spark, monkeypatch):
+    """Indexes made from texts hold what those made from words do; slices of any size change nothing."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    w = words.occurrences(docs)
+    parsed = lambda df: {r.doc_id: {"by_word": {}} | json.loads(r.word_index) for r in df.collect()}
+    got, want = parsed(catalog.index_texts(docs)), parsed(catalog.to_json(w, words.normalised(w)))
+    assert got.pop(None)["by_word"].keys() == {"one", "two", "three"} and want.pop(None) and got == want and len(got) == 4
+    again = catalog.words_of(catalog.index_texts(docs)).drop("pos")
+    assert sorted(map(str, again.collect())) == sorted(map(str, w.drop("pos").collect()))
+    rows = pa.record_batch([pa.array([1, 2, 3]), pa.array([["a b"], [], ["c", "dd\ne"]]), pa.array([["a b"], [], ["c", "dd\ne"]])], ["doc_id", "texts", "cleans"])
+    whole = pa.Table.from_batches(catalog._indexes(iter([rows]))).to_pylist()
+    monkeypatch.setattr(catalog, "SLICE", 1)
+    assert pa.Table.from_batches(catalog._indexes(iter([rows]))).to_pylist() == whole and len(whole) == 2
+
+
+def test_index_query_shuffles_texts_only(spark, tmp_path):
+    spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["index_json_roundtrip"](spark, str(tmp_path))
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == {1: (4, 4, 12, 4), 2: (1, 0, 1, 0), 5: (2, 8, 12, 1), 6: (1, 0, 1, 0), None: (2, 3, 4, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate [") == 1 and "Join" not in plan
+
+
 def test_page_words(spark):
     native = [(1, 0, i, 1.0 * i, 1.0, i + 1.0, 2.0, f"n{i}", 6.0, 9.0) for i in range(8)] + [(1, 1, 0, 0.0, 0.0, 1.0, 1.0, "few", 6.0, 9.0)]
     native = spark.createDataFrame(native, "doc_id long, page_num int, pos int, x0 double, y0 double, x1 double, y1 double, text string, page_w double, page_h double")
