@@ -32,6 +32,14 @@ def test_query(spark, name):
     compare(spark, QUERIES[name], ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["diff_summary_catalog", "same_summary_catalog"])
+def test_stored_words_are_not_broadcast(spark, name):
+    """Files are smaller than their rows: no table of words or of what is found in them may be broadcast for its files' size."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution()
+    assert "strategy=merge" in plan.optimizedPlan().toString()
+    assert "Broadcast" not in plan.sparkPlan().toString()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 16
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
