@@ -55,14 +55,19 @@ class Found(NamedTuple):
     text: np.ndarray
 
 
-def words(inside: np.ndarray, bounds: np.ndarray) -> Found:
-    """Maximal runs of bytes that are inside, none beyond its text."""
+def words(inside: np.ndarray, bounds: np.ndarray, alone: np.ndarray | None = None) -> Found:
+    """Maximal runs of bytes that are inside, none beyond its text. alone: which of these are words by themselves."""
     n = len(inside)
     first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     first[bounds[:-1]] = True  # of texts; at n nothing is inside
     last[bounds[1:]] = True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
+    if alone is not None:
+        before &= ~alone
+        before[1:] &= ~alone[:-1]
+        after &= ~alone
+        after[:-1] &= ~alone[1:]
     starts = np.flatnonzero(inside & (~before | first[:n]))
     ends = np.flatnonzero(inside & (~after | last[1:])) + 1
     return Found(starts, ends, np.searchsorted(bounds, starts, side="right") - 1)

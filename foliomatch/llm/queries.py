@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for the same tables."""
 
-from foliomatch.llm import ann, chat, lm, matroska, mixing, packing, pii, quality, resample, simhash, spelling, warc
+from foliomatch.llm import ann, chat, lm, matroska, mixing, packing, pii, quality, resample, secret_scan, simhash, spelling, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1_warc_derivatives,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_format_chat": chat.op9_format_chat,
     "op10_pseudonyms": pii.op10_pseudonyms,
+    "op11_secrets": secret_scan.op11_secrets,
     "op12_resample": resample.op12_resample,
     "op13_spelling": spelling.op13_spelling,
 }
