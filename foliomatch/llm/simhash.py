@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomatch.llm.common import BROADCAST_ROWS, small, table, unused, written
@@ -544,26 +543,29 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, that of the smallest doc_id, then the first by the text's digest. What
-    goes are rows, not ids: a doc_id that stands for unrelated texts keeps each of them. Rows without a doc_id
-    never stand for one with an id; of those in a group one stays too."""
-    found = close_groups(docs).groupBy("label", "doc_id", "digest").count()
-    place = F.row_number().over(W.partitionBy("label", F.col("doc_id").isNull()).orderBy("doc_id", "digest"))
-    found = written(found.withColumn("place", place), "near-rows")
+    """docs with one row of each group: that of the smallest doc_id, null last, then of the smallest digest of the text; of rows
+    that agree in both, the one whose columns have the smallest digest. What goes are rows, not ids: a doc_id that stands
+    for unrelated texts keeps each of them."""
+    found = written(close_groups(docs).groupBy("label", "doc_id", "digest").count(), "near-rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    several = found.groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    several = written(several.select("label", "first"), "near-first-rows")
     key = lambda c: F.struct(F.coalesce(c, F.lit(0)), c.isNull())
-    own, digest, turn = unused(docs, "copy_id", "copy_digest", "copy_turn")
+    own, digest = unused(docs, "copy_id", "copy_digest")
+    named = lambda rows: rows.select(key(F.col("doc_id")).alias(own), F.col("digest").alias(digest))
     rows = docs.withColumn(digest, F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn(own, key(docs["doc_id"].cast("long")))
-    gone = written(found.filter("place > 1").select(key(F.col("doc_id")).alias(own), F.col("digest").alias(digest)), "near-gone")
+    others = found.join(small(several), "label").filter(rank != F.col("first"))
+    gone = written(named(others), "near-gone")
     out = rows.join(small(gone), [own, digest], "left_anti")
-    again = written(found.filter("place = 1 and count > 1").select(key(F.col("doc_id")).alias(own), F.col("digest").alias(digest)), "near-again")
+    again = written(named(found.filter("count > 1")).join(small(gone), [own, digest], "left_anti"), "near-again")
     n = again.count()
     if not n:
         return out.select(*docs.columns)
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
     single = out.join(again, [own, digest], "left_anti")
-    first = F.row_number().over(W.partitionBy(own, digest).orderBy("text"))
-    repeated = out.join(again, [own, digest], "left_semi").withColumn(turn, first).filter(F.col(turn) == 1)
-    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    whole = F.struct(*docs.columns)
+    repeated = out.join(again, [own, digest], "left_semi").groupBy(own, digest).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
+    return single.select(*docs.columns).unionByName(repeated.select("row.*"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Near copies by exact Jaccard similarity: 0.8 in both directions, short texts, chains and large groups."""
 
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
 
-from foliomatch.llm import simhash
+from foliomatch.llm import common, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -70,11 +71,34 @@ def test_close_links_join_what_all_pairs_join():
     assert found[0] == found[1] and len(links) < len(pairs)
 
 
+def kept_rows(rows):
+    """The rows that stay, by brute force: of each group the smallest id, null last, then the smallest digest."""
+    group = brute([t for _, t in rows])
+    rank = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
+    return sorted((min((r for r, g in zip(rows, group, strict=True) if g == x), key=rank) for x in set(group)), key=repr)
+
+
 def test_rows_not_ids_are_dropped(spark):
     rng = random.Random(4)
     a, b, c, d = (" ".join(some(rng, 60)) for _ in range(4))
-    rows = [(5, a), (5, a), (5, b), (3, b + " more"), (7, c), (7, d), (None, c), (None, c), (None, c + " more"), (None, "alone")]
+    rows = [(5, a), (5, a), (None, a), (4, a), (5, b), (3, b + " more"), (7, c), (7, d), (None, c), (None, c), (None, c + " more"), (None, "alone"), (None, None), (1, ""), (2, " ")]
     kept = [(r.doc_id, r.text) for r in simhash.without_copies(spark.createDataFrame(rows, DOCS)).collect()]
-    assert sorted(x for x in kept if x[0]) == sorted([(3, b + " more"), (5, a), (7, c), (7, d)])
-    without = [t for i, t in kept if i is None]
-    assert len(without) == 2 and "alone" in without
+    assert sorted(kept, key=repr) == kept_rows(rows)
+    assert sorted(kept, key=repr) == sorted([(4, a), (3, b + " more"), (7, c), (7, d), (None, "alone"), (1, "")], key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_one_row_of_each_group_stays(spark, monkeypatch, broadcast):
+    """Ids that are null or stand for several rows, in groups of all sizes; with and without broadcasts."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(simhash, "small", lambda df: common.small(df, broadcast))
+    rng, rows = random.Random(6), []
+    for n in (1, 1, 2, 5, 40):
+        words = some(rng, 80)
+        for _ in range(n):
+            text = " ".join(words + some(rng, rng.randint(0, 3)))
+            rows += [(rng.choice([None, rng.randint(0, 20)]), text)] * rng.randint(1, 3)
+    df = spark.createDataFrame([(i, t, {"k": k % 2}) for k, (i, t) in enumerate(rows)], DOCS + ", other map<string,int>")
+    kept = simhash.without_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == kept_rows(rows)
