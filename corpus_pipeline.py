@@ -26,8 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact or near copies (five-word shingles, Jaccard similarity of 0.8 or more).
 
-    The smallest doc_id stays, then the smallest text; null and empty texts are copies of each other; rows without
-    a doc_id are grouped among themselves."""
+    The smallest doc_id stays, null last, then the smallest digest of the text; null and empty texts are copies of each
+    other; of rows that agree in both, that of the smallest digest of all columns."""
     return simhash.without_copies(docs)
 
 

@@ -55,9 +55,9 @@ def date_context(s: Column) -> Column:
 
 def lists_match(a: Column, b: Column) -> Column:
     """Null if both are empty, true if equal as multisets, false otherwise."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), None).when((F.size(a) > 0) & (F.size(b) > 0), F.array_sort(a) == F.array_sort(b)).otherwise(False)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), None).when((F.size(a) > 0) & (F.size(b) > 0), F.sort_array(a) == F.sort_array(b)).otherwise(False)
 
 
 def lists_same(a: Column, b: Column) -> Column:
     """The comparison's gate: false only if both have some and they differ."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_sort(a) == F.array_sort(b)).otherwise(True)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.sort_array(a) == F.sort_array(b)).otherwise(True)

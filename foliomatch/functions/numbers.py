@@ -49,11 +49,15 @@ def number_value(s: Column) -> Column:
     return F.when(is_number(s), ascii_digits(bare(s)).cast("double"))
 
 
+def decimal_value(s: Column) -> Column:
+    return F.when(is_number(s), ascii_digits(bare(s)).try_cast("decimal(38,10)"))
+
+
 def numbers_equal(a: Column, b: Column) -> Column:
     """Whole numbers must agree; others within a millionth of the second. Numbers of over 28 whole digits equal none."""
-    x, y = (F.when(is_number(c), ascii_digits(bare(c)).try_cast("decimal(38,10)")) for c in (a, b))
-    close = F.when((x == F.floor(x)) & (y == F.floor(y)), x == y).when(y != 0, F.abs((x.cast("double") - y.cast("double")) / y.cast("double")) < 1e-6).otherwise(x == 0)
-    return F.coalesce(close, F.lit(False))
+    x, y = decimal_value(a), decimal_value(b)
+    close = F.when(x.isNull() | y.isNull(), False).when((x == F.floor(x)) & (y == F.floor(y)), x == y).when(y != 0, F.abs((x.cast("double") - y.cast("double")) / y.cast("double")) < 1e-6).otherwise(x == 0)
+    return close
 
 
 def thai_number(s: Column) -> Column:

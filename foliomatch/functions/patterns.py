@@ -8,6 +8,8 @@ from foliomatch import config as C
 THAI = r"\x{0E00}-\x{0E7F}"
 SPACE = r"[\s\p{Z}]"
 NOT_WORD = rf"[^\p{{L}}\p{{N}}_{THAI}]"
+BLANK = r"[ \t\x0B\f\r]"
+NOT_WORD_NOR_BLANK = rf"[^\p{{L}}\p{{N}}_{THAI} \t\x0B\f\r]"
 PAD_ZERO = ((rf"^(\p{{Nd}})([{THAI}])", 2), (rf"([{THAI}])(\p{{Nd}})$", 2), (rf"([{THAI}])(\p{{Nd}})([{THAI}])", 3))
 # What counts as a word, day of a month, Buddhist year, number, time and date.
 TOKEN = r"[^ \t\n\x0B\f\r]+"

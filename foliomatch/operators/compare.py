@@ -15,64 +15,13 @@ from foliomatch.config import CONFIG, STYLES
 from foliomatch.functions import dates, labels, numbers
 from foliomatch.functions import patterns as P
 from foliomatch.operators import similar, words
-from foliomatch.sources.intermediate import kept_large, written
-
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
-
-
-def near_copies(docs: DataFrame, prefix: int = 80, least: int = 100, chunk: int = 65_536) -> DataFrame:
-    """pair_id, doc1, doc2: each document with the next one by doc_id that begins with the same characters but
-    is another text; both of `least` characters at least. Texts enter the shuffle as digests only.
-
-    A beginning that many documents share is cut into chunks of doc_id; a document at the end of its chunk
-    finds the next one through a table with one row per beginning and chunk."""
-    rows = docs.filter(F.length("text") >= least).select("doc_id", F.substring("text", 1, prefix).alias("head"), F.md5("text").alias("digest"))
-    return _next_of(rows, chunk)
-
-
-def close_pairs(docs: DataFrame, shingle: int = 5, chunk: int = 65_536) -> DataFrame:
-    """pair_id, doc1, doc2: each document with the next one by doc_id that is much like it but another text.
-
-    A document's heads are two of four extreme hashes of its whole text's shingles (a text with fewer words is one
-    shingle): documents that share four fifths of their shingles share a head with a probability of 0.97, those that
-    share a fifth of them with one of 0.15. Texts of any length take part; those without words don't."""
-    words = F.regexp_extract_all("text", F.lit(P.TOKEN), F.lit(0))
-    n = F.size("w")
-    at = F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1)))
-    hashes = F.transform(at, lambda i: F.md5(F.array_join(F.slice("w", i, shingle), " ")))
-    rows = docs.select("doc_id", F.md5("text").alias("digest"), words.alias("w")).filter(n > 0).select("doc_id", "digest", hashes.alias("h"))
-    half = lambda start: F.transform("h", lambda x: F.substring(x, start, 16))
-    ends = [F.array_min(half(1)), F.array_max(half(1)), F.array_min(half(17)), F.array_max(half(17))]
-    rows = rows.select("doc_id", "digest", *[e.alias(f"e{i}") for i, e in enumerate(ends)])
-    heads = [F.concat_ws(":", F.lit(f"{i}{j}"), f"e{i}", f"e{j}") for i in range(4) for j in range(i + 1, 4)]
-    found = _next_of(rows.select("doc_id", "digest", F.explode(F.array(*heads)).alias("head")), chunk)
-    return found.groupBy("pair_id", "doc1").agg(F.min("doc2").alias("doc2"))
-
-
-def _next_of(rows: DataFrame, chunk: int) -> DataFrame:
-    """pair_id, doc1, doc2 from doc_id, head, digest: each row with the next doc_id of another digest and the same head."""
-    rows = rows.withColumn("chunk", F.floor(F.col("doc_id") / chunk))
-    by = W.partitionBy("head", "chunk").orderBy("doc_id")
-    before = F.lag("digest").over(by)
-    rows = rows.withColumn("new", F.when(before != F.col("digest"), F.col("doc_id")))
-    rows = rows.withColumn("next", F.min("new").over(by.rowsBetween(1, W.unboundedFollowing)))
-    chunks = rows.groupBy("head", "chunk").agg(
-        F.min_by(F.struct("doc_id", "digest"), "doc_id").alias("first"), F.max_by("digest", "doc_id").alias("last"), F.min("new").alias("new")
-    )
-    along = W.partitionBy("head").orderBy("chunk")
-    opens = F.when(F.lag("last").over(along) != F.col("first.digest"), F.col("first.doc_id")).otherwise(F.col("new"))
-    chunks = chunks.withColumn("opens", opens).withColumn("later", F.min("opens").over(along.rowsBetween(1, W.unboundedFollowing)))
-    rows = rows.join(chunks.filter(F.col("later").isNotNull()).select("head", "chunk", "later"), ["head", "chunk"], "left")
-    rows = rows.withColumn("doc2", F.coalesce("next", "later")).filter(F.col("doc2").isNotNull())
-    return rows.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc1"), "doc2")
-
+from foliomatch.sources.intermediate import BROADCAST_ROWS, bounded, kept_large, written
 
 def of_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The documents that take part in pairs, each once; texts are shuffled only if there are more of them than can be sent to
     all executors."""
     ids = pairs.select(F.explode(F.array("doc1", "doc2")).alias("doc_id")).distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    return docs.join(bounded(ids), "doc_id", "left_semi")
 
 
 def sides(pairs: DataFrame, catalog: bool = False) -> DataFrame:
@@ -157,6 +106,9 @@ def same_words(pairs: DataFrame, vocab: DataFrame, catalog: bool = False) -> Dat
     return exact.unionByName(normal).unionByName(fuzzy).join(ids, "pair").select("pair_id", "a", "b", "stage")
 
 
+_BASE = ("pair_id", "doc1", "doc2", *[f"doc{n}_{c}" for n in (1, 2) for c in ("pages", "total_words", "unique_words")])
+
+
 def _base(pairs: DataFrame, all_words: DataFrame, vocab: DataFrame) -> DataFrame:
     """pair_id, doc1, doc2 and each document's pages, words and unique words, as ``words.totals`` counts them: the
     vocabulary has a row for each unique word."""
@@ -167,19 +119,24 @@ def _base(pairs: DataFrame, all_words: DataFrame, vocab: DataFrame) -> DataFrame
     return pairs.na.fill(0)
 
 
-def _sample(n: int = CONFIG.samples, on=lambda s: s):
-    """The first n words by place, joined. on: makes null what doesn't count."""
-    items = F.slice(F.array_sort(F.collect_list(on(F.struct("first_page", "first_pos", "clean")))), 1, n)
-    return F.array_join(F.transform(items, lambda s: s["clean"]), ", ")
+def _samples(found: DataFrame, by: list[str], n: int = CONFIG.samples) -> DataFrame:
+    """by, sample: the first n words by place of each group, joined. Of rows that are shuffled none are behind the first n of their
+    task, and no more than n are collected."""
+    order = ("first_page", "first_pos", "clean")
+    first = found.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n)
+    items = F.sort_array(F.collect_list(F.struct(*order)))
+    return first.groupBy(*by).agg(F.array_join(F.transform(items, lambda s: s["clean"]), ", ").alias("sample"))
 
 
 def diff_summary(pairs: DataFrame, all_words: DataFrame, vocab: DataFrame, catalog: bool = False, found: DataFrame | None = None) -> DataFrame:
     """One row a pair: counts, differing words and places of each side, samples and the rate of difference. found:
     ``diff_words`` of the same tables, if it is there already."""
-    found = diff_words(pairs, all_words, vocab, catalog) if found is None else found
+    found = written(diff_words(pairs, all_words, vocab, catalog), "diff-found") if found is None else found
     of = lambda n, x: F.when(F.col("side") == n, x)
-    counts = [x for n in (1, 2) for x in (F.count(of(n, 1)).alias(f"diff_doc{n}"), F.sum(of(n, F.col("n_occ"))).alias(f"highlighted_doc{n}"), _sample(on=lambda s, n=n: of(n, s)).alias(f"sample_doc{n}"))]
-    out = _base(pairs, all_words, vocab).join(found.groupBy("pair_id").agg(*counts), "pair_id", "left")
+    counts = [x for n in (1, 2) for x in (F.count(of(n, 1)).alias(f"diff_doc{n}"), F.sum(of(n, F.col("n_occ"))).alias(f"highlighted_doc{n}"))]
+    samples = _samples(found, ["pair_id", "side"]).groupBy("pair_id").agg(*[F.max(of(n, F.col("sample"))).alias(f"sample_doc{n}") for n in (1, 2)])
+    out = _base(pairs, all_words, vocab).join(found.groupBy("pair_id").agg(*counts), "pair_id", "left").join(samples, "pair_id", "left")
+    out = out.select(*_BASE, *[f"{c}_doc{n}" for n in (1, 2) for c in ("diff", "highlighted", "sample")])
     out = out.na.fill(0).na.fill("")
     unique = F.col("doc1_unique_words") + F.col("doc2_unique_words")
     return out.withColumn("diff_rate", F.when(unique > 0, F.round((F.col("diff_doc1") + F.col("diff_doc2")) * 100.0 / unique, 4)).otherwise(0.0))
@@ -189,12 +146,13 @@ def same_summary(pairs: DataFrame, all_words: DataFrame, vocab: DataFrame, catal
     """One row a pair: matched places of each side (distinct by page, corner and text), matched words, a sample and the
     match rate. The rate is places over unique words, so it can exceed 100. met: ``same_words`` of the same tables, if
     it is there already."""
-    met = same_words(pairs, vocab, catalog) if met is None else met
+    met = written(same_words(pairs, vocab, catalog), "same-found") if met is None else met
     of = lambda c, n: met.filter(F.col(c).isNotNull()).select("pair_id", F.col(c).alias("clean")).distinct().join(pairs.select("pair_id", F.col(f"doc{n}").alias("doc_id")), "pair_id")
     place = words.normalised(all_words).select("doc_id", "clean", "page_num", "x0", "y0", "text")
     places = lambda c, n: of(c, n).join(place, ["doc_id", "clean"]).groupBy("pair_id").agg(F.count_distinct("page_num", "x0", "y0", "text").alias(f"matched_doc{n}"))
-    one = of("a", 1).join(vocab, ["doc_id", "clean"]).groupBy("pair_id").agg(F.count(F.lit(1)).alias("matched_unique_words"), _sample().alias("sample_matched"))
-    one = one.join(places("a", 1), "pair_id")
+    own = of("a", 1).join(vocab, ["doc_id", "clean"])
+    one = own.groupBy("pair_id").agg(F.count(F.lit(1)).alias("matched_unique_words"))
+    one = one.join(_samples(own, ["pair_id"]).withColumnRenamed("sample", "sample_matched"), "pair_id").join(places("a", 1), "pair_id")
     two = places("b", 2)
     out = _base(pairs, all_words, vocab).join(one, "pair_id", "left").join(two, "pair_id", "left").na.fill(0).na.fill("")
     rate = F.when(F.col("doc1_unique_words") > 0, F.round(F.col("matched_doc1") * 100.0 / F.col("doc1_unique_words"), 4)).otherwise(0.0)
@@ -242,7 +200,7 @@ def report_lines(summary: DataFrame, mode: str = "diff") -> DataFrame:
 
 def write_report(lines: DataFrame, path: str) -> None:
     """The text sink: a folder for each pair with its lines in order."""
-    one = lines.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    one = lines.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
     one.write.mode("overwrite").partitionBy("pair_id").text(path)
 
 

@@ -143,16 +143,22 @@ INLINE = (
     (-6, "premiun insurances 1 มกราคม 2567 09.15 sitting abdc 16 2568 x8 ตำบล"),
 )
 INLINE_PAIRS = ((-1, -2), (-3, -4), (-5, -6))
+#: Documents' sets of five-word runs, their classes, and links of a Jaccard similarity of 0.8 or more by counting common runs of all pairs.
+SIMILAR = f"""
+near_texts AS (SELECT min(doc_id) AS rep, text, regexp_extract_all(text, {q(P.TOKEN)}) AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY text),
+near_sets AS (SELECT rep, text, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)])) AS s FROM near_texts WHERE len(w) > 0),
+near_keyed AS (SELECT *, md5(array_to_string(s, chr(10))) AS same FROM near_sets),
+near_class AS (SELECT same, min(rep) AS class_id, any_value(s) AS s FROM near_keyed GROUP BY same),
+near_items AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM near_class),
+near_common AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM near_items a JOIN near_items b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY ALL),
+near_links AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS similarity FROM near_common WHERE 5 * c >= 4 * (na + nb - c)),
+near_best AS (SELECT a, count(*)::BIGINT AS links, min((-similarity, b)) AS best FROM near_links GROUP BY a),
+near_members AS (SELECT DISTINCT d.doc_id, c.class_id FROM documents d JOIN near_keyed k USING (text) JOIN near_class c USING (same))"""
 _chr = lambda t: q(t).replace("\n", "' || chr(10) || '")
 PAIRS = f"""
 docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_chr(t)})' for i, t in INLINE)})),
-near_tokens AS (SELECT doc_id, md5(text) AS digest, regexp_extract_all(text, {q(P.TOKEN)}) AS w FROM documents WHERE text IS NOT NULL),
-near_words AS (SELECT doc_id, digest, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM near_tokens),
-near_runs AS (SELECT doc_id, digest, i, n, t || {' || '.join(f"coalesce(' ' || lead(t, {k}) OVER k, '')" for k in range(1, 5))} AS s FROM near_words WINDOW k AS (PARTITION BY doc_id, digest ORDER BY i)),
-near_hashes AS (SELECT doc_id, digest, md5(s) AS x FROM near_runs WHERE i <= greatest(n - 4, 1)),
-near_ends AS (SELECT doc_id, digest, [min(x[1:16]), max(x[1:16]), min(x[17:32]), max(x[17:32])] AS e FROM near_hashes GROUP BY ALL),
-near_heads AS (SELECT doc_id, digest, unnest([{', '.join(f"'{i}{j}:' || e[{i + 1}] || ':' || e[{j + 1}]" for i in range(4) for j in range(i + 1, 4))}]) AS head FROM near_ends),
-pairs AS (SELECT a.doc_id AS pair_id, a.doc_id AS doc1, min(b.doc_id) AS doc2 FROM near_heads a JOIN near_heads b ON a.head = b.head AND a.doc_id < b.doc_id AND a.digest <> b.digest GROUP BY ALL
+{SIMILAR},
+pairs AS (SELECT a AS pair_id, a AS doc1, best[2] AS doc2 FROM near_best x WHERE NOT (a > best[2] AND EXISTS (SELECT 1 FROM near_best y WHERE y.a = x.best[2] AND y.best[2] = x.a))
   UNION ALL SELECT * FROM (VALUES {', '.join(f'({a}, {a}, {b})' for a, b in INLINE_PAIRS)})),
 chosen AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc1 FROM pairs UNION SELECT doc2 FROM pairs))"""
 BASE = f"WITH {PAIRS}, {words('chosen')}, {VOCABULARY}"

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomatch.sources.workers import Factory, made
+
 CLASSIFY_CHARS, COMPARE_CHARS, PREVIEW_CHARS = 10_000, 20_000, 3_000
 CLASSIFY_TOKENS, COMPARE_TOKENS, SUMMARY_TOKENS = 1_024, 36_000, 5_000
 CLASSIFY = {"en": "State what kind of document this is and sum it up briefly:\n\n", "th": "บอกชนิดของเอกสารและสรุปย่อ:\n\n"}
@@ -65,17 +72,69 @@ def explain(mode: str = "diff", language: str = "en") -> Column:
     return F.concat_ws("\n\n", F.lit(EXPLAIN[language]), stats, *previews)
 
 
-def answered(prompts: DataFrame, model: Callable[[str, int], str], max_tokens: int) -> DataFrame:
-    """prompts (key, prompt) with the model's answer; an error becomes the answer's text."""
+class Limits(NamedTuple):
+    """Prompts asked at once by a task, tries of each, seconds before the second try, doubled for each further one."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def ask(prompt: str) -> str:
-            try:
-                return model(prompt, max_tokens)
-            except Exception as e:  # the model is the caller's code: whatever it raises is reported
-                return f"Error: {e}"
+    at_once: int = 4
+    tries: int = 3
+    wait: float = 1.0
+
+
+def _asked(model: Callable[[str, int], str], prompt: str, max_tokens: int, limits: Limits) -> tuple[str, bool]:
+    """The answer, or the last error as text, and whether it is an answer."""
+    for i in range(limits.tries):
+        try:
+            return model(prompt, max_tokens), True
+        except Exception as e:  # the model is the caller's code: whatever it raises is tried again, then reported
+            said = f"Error: {e}"
+            if i < limits.tries - 1:
+                time.sleep(limits.wait * 2**i)
+    return said, False
+
+
+def answered(prompts: DataFrame, model: Callable[[str, int], str] | Factory, max_tokens: int, limits: Limits = Limits()) -> DataFrame:
+    """prompts (key, prompt) with the model's answer; an error, after the last try, becomes the answer's text. A factory makes the
+    model's client once a worker. Prompts of a task are asked a few at once, and not again until those are answered."""
 
-        for part in parts:
-            yield part.assign(answer=[ask(p) for p in part["prompt"]])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = made(model) if isinstance(model, Factory) else model
+        with ThreadPoolExecutor(limits.at_once) as pool:
+            for part in parts:
+                yield part.assign(answer=[x for x, _ in pool.map(lambda p: _asked(client, p, max_tokens, limits), part["prompt"])])
 
     return prompts.select("key", "prompt").mapInPandas(run, "key long, prompt string, answer string")
+
+
+def answered_once(prompts: DataFrame, model: Callable[[str, int], str] | Factory, max_tokens: int, folder: str, limits: Limits = Limits()) -> DataFrame:
+    """``answered`` for prompts that cost: each answer is kept in `folder` as soon as it is there, a small file a prompt by the digest of
+    prompt and max_tokens, and a prompt that has one isn't asked. A task that is run again, as after a lost executor, and a job that
+    is begun again ask only what isn't answered. Errors aren't kept. Equal prompts are asked once.
+
+    folder is one that driver and executors share, by the Python path of its mount."""
+    digest = F.sha2(F.concat_ws(":", F.lit(max_tokens), "prompt"), 256)
+    rows = prompts.select("key", "prompt").withColumn("digest", digest)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = made(model) if isinstance(model, Factory) else model
+
+        def ask(prompt: str, name: str) -> str:
+            at = os.path.join(folder, name[:2], name)
+            if os.path.exists(at):
+                with open(at, encoding="utf-8") as f:
+                    return f.read()
+            said, good = _asked(client, prompt, max_tokens, limits)
+            if good:
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                part = f"{at}.{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8") as f:
+                    f.write(said)
+                os.replace(part, at)
+            return said
+
+        with ThreadPoolExecutor(limits.at_once) as pool:
+            for part in parts:
+                yield pd.DataFrame({"digest": part["digest"], "answer": list(pool.map(ask, part["prompt"], part["digest"]))})
+
+    # a prompt that may be null has no digest of its own: it is left out, and its answer is null
+    each = rows.filter(F.col("prompt").isNotNull()).groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    return rows.join(each.select("prompt", "digest").mapInPandas(run, "digest string, answer string"), "digest", "left").select("key", "prompt", "answer")

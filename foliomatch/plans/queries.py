@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables and their SQL.
 
 Scalar functions run over every distinct word of the documents and the sample texts; Thai cases come
-from the samples, as the tables have no Thai. Pairs are documents with the next one that is much like them,
-by their whole texts, and a few inline documents with Thai words, dates, times and numbers."""
+from the samples, as the tables have no Thai. Pairs are documents with the one most like them by their whole
+texts, and a few inline documents with Thai words, dates, times and numbers."""
 
 from __future__ import annotations
 
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from foliomatch.config import CONFIG
 from foliomatch.functions import dates, labels, numbers, text
 from foliomatch.functions import patterns as P
-from foliomatch.operators import compare, similar, words
+from foliomatch.operators import compare, similar, similarity_join, words
 from foliomatch.plans import jobs, prompts
 from foliomatch.plans import oracles as O
-from foliomatch.sources import catalog, documents
+from foliomatch.sources import catalog, documents, index
 from foliomatch.sources.intermediate import kept_large, shared_dir, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,10 +91,11 @@ scalar("significant_words", labels.significant, O.significant(O.clean("s")), "bo
 scalar("form_labels", labels.form_label, O.form_label("s"), "boolean")
 scalar("document_id_from_path", documents.document_id, r"CASE WHEN regexp_matches(regexp_extract(s, '([^/\\]*)$', 1), '^\.[^.]*$') THEN regexp_extract(s, '([^/\\]*)$', 1) ELSE regexp_replace(regexp_extract(s, '([^/\\]*)$', 1), '\.[^.]*$', '') END", "string")
 _num = lambda x: f"CASE WHEN {O.is_number(x)} THEN try_cast({O.ascii_digits(O.bare(x))} AS DECIMAL(38,10)) END"
-pairwise("numbers_equal", NUMBER_SAMPLES, numbers.numbers_equal, (
-    f"coalesce(CASE WHEN ({_num('a')}) = floor({_num('a')}) AND ({_num('b')}) = floor({_num('b')}) THEN ({_num('a')}) = ({_num('b')}) "
-    f"WHEN ({_num('b')}) <> 0 THEN abs((({_num('a')})::DOUBLE - ({_num('b')})::DOUBLE) / ({_num('b')})::DOUBLE) < 1e-6 ELSE ({_num('a')}) = 0 END, false)"
-), True)
+EQUAL_NUMBERS = (
+    f"CASE WHEN ({_num('a')}) IS NULL OR ({_num('b')}) IS NULL THEN false WHEN ({_num('a')}) = floor({_num('a')}) AND ({_num('b')}) = floor({_num('b')}) THEN ({_num('a')}) = ({_num('b')}) "
+    f"WHEN ({_num('b')}) <> 0 THEN abs((({_num('a')})::DOUBLE - ({_num('b')})::DOUBLE) / ({_num('b')})::DOUBLE) < 1e-6 ELSE ({_num('a')}) = 0 END"
+)
+pairwise("numbers_equal", NUMBER_SAMPLES, numbers.numbers_equal, EQUAL_NUMBERS, True)
 pairwise("dates_match", DATED, lambda a, b: dates.lists_match(dates.extract_dates(a), dates.extract_dates(b)), O.match(O.extract_dates("a"), O.extract_dates("b")))
 pairwise("times_match", DATED, lambda a, b: dates.lists_match(dates.extract_times(a), dates.extract_times(b)), O.match(O.extract_times("a"), O.extract_times("b")))
 pairwise("date_time_gate", DATED, lambda a, b: dates.lists_same(dates.extract_dates(a), dates.extract_dates(b)) & dates.lists_same(dates.extract_times(a), dates.extract_times(b)),
@@ -106,7 +107,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.occurrences(_docs(spark, sf_dir))
+    """All words with their clean forms, partitioned by document: texts are dealt out by doc_id, so that grouping words by document
+    shuffles none."""
+    return words.cleaned_occurrences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id"))
 
 
 def over_words(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -115,7 +118,7 @@ def over_words(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None
 
 
 _at = "list((page_num, pos, text) ORDER BY page_num, pos)"
-over_words("word_occurrence", lambda w: w, "SELECT doc_id, page_num, pos, pos::DOUBLE AS x0, page_num::DOUBLE AS y0, (pos + 1)::DOUBLE AS x1, (page_num + 1)::DOUBLE AS y1, text FROM words")
+over_words("word_occurrence", lambda w: w.drop("clean"), "SELECT doc_id, page_num, pos, pos::DOUBLE AS x0, page_num::DOUBLE AS y0, (pos + 1)::DOUBLE AS x1, (page_num + 1)::DOUBLE AS y1, text FROM words")
 over_words(
     "word_index",
     lambda w: words.locations(w).select("doc_id", "clean", "n_occ", F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["page_num"], x["pos"], x["text"])), " ").alias("places")),
@@ -138,7 +141,7 @@ class Pairs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         docs = _docs(spark, sf_dir).select("doc_id", "text")
         own = spark.createDataFrame([(a, a, b) for a, b in O.INLINE_PAIRS], "pair_id long, doc1 long, doc2 long")
-        self.pairs = written(compare.close_pairs(docs).union(own), "pairs")
+        self.pairs = written(similarity_join.closest_pairs(similarity_join.similar_documents(docs)).union(own), "pairs")
         docs = docs.union(spark.createDataFrame(O.INLINE, "doc_id long, text string"))
         self.docs = kept_large(compare.of_pairs(self.pairs, docs), "pair-texts")
         self.seen = compare.sides(self.pairs, True)
@@ -146,7 +149,7 @@ class Pairs:
 
     @cached_property
     def words(self) -> DataFrame:
-        return kept_large(words.occurrences(self.docs), "words")
+        return kept_large(words.cleaned_occurrences(self.docs), "words")
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -168,6 +171,10 @@ class Pairs:
         return df.join(self.ids, "pair").select("pair_id", *cols)
 
 
+QUERIES["similar_documents"] = lambda spark, d: similarity_join.similar_documents(_docs(spark, d))
+ORACLES["similar_documents"] = f"WITH {O.SIMILAR} SELECT doc_id, class_id, coalesce(links, 0)::BIGINT AS links, best[2] AS closest, -best[1] AS similarity FROM near_members LEFT JOIN near_best ON a = class_id"
+
+
 def over_pairs(name: str, f: Callable[[Pairs], DataFrame], sql: str | None) -> None:
     QUERIES[name] = lambda spark, d: f(Pairs(spark, d))
     if sql:
@@ -194,6 +201,18 @@ over_pairs("fuzzy_ladder", lambda p: p.named(similar.ladder(p.rest, p.other, CON
 over_pairs("fuzzy_ladder_index", lambda p: p.named(similar.ladder(p.rest, p.other, CONFIG.fuzzy_default, False), "a", "b"), f"{_own}, met AS ({O.matches('rest', CONFIG.fuzzy_default, False)}) SELECT pair_id, a, b FROM met")
 
 
+def _equal_numbers(p: Pairs) -> DataFrame:
+    """Numbers of both documents of a pair, wherever they stand, that are equal within a millionth."""
+    of = lambda n, c: p.pairs.select("pair_id", F.col(f"doc{n}").alias("doc_id")).join(p.words.filter(numbers.is_number(F.col("text"))), "doc_id").select("pair_id", F.col("text").alias(c)).distinct()
+    return similar.equal_numbers(of(1, "a"), of(2, "b"), ["pair_id"])
+
+
+over_pairs(
+    "equal_numbers", _equal_numbers,
+    f"{O.BASE}, n1 AS (SELECT DISTINCT pair_id, text AS a FROM pairs JOIN words ON doc_id = doc1 WHERE {O.is_number('text')}), n2 AS (SELECT DISTINCT pair_id, text AS b FROM pairs JOIN words ON doc_id = doc2 WHERE {O.is_number('text')}) SELECT pair_id, a, b FROM n1 JOIN n2 USING (pair_id) WHERE {EQUAL_NUMBERS}",
+)
+
+
 DIFF = ("pair_id", "side", "doc_id", "clean", "first_text", "n_occ")
 _number = lambda c: F.substring_index(c, ":", -1).cast("long").alias(c)
 
@@ -207,7 +226,7 @@ def _from_catalog(p: Pairs, mode: str) -> jobs.Compared:
     second = p.docs.join(p.pairs.select(F.col("doc2").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = second.select("doc_id", F.concat("doc_id", F.lit(".txt")).alias("filename"), F.col("text").alias("extracted_text"), F.size(F.split("text", "\n", -1)).alias("page_count"))
     store = _store(p.docs.sparkSession)
-    catalog.put(store, texts, catalog.index_texts(second))
+    catalog.put(store, texts, index.indexed(words.cleaned_occurrences(second.repartition("doc_id"))))
     first = p.docs.join(p.pairs.select(F.col("doc1").alias("doc_id")).distinct(), "doc_id", "left_semi")
     pairs = p.pairs.select("pair_id", F.col("doc1").alias("doc_id"), F.col("doc2").cast("string").alias("document_id"))
     return jobs.compare_with_catalog(pairs, words.occurrences(first), store.table(), mode)
@@ -295,14 +314,14 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as a catalog."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     day = F.timestamp_seconds(F.col("item_id") * 3600)
-    return b.select(F.concat(F.lit("old-"), F.col("item_id")).alias("id"), F.col("item_id").cast("string").alias("document_id"), F.concat(F.col("item_id"), F.lit(".pdf")).alias("filename"), F.col("text").alias("extracted_text"), F.lit(None).cast("string").alias("word_index"), F.lit(1).alias("page_count"), day.alias("created_at"), day.alias("updated_at"))
+    return b.select(F.concat(F.lit("old-"), F.col("item_id")).alias("id"), F.col("item_id").cast("string").alias("document_id"), F.concat(F.col("item_id"), F.lit(".pdf")).alias("filename"), F.col("text").alias("extracted_text"), F.lit(None).cast(index.BY_PAGE).alias("by_page"), F.lit(None).cast(index.BY_WORD).alias("by_word"), F.lit(1).alias("page_count"), day.alias("created_at"), day.alias("updated_at"))
 
 
 _pages = "len(string_split(text, chr(10)))::INT"
 
 
 def _catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("filename"), F.col("text").alias("extracted_text"), F.lit(None).cast("string").alias("word_index"), F.size(F.split("text", "\n", -1)).alias("page_count"))
+    new = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("filename"), F.col("text").alias("extracted_text"), F.size(F.split("text", "\n", -1)).alias("page_count"))
     return catalog.merged(_stored(spark, sf_dir), new).select("document_id", "filename", F.md5("extracted_text").alias("digest"), "page_count", F.coalesce(F.col("id").startswith("old-"), F.lit(False)).alias("kept_id"))
 
 
@@ -337,11 +356,19 @@ ORACLES["catalog_delete"] = "SELECT item_id::VARCHAR AS document_id, item_id ||
 
 
 def _index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.contents(catalog.index_texts(_docs(spark, sf_dir)))
+    """Indexes of all documents to JSON and back, and what is in them then."""
+    made = index.indexed(_words(spark, sf_dir))
+    said = made.select("doc_id", index.to_json(F.col("by_page"), F.col("by_word")).alias("word_index"))
+    return index.contents(said.select("doc_id", index.from_json(F.col("word_index")).alias("index")))
 
 
 QUERIES["index_json_roundtrip"] = _index_json
-ORACLES["index_json_roundtrip"] = f"WITH {O.words()}, {O.VOCABULARY} SELECT doc_id, count(DISTINCT page_num)::BIGINT AS pages, count(DISTINCT clean) FILTER ({O.significant('clean')})::BIGINT AS unique_words, count(*)::BIGINT AS total_words, max(page_num)::INT AS last_page FROM sig GROUP BY doc_id"
+ORACLES["index_json_roundtrip"] = f"""WITH {O.words()}, {O.VOCABULARY},
+placed AS (SELECT *, page_num || ':' || pos || ':' || pos || ':' || page_num || ':' || (pos + 1) || ':' || (page_num + 1) || ':' || text AS place FROM sig),
+entries AS (SELECT doc_id, clean, clean || '=' || string_agg(place, ' ' ORDER BY page_num, pos) AS e FROM placed WHERE {O.significant('clean')} GROUP BY doc_id, clean),
+digests AS (SELECT doc_id, md5(string_agg(e, chr(10) ORDER BY clean)) AS index_digest FROM entries GROUP BY doc_id)
+SELECT doc_id, count(DISTINCT page_num)::BIGINT AS pages, count(DISTINCT clean) FILTER ({O.significant('clean')})::BIGINT AS unique_words, count(*)::BIGINT AS total_words, max(page_num)::INT AS last_page,
+  md5(string_agg(place, ' ' ORDER BY page_num, pos)) AS words_digest, coalesce(any_value(index_digest), md5('')) AS index_digest FROM placed LEFT JOIN digests USING (doc_id) GROUP BY doc_id"""
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:

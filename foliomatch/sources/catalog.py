@@ -1,58 +1,74 @@
-"""The catalog of stored documents: a Parquet table with one row per document_id.
-
-Versions are folders v-00000001, v-00000002 ...; the highest complete one (with Spark's _SUCCESS file) is the table. A change
-is written to a folder of its own and then renamed to the next version, so nothing that was stored is ever deleted
-before its successor is complete: readers see the old or the new table, whatever happens in between, and of two
-writers that began with the same version the second fails (``Conflict``) and can begin again. ``clean`` removes old
-versions. The file system must rename folders in one step, as HDFS and local ones do. Columns: id, document_id, filename, extracted_text, word_index (JSON), page_count,
-created_at, updated_at. An overwritten row keeps id and created_at; updated_at changes only if asked for.
+"""The catalog of stored documents: a Parquet table with one row per document_id, in partitions by a hash of it.
+
+A change rewrites the partitions of the documents that it names, into a folder of its own, and nothing else. Versions are
+small tables v-00000001, v-00000002 ... that say which folder holds each partition; the highest complete one (with Spark's
+_SUCCESS file) is the table. A version is written apart and then renamed, so readers see the old or the new table, whatever
+happens in between, and of two writers that began with the same version the second fails (``Conflict``) and can begin
+again. The file system must rename folders in one step, as HDFS and local ones do. ``clean`` removes old versions and what only
+they hold. A version also keeps the last batch of each stream, so that a batch that comes again changes nothing.
+
+Columns: id, document_id, filename, extracted_text, by_page and by_word (the word index, see ``sources.index``), page_count, created_at, updated_at. An overwritten
+row keeps id and created_at; updated_at changes only if asked for.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
+import zlib
+from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomatch import config as C
-from foliomatch.functions import patterns as P
-from foliomatch.sources.intermediate import kept_large, large
+from foliomatch.sources import index
+from foliomatch.sources.intermediate import large, written
+
+PAYLOAD = {"document_id": "string", "filename": "string", "extracted_text": "string", "by_page": index.BY_PAGE, "by_word": index.BY_WORD, "page_count": "int"}
+COLUMNS = ", ".join(f"{c} {t}" for c, t in {"id": "string", **PAYLOAD, "created_at": "timestamp", "updated_at": "timestamp"}.items())
+#: Partitions of a new catalog.
+PARTS = 64
+VERSION = "kind string, number long, name string"
+
 
-COLUMNS = "id string, document_id string, filename string, extracted_text string, word_index string, page_count int, created_at timestamp, updated_at timestamp"
-PAYLOAD = ("document_id", "filename", "extracted_text", "word_index", "page_count")
-WORD = "struct<x0:double,y0:double,x1:double,y1:double,text:string,block_no:int,line_no:int,word_no:int>"
-INDEX = f"struct<by_page:map<string,array<{WORD}>>,by_word:map<string,array<struct<page:int,word:{WORD}>>>>"
+def payload(rows: DataFrame) -> DataFrame:
+    """The columns of PAYLOAD; an index may come as JSON (word_index), what isn't there is null."""
+    if "word_index" in rows.columns:
+        rows = rows.withColumn("_i", index.from_json(F.col("word_index"))).withColumn("by_page", F.col("_i.by_page")).withColumn("by_word", F.col("_i.by_word"))
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in PAYLOAD.items()])
 
 
 def merged(old: DataFrame, new: DataFrame, touch: bool = False) -> DataFrame:
     """old with new's rows put in by document_id; of several new rows for one id the last by filename."""
     last = F.row_number().over(W.partitionBy("document_id").orderBy(F.col("filename").desc_nulls_last(), F.col("extracted_text").desc_nulls_last()))
-    new = new.filter(F.col("document_id").isNotNull()).withColumn("_n", last).filter("_n = 1").select(*PAYLOAD)
+    new = payload(new).filter(F.col("document_id").isNotNull()).withColumn("_n", last).filter("_n = 1").drop("_n")
     kept = large(old).join(new.select("document_id"), "document_id", "left_anti").select(*old.columns)
     known = old.select("document_id", "id", "created_at", "updated_at")
-    put = large(new).join(known, "document_id", "left")
+    put_ = large(new).join(known, "document_id", "left")
     now = F.current_timestamp()
-    put = put.withColumn("id", F.coalesce("id", F.uuid())).withColumn("created_at", F.coalesce("created_at", now))
-    put = put.withColumn("updated_at", now if touch else F.coalesce("updated_at", now))
-    return kept.unionByName(put.select(*old.columns))
+    put_ = put_.withColumn("id", F.coalesce("id", F.uuid())).withColumn("created_at", F.coalesce("created_at", now))
+    put_ = put_.withColumn("updated_at", now if touch else F.coalesce("updated_at", now))
+    return kept.unionByName(put_.select(*old.columns))
 
 
 class Conflict(Exception):
     """Another writer was first."""
 
 
+class State(NamedTuple):
+    """What a version says: its number, the number of partitions, the folder of each that has rows, the last batch of each stream."""
+
+    version: int
+    parts: int
+    folders: dict[int, str]
+    batches: dict[str, int]
+
+
 class Catalog:
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS) -> None:
         if not path:
             raise ValueError("a catalog needs a path")
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
 
     def _files(self):
         jvm = self.spark.sparkContext._jvm
@@ -68,202 +84,106 @@ class Catalog:
     def _at(self, version: int) -> str:
         return f"{self.path}/v-{version:08d}"
 
-    def _read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(COLUMNS).parquet(self._at(version)) if version else self.spark.createDataFrame([], COLUMNS)
+    def state(self, version: int | None = None) -> State:
+        version = max(self.versions(), default=0) if version is None else version
+        rows = self.spark.read.schema(VERSION).parquet(self._at(version)).collect() if version else []  # a row a partition or stream
+        of = lambda kind: [r for r in rows if r.kind == kind]
+        return State(version, next((r.number for r in of("parts")), self.parts), {r.number: r.name for r in of("folder")}, {r.name: r.number for r in of("batch")})
+
+    def _read(self, state: State, parts: list[int] | None = None) -> DataFrame:
+        """The table, or some of its partitions."""
+        paths = [f"{self.path}/{folder}" for part, folder in state.folders.items() if parts is None or part in parts]
+        return self.spark.read.schema(COLUMNS).parquet(*paths) if paths else self.spark.createDataFrame([], COLUMNS)
 
     def table(self) -> DataFrame:
-        return self._read(max(self.versions(), default=0))
+        return self._read(self.state())
+
+    def of(self, document_ids: list[str]) -> DataFrame:
+        """Rows of these documents: their partitions are read only, and of these what the filter on document_id lets through."""
+        state = self.state()
+        return self._read(state, [self._part(i, state) for i in document_ids]).filter(F.col("document_id").isin(document_ids))
+
+    @staticmethod
+    def _part(document_id: str, state: State) -> int:
+        return zlib.crc32(document_id.encode()) % state.parts
 
-    def _replace(self, change, base: int | None = None) -> None:
-        """Write change(table) as the next version."""
-        base = max(self.versions(), default=0) if base is None else base
+    def _replace(self, state: State, parts: list[int], change, batch: tuple[str, int] | None = None) -> None:
+        """Write change(these partitions) as the next version, which has all others as they are."""
         fs, path = self._files()
-        made = f"{self.path}/new-{uuid.uuid4().hex}"
-        change(self._read(base)).write.parquet(made)
+        folder = f"data-{uuid.uuid4().hex}"
+        rows = change(self._read(state, parts)).withColumn("part", (F.crc32("document_id") % state.parts).cast("int"))
+        rows.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        there = [x.getPath().getName() for x in fs.listStatus(path(f"{self.path}/{folder}"))]
+        folders = {p: f for p, f in state.folders.items() if p not in parts}
+        folders |= {int(n[5:]): f"{folder}/{n}" for n in there if n.startswith("part=")}
+        batches = state.batches | ({batch[0]: batch[1]} if batch else {})
+        said = [("parts", state.parts, ""), *[("folder", p, f) for p, f in folders.items()], *[("batch", i, n) for n, i in batches.items()]]
+        made, next_ = f"{self.path}/new-{uuid.uuid4().hex}", self._at(state.version + 1)
+        self.spark.createDataFrame(said, VERSION).coalesce(1).write.parquet(made)
         # renaming into an existing folder would move into it, so a folder that is there is a conflict
-        if fs.exists(path(self._at(base + 1))) or not fs.rename(path(made), path(self._at(base + 1))):
-            fs.delete(path(made), True)
-            raise Conflict(f"version {base + 1} of {self.path} was written by another")
-        if not fs.exists(path(f"{self._at(base + 1)}/_SUCCESS")):
-            raise Conflict(f"version {base + 1} of {self.path} was written by another")
+        if fs.exists(path(next_)) or not fs.rename(path(made), path(next_)) or not fs.exists(path(f"{next_}/_SUCCESS")):
+            for left in (made, f"{self.path}/{folder}"):
+                fs.delete(path(left), True)
+            raise Conflict(f"version {state.version + 1} of {self.path} was written by another")
 
     def clean(self, keep: int = 2) -> None:
-        """Remove all versions but the last ones."""
+        """Remove all versions but the last ones, and the folders that only those hold."""
         fs, path = self._files()
-        for version in self.versions()[:-keep]:
-            fs.delete(path(self._at(version)), True)
-
-    def upsert(self, rows: DataFrame, touch: bool = False) -> None:
-        self._replace(lambda old: merged(old, rows, touch))
+        every = [self.state(v) for v in self.versions()]
+        held = {f for s in every[-keep:] for f in s.folders.values()}
+        for state in every[:-keep]:
+            fs.delete(path(self._at(state.version)), True)
+            for folder in set(state.folders.values()) - held:
+                fs.delete(path(f"{self.path}/{folder}"), True)
+
+    def upsert(self, rows: DataFrame, touch: bool = False, batch: tuple[str, int] | None = None, state: State | None = None) -> bool:
+        """Put rows in by document_id (``merged``). batch: a stream's name and its batch's number; one that isn't higher than the last
+        was put in before, and changes nothing. state: the version to begin with, else the last. Whether anything was written."""
+        state = self.state() if state is None else state
+        if batch and state.batches.get(batch[0], -1) >= batch[1]:
+            return False
+        rows = written(payload(rows), "upsert")
+        parts = [r.part for r in rows.filter("document_id is not null").select((F.crc32("document_id") % state.parts).cast("int").alias("part")).distinct().collect()]
+        self._replace(state, parts, lambda old: merged(old, rows, touch), batch)
+        return True
 
     def restore(self, rows: DataFrame) -> None:
         """Put whole rows (COLUMNS) in as they are, with their ids and times; rows of the same document_id go."""
         rows = rows.dropDuplicates(["document_id"])
-        self._replace(lambda old: old.join(rows.select("document_id"), "document_id", "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
+        state = self.state()
+        every = list(range(state.parts))
+        self._replace(state, every, lambda old: old.join(rows.select("document_id"), "document_id", "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
 
     def get(self, document_id: str) -> DataFrame:
-        return self.table().filter(F.col("document_id") == document_id).limit(1)
+        return self.of([document_id]).limit(1)
 
     def listing(self) -> DataFrame:
         return self.table().select("id", "document_id", "filename", "page_count", "created_at").orderBy(F.col("created_at").desc(), "document_id")
 
     def delete(self, document_id: str) -> bool:
-        rows = self.table()
-        if not rows.filter(F.col("document_id") == document_id).limit(1).count():
+        state = self.state()
+        part = self._part(document_id, state)
+        if not self._read(state, [part]).filter(F.col("document_id") == document_id).limit(1).count():
             return False
-        self._replace(lambda old: old.filter(F.col("document_id") != document_id))
+        self._replace(state, [part], lambda old: old.filter(F.col("document_id") != document_id))
         return True
 
     def word_index(self, document_id: str) -> DataFrame:
-        return self.get(document_id).select("word_index")
+        """The index as JSON."""
+        return self.get(document_id).select(index.to_json(F.col("by_page"), F.col("by_word")).alias("word_index"))
 
     def extracted_text(self, document_id: str) -> DataFrame:
         return self.get(document_id).select("extracted_text")
 
 
-def to_json(words: DataFrame, significant: DataFrame) -> DataFrame:
-    """doc_id, word_index: words and the significant words with clean, as JSON. Page numbers become text keys."""
-    zero = F.lit(0)
-    word = F.struct("x0", "y0", "x1", "y1", "text", zero.alias("block_no"), zero.alias("line_no"), zero.alias("word_no"))
-    sorted_words = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda s: s["w"])
-    page = words.groupBy("doc_id", "page_num").agg(sorted_words(F.struct("pos", word.alias("w"))).alias("ws"))
-    pages = page.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_num").cast("string"), "ws")))).alias("by_page"))
-    place = F.struct(F.col("page_num").alias("page"), word.alias("word"))
-    by = significant.groupBy("doc_id", "clean").agg(sorted_words(F.struct("page_num", "pos", place.alias("w"))).alias("ws"))
-    by = by.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("clean", "ws")))).alias("by_word"))
-    return pages.join(by, "doc_id", "left").select("doc_id", F.to_json(F.struct("by_page", "by_word")).alias("word_index"))
-
-
-#: Bytes of text whose index is made at once; an index takes about thirty times its text.
-SLICE = 1 << 18
-
-
-def index_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, word_index: ``to_json`` of the words of documents (doc_id, text), a line a page, as ``words.occurrences`` has them.
-
-    Only texts are shuffled, to bring rows of one doc_id together; words never are, as they take many times their
-    text's space. Documents without words have no row."""
-    texts = docs.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_list("text")).alias("texts"))
-    # what isn't part of a word goes, the white space between words stays: words and their clean forms have the same places
-    cleaned = lambda t: F.lower(F.regexp_replace(t, P.NOT_WORD.removesuffix("]") + r" \t\n\x0B\f\r]+", ""))
-    return texts.withColumn("cleans", F.transform("texts", cleaned)).mapInArrow(_indexes, texts.select("doc_id", F.lit("").alias("word_index")).schema)
-
-
-def _indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, cleans = (batch.column(i).cast(pa.large_list(pa.large_string())) for i in (1, 2))
-        size = np.append(0, np.cumsum(np.asarray(pc.binary_length(texts.flatten())).astype(np.int64)))[np.asarray(texts.offsets)]
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, size[at] + SLICE, side="right")) - 1)
-            rows, indexes = _index(texts.slice(at, end - at), cleans.slice(at, end - at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + at)), indexes.cast(pa.string())], ["doc_id", "word_index"])
-            at = end
-    pa.default_memory_pool().release_unused()  # the worker may stay idle for long
-
-
-def _blanks(texts: pa.Array) -> pa.Array:
-    """Blanks for all white space that parts words within a line."""
-    for c in "\t\x0b\f\r":
-        texts = pc.replace_substring(texts, c, " ")
-    return texts
-
-
-def _cut(parents: pa.Array, sep: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The pieces of strings; the string and the place in it of each."""
-    pieces = pc.split_pattern(parents, sep)
-    lengths = np.asarray(pc.list_value_length(pieces)).astype(np.int64)
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    return pieces.flatten(), of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-
-def _joined(strings: pa.Array, *keys: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Neighbouring strings with the same keys, joined by commas; the first place of each."""
-    new = np.ones(len(strings), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(first, len(strings)), pa.int64()), strings), pa.scalar(",", pa.large_string())), first
-
-
-def _concat(*parts) -> pa.Array:
-    """Strings put together piecewise; whole numbers are written in decimal."""
-    text = [pa.scalar(p, pa.large_string()) if isinstance(p, str) else pa.array(p).cast(pa.large_string()) if isinstance(p, np.ndarray) else p for p in parts]
-    return pc.binary_join_element_wise(*text, pa.scalar("", pa.large_string()))
-
-
-def _index(texts: pa.Array, cleans: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Rows that have words, and their indexes. texts, cleans: the texts of each row and their clean forms."""
-    lengths = np.asarray(pc.list_value_length(texts)).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    texts, cleans = _blanks(texts.flatten()), _blanks(cleans.flatten())
-    lines, text_of, page = _cut(texts, "\n")
-    word, line_of, _ = _cut(lines, " ")
-    clean = pc.split_pattern(pc.split_pattern(cleans, "\n").flatten(), " ").flatten()
-    there = np.asarray(pc.greater(pc.binary_length(word), 0))
-    line_of, word, clean = line_of[there], word.filter(pa.array(there)), clean.filter(pa.array(there))
-    first = np.searchsorted(line_of, line_of)
-    pos, page, doc = np.arange(len(line_of)) - first, page[line_of], doc[text_of[line_of]]
-    if (lengths > 1).any():  # several rows of one doc_id
-        table = pa.table({"doc": doc, "page": page, "pos": pos, "word": word})
-        order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names])
-        word, clean, doc, page, pos = word.take(order), clean.take(order), *(x[np.asarray(order)] for x in (doc, page, pos))
-    odd = pc.match_substring_regex(word, r'["\\\x00-\x1f]')
-    if pc.any(odd).as_py():
-        word = pc.replace_with_mask(word, odd, pa.array([json.dumps(w.decode("utf-8", "replace"), ensure_ascii=False)[1:-1] for w in word.filter(odd).cast(pa.large_binary()).to_pylist()], pa.large_string()))
-    word = _concat('{"x0":', pos, '.0,"y0":', page, '.0,"x1":', pos + 1, '.0,"y1":', page + 1, '.0,"text":"', word, '","block_no":0,"line_no":0,"word_no":0}')
-    pages, at = _joined(word, doc, page)
-    pages, at_doc = _joined(_concat('"', page[at], '":[', pages, "]"), doc[at])
-    rows = doc[at][at_doc]
-    counts = pc.and_(pc.greater_equal(pc.utf8_length(clean), C.CONFIG.min_word_length), pc.invert(pc.is_in(clean, value_set=pa.array(C.STOPWORDS, pa.large_string()))))
-    kept = np.flatnonzero(np.asarray(counts))
-    coded = clean.take(pa.array(kept)).dictionary_encode()
-    rank = np.argsort(np.asarray(pc.sort_indices(coded.dictionary)), kind="stable")
-    code = rank[np.asarray(coded.indices)] if len(kept) else np.zeros(0, np.int64)
-    order = np.argsort(doc[kept] * max(len(rank), 1) + code, kind="stable")
-    kept, code = kept[order], code[order]
-    places, at = _joined(_concat('{"page":', page[kept], ',"word":', word.take(pa.array(kept)), "}"), doc[kept], code)
-    places, at_doc = _joined(_concat('"', clean.take(pa.array(kept[at])), '":[', places, "]"), doc[kept[at]])
-    of_row = np.full(len(rows), -1)
-    of_row[np.searchsorted(rows, doc[kept[at]][at_doc])] = np.arange(len(at_doc))
-    by_word = pc.fill_null(places.take(pa.array(of_row, mask=of_row < 0)), "")
-    return rows, _concat('{"by_page":{', pages, '},"by_word":{', by_word, "}}")
-
-
-def from_json(stored: DataFrame) -> DataFrame:
-    """The inverse: doc_id, by_page with whole page numbers as keys, by_word."""
-    i = F.from_json("word_index", INDEX)
-    return stored.select("doc_id", F.transform_keys(i["by_page"], lambda k, _: k.cast("int")).alias("by_page"), i["by_word"].alias("by_word"))
-
-
-#: What ``contents`` reads of an index: all pages, words and places, of a place no more than one field.
-COUNTED = "struct<by_page:map<string,array<struct<text:string>>>,by_word:map<string,array<struct<page:int>>>>"
-
-
-def contents(stored: DataFrame) -> DataFrame:
-    """doc_id, pages, unique_words, total_words, last_page of stored indexes, each parsed once, whole, and not kept."""
-    n = lambda x: F.coalesce(F.size(x).cast("long"), F.lit(0).cast("long"))
-    counts = lambda i: F.struct(
-        n(i["by_page"]).alias("pages"), n(i["by_word"]).alias("unique_words"),
-        F.aggregate(F.map_values(i["by_page"]), F.lit(0).cast("long"), lambda a, p: a + F.size(p)).alias("total_words"),
-        F.array_max(F.transform(F.map_keys(i["by_page"]), lambda k: k.cast("int"))).alias("last_page"),
-    )
-    return stored.select("doc_id", F.transform(F.array(F.from_json("word_index", COUNTED)), counts)[0].alias("c")).select("doc_id", "c.*")
-
-
-def words_of(stored: DataFrame) -> DataFrame:
-    """doc_id, page_num, pos, x0, y0, x1, y1, text of every word of stored documents (doc_id, word_index)."""
-    pages = from_json(stored).select("doc_id", F.explode("by_page").alias("page_num", "ws"))
-    return pages.select("doc_id", "page_num", F.posexplode("ws").alias("pos", "w")).select("doc_id", "page_num", "pos", "w.x0", "w.y0", "w.x1", "w.y1", "w.text")
-
-
-def ingest(catalog: Catalog, texts: DataFrame, words: DataFrame, significant: DataFrame) -> int:
-    """Store documents (doc_id, filename, extracted_text, page_count) with their index; how many."""
-    return put(catalog, texts, to_json(words, significant))
+def ingest(catalog: Catalog, texts: DataFrame, words: DataFrame) -> int:
+    """Store documents (doc_id, filename, extracted_text, page_count) with the index of their words; how many. Words are shuffled
+    once, by doc_id."""
+    return put(catalog, texts, index.indexed(words.repartition("doc_id")))
 
 
 def put(catalog: Catalog, texts: DataFrame, indexes: DataFrame) -> int:
-    """``ingest`` with indexes (doc_id, word_index) that are made already; they are made once, though the upsert reads them twice."""
-    rows = texts.join(kept_large(indexes, "indexes"), "doc_id", "left").withColumn("document_id", F.col("doc_id").cast("string"))
-    rows = rows.withColumn("page_count", F.col("page_count").cast("int"))
+    """``ingest`` with indexes (doc_id, by_page, by_word) that are made already."""
+    rows = large(texts).join(indexes, "doc_id", "left").withColumn("document_id", F.col("doc_id").cast("string"))
     catalog.upsert(rows)
     return texts.select("doc_id").distinct().count()

@@ -11,10 +11,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomatch.config import CONFIG
+from foliomatch.functions import patterns as P
 from foliomatch.functions.text import blank
+from foliomatch.sources.intermediate import written
+from foliomatch.sources.workers import Factory, made
 
 LOG = logging.getLogger(__name__)
 PAGES = "path string, page_num int, width double, height double, native_text string, image binary"
@@ -31,6 +35,26 @@ def document_id(path: Column) -> Column:
     return F.when(name.rlike(r"^\.[^.]*$"), name).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+def text_pages(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, page_num, native_text, width, height of the pages of UTF-8 text files, parted by form feeds; width and height are
+    places and lines. A form feed at a file's very end begins no page; an empty file has none.
+
+    Spark's reader cuts a file into blocks at any place and gives each its whole pages, so that one large file is many tasks, in
+    any store that Spark reads. A page's number is its place in its block behind the pages of the blocks before."""
+    rows = spark.read.option("lineSep", "\f").text(list(paths)).select(
+        F.col("value").alias("native_text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    rows = written(rows, "text-pages")
+    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("path", "block", before.alias("before"))
+    place = F.row_number().over(W.partitionBy("path", "block").orderBy("row")) - 1
+    numbered = rows.withColumn("place", place).join(blocks, ["path", "block"])
+    lines = F.split("native_text", "\n", -1)
+    places = F.array_max(F.transform(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit(P.TOKEN), F.lit(0)))))
+    return numbered.select("path", (F.col("place") + F.col("before")).cast("int").alias("page_num"), (places + 1).cast("double").alias("width"), (F.size(lines) + 1).cast("double").alias("height"), "native_text")
+
+
 def pages(found: DataFrame, pager: Callable[[bytes], list[dict]]) -> DataFrame:
     """The pages of files (PAGES). A file that the pager can't open has none."""
 
@@ -47,16 +71,18 @@ def pages(found: DataFrame, pager: Callable[[bytes], list[dict]]) -> DataFrame:
     return found.select("path", "content").mapInPandas(run, PAGES)
 
 
-def recognised(images: DataFrame, recogniser: Callable[[bytes], list[tuple]]) -> DataFrame:
-    """Detections of page images; a page that fails has none. The recogniser keeps its own model, once a worker."""
+def recognised(images: DataFrame, recogniser: Callable[[bytes], list[tuple]] | Factory) -> DataFrame:
+    """Detections of page images; a page that fails has none. A factory makes the recogniser once a worker; its ways are tried in
+    turn, as for a GPU and then the CPU."""
     schema = "path string, page_num int, det_no int, tlx double, tly double, trx double, try_ double, brx double, bry double, blx double, bly double, text string, prob double"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recognise = made(recogniser) if isinstance(recogniser, Factory) else recogniser
         for part in parts:
             for path, page, image in zip(part["path"], part["page_num"], part["image"], strict=True):
                 try:
-                    found = recogniser(image)
+                    found = recognise(image)
                 except Exception as e:  # the recogniser is the caller's code: whatever it raises costs one page
                     LOG.warning("page %s of %s can't be recognised: %s", page, path, e)
                     found = []
@@ -110,5 +136,5 @@ def extracted_text(page_texts: DataFrame) -> DataFrame:
     native = ~blank(F.col("native_text"))
     chunk = lambda kind, c: F.format_string(f"--- Page %d ({kind}) ---\n%s\n", F.col("page_num") + 1, F.col(c))
     text = F.when(native, chunk("Native", "native_text")).when(F.col("ocr_text").isNotNull(), chunk("EasyOCR", "ocr_text"))
-    items = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("page_num", text.alias("t")))))
+    items = F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct("page_num", text.alias("t")))))
     return page_texts.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), "").alias("extracted_text"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def removed(spark: SparkSession) -> None:
-    """Delete the session's intermediates, once no table made from them is read any more."""
+    """Delete the session's intermediates, once no table made from them is read any more: at the end of a job or between queries."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -38,6 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join is broadcast only if it was counted and has at most this many rows.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it was counted and has few enough rows; else joins are Spark's choice."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
+#: Rows from which a table of words is large.
+LARGE_ROWS = 20_000
+
+
 def large(df: DataFrame) -> DataFrame:
     """A table that joins must not broadcast, however small its files are.
 
@@ -47,11 +61,9 @@ def large(df: DataFrame) -> DataFrame:
 
 
 def kept_large(df: DataFrame, name: str) -> DataFrame:
-    """``written`` as a large table. The driver then collects its garbage: Spark deletes the shuffle files of a step that is
-    over only when the step's plan is collected, which else may be after all steps."""
-    out = large(written(df, name))
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """``written``; a large table if it has more than ``LARGE_ROWS`` rows, which are counted from its files' footers."""
+    out = written(df, name)
+    return large(out) if out.count() > LARGE_ROWS else out
 
 
 def spread(df: DataFrame) -> DataFrame:

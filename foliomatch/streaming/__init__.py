@@ -8,5 +8,6 @@ from foliomatch.sources.catalog import Catalog
 
 
 def upsert_stream(arriving: DataFrame, catalog: Catalog, checkpoint: str):
-    """A streaming query that upserts every batch; a repeated batch has the same result."""
-    return arriving.writeStream.foreachBatch(lambda rows, _: catalog.upsert(rows)).option("checkpointLocation", checkpoint).start()
+    """A streaming query that upserts every batch, each once: the catalog keeps the number of the last batch of this checkpoint, and a
+    batch that Spark repeats after a restart isn't written again."""
+    return arriving.writeStream.foreachBatch(lambda rows, i: catalog.upsert(rows, batch=(checkpoint, i))).option("checkpointLocation", checkpoint).start()

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from foliomatch.functions import numbers
 from foliomatch.functions.text import clean, pad_zeros, without_tones
 from foliomatch.operators import compare, similar, words
 
@@ -92,6 +93,51 @@ def test_ladder_equals_plain_comparison(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_candidates_of_the_ratio(spark):
+    """Words meet once each, all that are alike enough do, and of words of like lengths only a part."""
+    made = random.Random(8)
+    letters = "etaoinshrdlucmfwypvbgk"
+    words_ = sorted({"".join(made.choices(letters, range(len(letters), 0, -1), k=made.randint(1, 12))) for _ in range(900)} | {"aaaa", "aaaab", "กขค", "กขคง", "๑๒๓"})
+    a, b = words_[::2], words_[1::2]
+    table = lambda ws: spark.createDataFrame([(1, w, len(w)) for w in ws], "pair long, clean string, len int")
+    for threshold, most in ((0.8, 0.25), (0.6, 0.8)):
+        met = [(r.a, r.b) for r in similar.candidates(table(a), table(b), threshold).collect()]
+        near = {(x, y) for x in a for y in b if abs(len(x) - len(y)) <= max(0.5 * len(x), 3) and 2 * min(len(x), len(y)) >= threshold * (len(x) + len(y))}
+        alike = {(x, y) for x, y in near if 2 * naive_lcs(x, y) >= threshold * (len(x) + len(y)) - 1e-9}
+        assert len(met) == len(set(met)) and alike <= set(met) <= near and alike
+        plan = similar.candidates(table(a), table(b), threshold)
+        joined = table(a).count() and plan.count()
+        assert joined == len(met) < most * len(near)
+
+
+def test_words_are_looked_up_by_their_rarest_trigram(spark):
+    table = lambda ws: spark.createDataFrame([(w,) for w in ws], "form string")
+    long = [f"{x}ing" for x in ("sing", "ring", "str", "wr", "br")] + ["zaring", "xyz"]
+    got = {r.form: r.gram for r in similar.rarest_grams(table(["aring", "ing", "sting", "xyz"]), table(long)).collect()}
+    assert got == {"aring": "ari", "ing": "ing", "xyz": "xyz"}  # no word there has "sti"
+
+
+def test_equal_numbers_equal_plain_comparison(spark):
+    made = random.Random(9)
+    text = lambda: made.choice(["0", "-0", "0.0", "007", "1,000", "1000.0001", "999.9999", "x", "", "9" * 30, "0.00000000001", f"{made.uniform(-5, 5):.7f}", f"{10 ** made.randint(0, 12) + made.randint(0, 2)}.{made.randint(0, 9)}", str(made.randint(-20, 20))])
+    own, other = ([(made.randint(1, 2), text()) for _ in range(300)] for _ in range(2))
+    own += [(1, "1000000"), (1, "1000000.5"), (1, "-3"), (1, "2.5000001")]
+    other += [(1, "1000000.0"), (1, "1000001.4"), (1, "-3.0"), (1, "2.5"), (1, "3")]
+    x, y = spark.createDataFrame(sorted(set(own)), "pair long, a string"), spark.createDataFrame(sorted(set(other)), "pair long, b string")
+    want = x.join(y, "pair").filter(numbers.numbers_equal(F.col("a"), F.col("b"))).select("pair", "a", "b").collect()
+    got = similar.equal_numbers(x, y, ["pair"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 50
+    assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_samples_are_cut_before_the_shuffle(spark):
+    rows = [(p, i, 0, f"w{i:03d}") for p in (1, 2) for i in range(300)]
+    found = spark.createDataFrame(rows, "pair_id long, first_page int, first_pos int, clean string")
+    got = compare._samples(found, ["pair_id"])
+    assert {r.pair_id: r.sample for r in got.collect()} == dict.fromkeys((1, 2), ", ".join(f"w{i:03d}" for i in range(10)))
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans_have_no_nested_loops(spark):
     pairs, found, vocab = tables(spark, A, B)
     for df in (compare.diff_words(pairs, found, vocab), compare.same_words(pairs, vocab)):
@@ -104,39 +150,6 @@ def test_edges(spark):
     assert compare.diff_words(pairs, found, vocab).count() == 0
     row = compare.same_summary(pairs, found, vocab).first()
     assert (row.matched_doc1, row.match_rate, row.sample_matched) == (0, 0.0, "")
-    docs = spark.createDataFrame([(1, None), (2, "x" * 120), (3, "x" * 120), (4, "x" * 100 + " y"), (5, "short")], "doc_id long, text string")
-    assert {(r.doc1, r.doc2) for r in compare.near_copies(docs).collect()} == {(2, 4), (3, 4)}
-
-
-@pytest.mark.parametrize("chunk", [1, 3, 7, 100])
-def test_near_copies_over_chunks(spark, chunk):
-    made = random.Random(chunk)
-    rows = [(i, made.choice("ab") * 90 + " " + made.choice("xyz") * 20) for i in range(40) if i % 5]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {(a, min(later)) for a, s in rows if (later := [b for b, t in rows if b > a and t != s and t[:80] == s[:80]])}
-    assert {(r.doc1, r.doc2) for r in compare.near_copies(docs, chunk=chunk).collect()} == want
-
-
-@pytest.mark.parametrize("chunk", [3, 100])
-def test_close_pairs(spark, chunk):
-    """Whole texts of any length: edits at the beginning, short texts, equal texts, texts without words."""
-    made = random.Random(4)
-    word = lambda: f"w{made.randrange(10**6)}"
-    base = [word() for _ in range(300)]
-    rows = [(1, None), (2, ""), (3, " ".join(base)), (4, " ".join(["new", *base])), (5, " ".join(base)), (6, " ".join(word() for _ in range(300))), (7, "one two"), (8, "one  two"), (9, "one three"), (10, " ".join([*base, "end"]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.doc1, r.doc2) for r in compare.close_pairs(docs, chunk=chunk).collect()} == {(3, 4), (4, 5), (5, 10), (7, 8)}
-
-
-def test_close_pairs_find_near_copies(spark):
-    """Recall of pairs that share four fifths of their shingles, by brute force."""
-    made = random.Random(5)
-    rows = []
-    for i in range(150):
-        base = [f"w{made.randrange(10**6)}" for _ in range(100)]
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, *(f"x{made.randrange(10**6)}" for _ in range(24))]))]
-    found = {(r.doc1, r.doc2) for r in compare.close_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(b == a + 1 and a % 2 == 0 for a, b in found) and len(found) >= 0.92 * 150
 
 
 def test_matched_places_are_distinct(spark):
@@ -152,3 +165,11 @@ def test_report_sink(spark, tmp_path):
         compare.write_report(compare.report_lines(summary, mode), str(tmp_path / mode))
         (one,) = (tmp_path / mode / "pair_id=1").glob("*.txt")
         assert one.read_text().splitlines()[0] == ("Mode: matches" if mode == "same" else "Mode: differences")
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ9_ \n\t\r\x0b\f  -.กΣßİ"), max_size=25), min_size=1, max_size=4))
+def test_lines_cleaned_at_once_give_clean_words(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = words.occurrences(docs).withColumn("clean", clean(F.col("text")))
+    assert sorted(map(tuple, words.cleaned_occurrences(docs).collect())) == sorted(map(tuple, want.collect()))

@@ -4,12 +4,18 @@ from pyspark.sql import functions as F
 from foliomatch.__main__ import main
 from foliomatch.operators import compare, words
 from foliomatch.plans import jobs, prompts
+from foliomatch.sources import documents
 from foliomatch.sources.catalog import Catalog
 
 ONE = "Policy alpha beta\nnumber 1,500 gamma\fsecond page delta epsilon zeta"
 TWO = "Policy alpha beta\nnumber 1500 omega\fsecond page delta epsilon theta"
 
 
+def said(prompt, most):
+    """A model for the command line."""
+    return f"asked {most}: {prompt}" + "\nmore" * 60 + "\ttail of the answer"
+
+
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "one.txt").write_text(ONE)
@@ -59,6 +65,36 @@ def test_stored_index_compares_as_the_document_itself(spark, folder, mode):
         assert {w for p, w in words_ if p == 1} == {"gamma", "zeta"} and len(words_) > 10
 
 
+def test_asking_about_pairs(spark):
+    texts = spark.createDataFrame([(1, "one"), (2, "two"), (3, " \n"), (4, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(7, 1, 2), (8, 1, 3), (9, 4, 2), (10, 1, 5)], "pair_id long, doc1 long, doc2 long")
+    rows = jobs.asked(pairs, texts, lambda p, n: f"{n} {p}", "same", "en").collect()
+    assert [r.pair_id for r in rows] == [7] and rows[0].answer.startswith(f"{prompts.COMPARE_TOKENS} {prompts.COMPARE['en', 'same']}") and "one" in rows[0].answer
+
+
+def test_text_pages(spark, tmp_path):
+    """Pages of text files read in blocks: numbers and rows equal those of the pager, and one file is many tasks."""
+    texts = {"a.txt": "\f".join(f"page {i}\n{'x ' * (i % 90)}é" for i in range(3000)), "b.txt": "one", "c.txt": "\fone\f\ftwo\f", "d.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", (tmp_path / "a.txt").stat().st_size // 8 + 1)
+    try:
+        assert spark.read.option("lineSep", "\f").text(str(tmp_path / "a.txt")).rdd.getNumPartitions() >= 8
+        got = sorted((r.path.rpartition("/")[2], r.page_num, r.native_text, r.width, r.height) for r in documents.text_pages(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    found = spark.read.format("binaryFile").load([str(tmp_path / n) for n in "a.txt b.txt c.txt".split()])
+    want = sorted((r.path.rpartition("/")[2], r.page_num, r.native_text, r.width, r.height) for r in documents.pages(found, jobs.text_pager).collect())
+    assert got == want and len(got) == 3005
+    store = Catalog(spark, str(tmp_path / "cat"))
+    assert jobs.ingest_texts(store, *[str(tmp_path / n) for n in texts]) == (3, 0)  # an empty file is nothing to Spark's readers
+    other = Catalog(spark, str(tmp_path / "other"))
+    assert jobs.ingest_files(other, found, jobs.text_pager) == (3, 0)
+    key = lambda r: (r.document_id, r.filename, r.extracted_text, r.page_count, r.by_page, r.by_word)
+    assert sorted(map(key, store.table().collect())) == sorted(map(key, other.table().collect()))
+
+
 def test_modes_are_checked(spark):
     with pytest.raises(ValueError):
         jobs.compare_words(None, None, "all")
@@ -70,10 +106,12 @@ def test_command_line(spark, folder, capsys):
     assert main(["compare-stored", str(folder / "two.1.txt"), "one", *at], spark) == 0
     assert main(["compare", str(folder / "one.txt"), str(folder / "two.1.txt"), "--mode", "same", "--report", str(folder / "r")], spark) == 0
     assert main(["compare", str(folder / "one.txt"), str(folder / "bad.txt")], spark) == 1
+    assert main(["compare-stored", str(folder / "two.1.txt"), "one", *at, "--model", "tests.test_jobs:said", "--language", "en"], spark) == 0
     assert main(["list", *at], spark) == 0
     assert main(["delete", "one", *at], spark) == 0 and main(["delete", "one", *at], spark) == 1
     out = capsys.readouterr().out
     assert "stored 1, failed 1" in out and "Mode: differences" in out and "Mode: matches" in out and "one.txt" in out and "not found" in out
+    assert "asked 36000: Compare these two documents. Report what differs" in out and "\ttail of the answer" not in out
     assert "Mode: matches" in "".join(p.read_text() for p in (folder / "r").rglob("part-*"))
 
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from foliomatch.plans.queries import ORACLES, QUERIES
+from foliomatch.sources import intermediate
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,8 +34,9 @@ def test_query(spark, name):
 
 
 @pytest.mark.parametrize("name", ["diff_summary_catalog", "same_summary_catalog"])
-def test_stored_words_are_not_broadcast(spark, name):
+def test_stored_words_are_not_broadcast(spark, name, monkeypatch):
     """Files are smaller than their rows: no table of words or of what is found in them may be broadcast for its files' size."""
+    monkeypatch.setattr(intermediate, "LARGE_ROWS", 0)
     plan = QUERIES[name](spark, SF)._jdf.queryExecution()
     assert "strategy=merge" in plan.optimizedPlan().toString()
     assert "Broadcast" not in plan.sparkPlan().toString()
