@@ -21,6 +21,10 @@ valid as the value was. What isn't valid is left alone.
   cycle until the day is on the same side of 12, so a day has one pseudonym in all notations, and
   pseudonyms with slashes are read the way they were written.
 
+Not found, and left in clear: IPv6 addresses; dates as 2001/12/31 or with the month's name; cards whose groups are parted by dots;
+ten-digit phones parted by blanks only, without brackets or a country code; addresses at domains with letters beyond ASCII, or whose local
+part is longer than 64 characters, the most that mail allows. Secrets are another operator's (``secret_scan``).
+
 The key comes from the caller; ``configured_key`` reads it from the session (``KEY_CONF``). Without one the
 published ``TEST_KEY`` is used, with a warning: whoever knows the key can undo numbers, so it does for tests only.
 

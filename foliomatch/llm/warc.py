@@ -16,8 +16,8 @@ character references are decoded once; runs of blanks become one, empty lines go
 Content-Type isn't HTML or XHTML is text as it is, but for blanks; without a Content-Type it counts as HTML.
 
 Header values (ids, URIs, dates, source header lines) can't begin lines of their own: line breaks in them become
-blanks. Character references are those of HTML 5 that end in a semicolon, and numeric ones; others stay as they
-are. A tag holds no ``<``; what looks like one and isn't closed before the next ``<`` is text. Digests are SHA-256 in
+blanks. Links are the ``href`` of ``a`` tags in any quoting (``outlinks``), as they stand there. Character references are those of HTML 5 that end in a semicolon, and numeric ones; others stay as they
+are. Blocks are text already: a charset isn't looked at. A tag holds no ``<`` and ends with its first ``>``, but for ``a`` tags' links; what looks like one and isn't closed before the next ``<`` is text. Digests are SHA-256 in
 hexadecimal (``sha256:``), where many writers use SHA-1 in base 32.
 
 Everything is a column expression: one scan, no shuffle, whatever the number or size of the pages. Patterns
@@ -45,7 +45,9 @@ BLOCK_TAGS = (
 DROPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b[^<>]*+>.*?(?:</(?:script|style|template|noscript)\s*+>|\z)"
 LINE = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^<>]*+)?+>"
 TAG = r"<[/!?a-zA-Z][^<>]*+>"
-LINK = r"(?i)<a\s[^<>]*?href=\"([^\"<>]*)\""
+#: An ``a`` tag, whose quoted values may hold ``>``; its attributes from the left: names, and values with their quotes.
+ANCHOR = r"""(?i)<a[\s/](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>"""
+ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?"""
 TITLE = r"(?is)<title[^<>]*+>([^<]*)"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 OTHER_REFERENCE = REFERENCE.replace("[a-zA-Z][", "(?!amp;)[a-zA-Z][")
@@ -88,6 +90,20 @@ def bare_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), LINE, "\n"), TAG, "")
 
 
+def outlinks(html: Column) -> Column:
+    """The ``href`` of each ``a`` tag that has one: in double quotes, single quotes or none, with or without white space around ``=``. Of
+    several in one tag the first counts; what stands within other attributes' values isn't one."""
+
+    def of(tag: Column) -> Column:
+        rest = F.substring(tag, F.lit(3), F.length(tag))
+        both = F.arrays_zip(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(1)).alias("name"), F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(2)).alias("value"))
+        value = F.get(F.filter(both, lambda x: F.lower(x["name"]) == "href"), 0)["value"]
+        quoted = value.startswith('"') | value.startswith("'")
+        return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), of), lambda x: x.isNotNull())
+
+
 def _uuid(*parts: Column) -> Column:
     h = F.sha2(F.concat_ws("|", *parts), 256)
     cut = lambda a, n: F.substring(h, a, n)
@@ -119,7 +135,7 @@ def derive(responses: DataFrame) -> DataFrame:
     r = r.withColumn("bare", F.when(is_html, bare_text(F.col("payload"))).otherwise(F.col("payload")))
     r = r.withColumn("bare_title", F.when(is_html, F.regexp_extract("payload", TITLE, 1)).otherwise(""))
     r = r.withColumn("text", _tidy(F.when(is_html, unescape(F.col("bare"))).otherwise(F.col("bare"))))
-    links = F.when(is_html, F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    links = F.when(is_html, outlinks(F.col("payload"))).otherwise(F.array().cast("array<string>"))
     title = _tidy(unescape(F.col("bare_title")))
     r = r.withColumn("links", links).withColumn("lines", F.split("head", CRLF))
     links, lines = F.col("links"), F.col("lines")
@@ -193,13 +209,18 @@ def _sql_text(s: str) -> str:
     return " || ".join(f"chr({ord(c)})" for c in s)
 
 
+_quoted = lambda pattern: pattern.replace("'", "''")
+_attributes = f"list_zip(regexp_extract_all(t[3:], '{_quoted(ATTRIBUTE)}', 1), regexp_extract_all(t[3:], '{_quoted(ATTRIBUTE)}', 2))"
+_first = f"list_filter({_attributes}, lambda a: lower(a[1]) = 'href')[1]"
+#: Values are unquoted by cutting quotes off both ends.
+SQL_LINKS = rf"""list_filter(list_transform(regexp_extract_all(payload, '{_quoted(_re2(ANCHOR))}'), lambda t: CASE WHEN ({_first}) IS NOT NULL THEN regexp_replace(coalesce(({_first})[2], ''), '^["''](.*)["'']$', '\1', 's') END), lambda u: u IS NOT NULL)"""
 _NL = "chr(13) || chr(10)"
 OP1_SQL = rf"""
 WITH n AS (SELECT MAP {{{", ".join(f"'{k}': {_sql_text(v)}" for k, v in NAMES.items())}}} AS names),
 p AS (SELECT coalesce(page_id::VARCHAR, '') AS id, coalesce(url, '') AS uri, coalesce(html, '') AS payload,
              sha256('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h, names FROM pages, n),
 q AS (SELECT *, {_sql_uuid('h')} AS rid, 'sha256:' || sha256(payload) AS digest,
-        regexp_extract_all(payload, '{LINK}', 1) AS links,
+        {SQL_LINKS} AS links,
         {_sql_tidy(_sql_unescape(rf"regexp_extract(payload, '{_re2(TITLE)}', 1)"))} AS title,
         regexp_replace(regexp_replace(regexp_replace(payload, '{_re2(DROPPED)}', ' ', 'g'), '{_re2(LINE)}', chr(10), 'g'), '{_re2(TAG)}', '', 'g') AS bare FROM p),
 b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,

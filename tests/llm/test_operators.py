@@ -64,7 +64,17 @@ def test_warc(spark):
     assert warc.derive(spark.createDataFrame([], "record_id string, target_uri string, date string, block string")).count() == 0
 
 
-@pytest.mark.parametrize("piece", ["<p ", "<a ", "&", '<a href="x', "</script ", "<title ", "\n ", "&apos;"])
+LINKS = """<a href="/1">x</a><a href='/2'>y</a><A HREF=/3>z</A><a class=b
+ HREF = "/4" href="/no">w</a><a title=" href='/no'" href='/5?a=">"'>v</a><a href="">e</a><a name=href>n</a><a>none</a><area href="/no"><a/href=/6><a href><a data-href="/no" href	=	/7&amp;x target=_blank>
+<a href="/no <b>t</b><abbr href="/no">"""
+
+
+def test_outlinks(spark):
+    got = spark.createDataFrame([(LINKS,), ("",)], "html string").select(warc.outlinks(F.col("html"))).collect()
+    assert [r[0] for r in got] == [["/1", "/2", "/3", "/4", '/5?a=">"', "", "/6", "", "/7&amp;x"], []]
+
+
+@pytest.mark.parametrize("piece", ["<p ", "<a ", "&", '<a href="x', "<a href='", "<a b=", '<a b="" ', "</script ", "<title ", "\n ", "&apos;"])
 def test_warc_of_hostile_pages(spark, piece):
     n = 3_000_000 // len(piece)
     head = "HTTP/1.1 200 OK\r\n\r\n"
