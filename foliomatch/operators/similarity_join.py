@@ -79,6 +79,15 @@ def prefix_size(n: Column, threshold: Fraction = SIMILARITY) -> Column:
     return (n - F.ceil(n * a / b - 1e-9) + 1).cast("int")
 
 
+def _first_others(sets: DataFrame, late: DataFrame, size: Column, seen: Column) -> DataFrame:
+    """key, n, first, enough: the first `size` shingles of sets in the order with `late` ones (h, late) last, among the first `seen` ones
+    by hash; enough: whether these are the first of all."""
+    marked = sets.select("key", "n", F.explode(F.slice("hashes", 1, seen.cast("int"))).alias("h")).join(late, "h", "left")
+    ordered = marked.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h"))).alias("o"))
+    early = F.size(F.filter("o", lambda x: x["late"] == 0))
+    return ordered.select("key", "n", F.slice(F.transform("o", lambda x: x["h"]), 1, size).alias("first"), ((early >= size) | (F.size("o") == F.col("n"))).alias("enough"))
+
+
 def prefixes(sets: DataFrame, threshold: Fraction = SIMILARITY, hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
     """key, n, h of each set's first shingles, and h of those that are frequent all the same (None: there are none)."""
     size = prefix_size(F.col("n"), threshold)
@@ -95,11 +104,13 @@ def prefixes(sets: DataFrame, threshold: Fraction = SIMILARITY, hot: int = HOT)
             return rows, rows.join(bounded(known), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("h")
         known = new if known is None else written(known.union(new), "join-known")
         again = written(rows.join(bounded(new), "h", "left_semi").select("key").distinct(), "join-again")
-        # of sets that had a frequent one: all shingles, frequent ones last
-        marked = sets.join(bounded(again), "key", "left_semi").select("key", "n", F.explode("hashes").alias("h"))
-        marked = marked.join(bounded(known.withColumn("late", F.lit(1))), "h", "left")
-        ordered = marked.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h"))).alias("o"))
-        redone = ordered.select("key", "n", first(F.transform("o", lambda x: x["h"])))
+        # of sets that had a frequent one twice as many shingles are looked at; of those with too few others, all
+        late = bounded(known.withColumn("late", F.lit(1)))
+        some = written(_first_others(sets.join(bounded(again), "key", "left_semi"), late, size, 2 * size + 16), "join-some")
+        few = some.filter("not enough").select("key")
+        redone = some.filter("enough").select("key", "n", F.explode("first").alias("h"))
+        if few.limit(1).count():
+            redone = redone.union(_first_others(sets.join(bounded(few), "key", "left_semi"), late, size, F.col("n")).select("key", "n", F.explode("first").alias("h")))
         rows = written(rows.join(bounded(again), "key", "left_anti").select("key", "n", "h").union(redone), "join-prefixes")
 
 

