@@ -39,10 +39,19 @@ COLUMNS = 8_192
 
 
 class Sets(NamedTuple):
-    """members: doc_id, class_id for every document; sets: key, rep, n, hashes (sorted) for each class, key a number of its own."""
+    """members: doc_id, class_id for every document; sets: key (a number of its own), rep, n, digest and ahead, the first hashes in order,
+    for each class; texts: digest, text of all documents, from which a set is made again where it is needed whole."""
 
     members: DataFrame
     sets: DataFrame
+    texts: DataFrame
+    k: int
+
+    def whole(self, keys: DataFrame) -> DataFrame:
+        """key, rep, n, hashes (all of them, sorted) of some sets. keys: key, distinct."""
+        wanted = self.sets.select("key", "rep", "n", "digest").join(bounded(keys), "key", "left_semi")
+        texts = self.texts.join(bounded(wanted), "digest").groupBy("key", "rep", "n").agg(F.first("text").alias("text"))
+        return texts.select("key", "rep", "n", shingle_hashes(F.col("text"), self.k).alias("hashes"))
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -53,24 +62,29 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.sort_array(F.array_distinct(runs(w)))).otherwise(F.array().cast("array<bigint>"))))
 
 
-def classes(docs: DataFrame, k: int = SHINGLE) -> Sets:
+def _ahead(n: Column, threshold: Fraction) -> Column:
+    """How many hashes of a set are kept: twice those that must be looked at, as frequent ones among these are passed over."""
+    return 2 * prefix_size(n, threshold) + 16
+
+
+def classes(docs: DataFrame, threshold: Fraction = SIMILARITY, k: int = SHINGLE) -> Sets:
     """Documents (doc_id, text) with their sets. Texts are shuffled once, by digest; copies are one from there on."""
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("digest"))
     one = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
     own = one.select("digest", "rep", shingle_hashes(F.col("text"), k).alias("hashes")).filter(F.size("hashes") > 0)
     own = own.withColumn("same", F.md5(F.array_join(F.col("hashes").cast("array<string>"), ","))).withColumn("n", F.size("hashes"))
+    own = own.select("digest", "rep", "same", "n", F.slice("hashes", 1, _ahead(F.col("n"), threshold)).alias("ahead"))
     own = written(own.withColumn("key", F.monotonically_increasing_id()), "join-sets")
     named = own.groupBy("same").agg(F.min("rep").alias("class_id"), F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("texts"))
     named = written(named, "join-classes")
-    sets, several = own.select("key", "rep", "n", "hashes", "digest"), named.filter("texts > 1").select("same", "first")
+    sets, several = own.select("key", "rep", "n", "digest", "ahead"), named.filter("texts > 1").select("same", "first")
     if several.limit(1).count():
         # of several texts with one set all but the first go
         other = own.select("digest", "same", "rep").join(bounded(several), "same").filter(F.struct("rep", "digest") != F.col("first")).select("digest")
         sets = sets.join(bounded(other), "digest", "left_anti")
-    sets = sets.drop("digest")
     of = own.select("digest", "same").join(named.select("same", "class_id"), "same").select("digest", "class_id")
     members = rows.select("doc_id", "digest").distinct().join(of, "digest").groupBy("doc_id").agg(F.min_by("class_id", "digest").alias("class_id"))
-    return Sets(members, sets)
+    return Sets(members, sets, rows.select("digest", "text"), k)
 
 
 def prefix_size(n: Column, threshold: Fraction = SIMILARITY) -> Column:
@@ -79,39 +93,44 @@ def prefix_size(n: Column, threshold: Fraction = SIMILARITY) -> Column:
     return (n - F.ceil(n * a / b - 1e-9) + 1).cast("int")
 
 
-def _first_others(sets: DataFrame, late: DataFrame, size: Column, seen: Column) -> DataFrame:
-    """key, n, first, enough: the first `size` shingles of sets in the order with `late` ones (h, late) last, among the first `seen` ones
-    by hash; enough: whether these are the first of all."""
-    marked = sets.select("key", "n", F.explode(F.slice("hashes", 1, seen.cast("int"))).alias("h")).join(late, "h", "left")
+def _first_others(hashes: DataFrame, late: DataFrame, size: Column) -> DataFrame:
+    """key, n, first, enough from key, n, seen (hashes of a set in order, all or the first ones): its first `size` shingles with `late` ones
+    (h, late) last; enough: whether these are the first of all."""
+    marked = hashes.select("key", "n", F.explode("seen").alias("h")).join(late, "h", "left")
     ordered = marked.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h"))).alias("o"))
     early = F.size(F.filter("o", lambda x: x["late"] == 0))
     return ordered.select("key", "n", F.slice(F.transform("o", lambda x: x["h"]), 1, size).alias("first"), ((early >= size) | (F.size("o") == F.col("n"))).alias("enough"))
 
 
-def prefixes(sets: DataFrame, threshold: Fraction = SIMILARITY, hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
-    """key, n, h of each set's first shingles, and h of those that are frequent all the same (None: there are none)."""
-    size = prefix_size(F.col("n"), threshold)
-    first = lambda ordered: F.explode(F.slice(ordered, 1, size)).alias("h")
-    rows = written(sets.select("key", "n", first(F.col("hashes"))), "join-prefixes")
+def _frequent(rows: DataFrame, hot: int) -> DataFrame:
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("h")
+
+
+def prefixes(got: Sets, threshold: Fraction = SIMILARITY, hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
+    """key, n, h of each set's first shingles, and h of those that are frequent all the same (None: there are none).
+
+    Sets with a frequent shingle among the first are looked at anew, with all that are frequent among the hashes kept of these sets put
+    last; a shared passage's shingles are found together that way. What other sets have stays as it is."""
+    size, sets = prefix_size(F.col("n"), threshold), got.sets
+    rows = sets.select("key", "n", F.explode(F.slice("ahead", 1, size)).alias("h"))
     known = None
     while True:
-        often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("h")
-        new = written(often if known is None else often.join(known, "h", "left_anti"), "join-often")
+        often = _frequent(rows, hot)
+        new = written(often if known is None else often.join(bounded(known), "h", "left_anti"), "join-often")
         if not new.limit(1).count():
-            if known is None:
-                return rows, None
-            # the frequent ones that are left among the first: they were so before, and there is nothing rarer
-            return rows, rows.join(bounded(known), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("h")
-        known = new if known is None else written(known.union(new), "join-known")
+            # the frequent ones that are left among the first: there is nothing rarer
+            return rows, known and _frequent(rows.join(bounded(known), "h", "left_semi"), hot)
         again = written(rows.join(bounded(new), "h", "left_semi").select("key").distinct(), "join-again")
-        # of sets that had a frequent one twice as many shingles are looked at; of those with too few others, all
+        some = sets.join(bounded(again), "key", "left_semi").select("key", "n", F.col("ahead").alias("seen"))
+        found = _frequent(some.select(F.explode("seen").alias("h")), hot).union(new)
+        known = written((found if known is None else found.union(known)).distinct(), "join-known")
         late = bounded(known.withColumn("late", F.lit(1)))
-        some = written(_first_others(sets.join(bounded(again), "key", "left_semi"), late, size, 2 * size + 16), "join-some")
+        some = written(_first_others(some, late, size), "join-some")
         few = some.filter("not enough").select("key")
-        redone = some.filter("enough").select("key", "n", F.explode("first").alias("h"))
+        redone = some.filter("enough").select("key", "n", "first")
         if few.limit(1).count():
-            redone = redone.union(_first_others(sets.join(bounded(few), "key", "left_semi"), late, size, F.col("n")).select("key", "n", F.explode("first").alias("h")))
-        rows = written(rows.join(bounded(again), "key", "left_anti").select("key", "n", "h").union(redone), "join-prefixes")
+            redone = redone.union(written(_first_others(got.whole(few).select("key", "n", F.col("hashes").alias("seen")), late, size), "join-few").select("key", "n", "first"))
+        rows = rows.join(bounded(again), "key", "left_anti").select("key", "n", "h").union(redone.select("key", "n", F.explode("first").alias("h")))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -132,7 +151,7 @@ def _labels(edges: DataFrame) -> DataFrame:
 FOUND = "rep long, links long, similarity double, closest long"
 
 
-def _pairs(sets: DataFrame, rare: DataFrame, groups: DataFrame | None, threshold: Fraction) -> DataFrame:
+def _pairs(got: Sets, rare: DataFrame, groups: DataFrame | None, threshold: Fraction) -> DataFrame:
     """a, b (doc_ids), similarity of the links between sets that share a rare first shingle (rare: key, n, h) and aren't of one group."""
     a, b = threshold.numerator, threshold.denominator
     shared = rare.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
@@ -143,7 +162,7 @@ def _pairs(sets: DataFrame, rare: DataFrame, groups: DataFrame | None, threshold
         label = lambda c: bounded(groups.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")))
         met = met.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b")
     met = written(met, "join-candidates")
-    some = sets.join(bounded(met.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key", "left_semi")
+    some = written(got.whole(met.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "join-compared")
     of = lambda c: some.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
     both = met.join(of("a"), "a").join(of("b"), "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
     union = F.col("na") + F.col("nb") - F.col("common")
@@ -214,12 +233,12 @@ def _compared(threshold: Fraction):
     return run
 
 
-def _grouped(sets: DataFrame, groups: DataFrame, threshold: Fraction, part: int) -> DataFrame:
+def _grouped(got: Sets, groups: DataFrame, threshold: Fraction, part: int) -> DataFrame:
     """FOUND within groups (key, label), by blocks of two parts."""
     sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     dealt = groups.join(bounded(sizes), "label").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = written(dealt, "join-dealt")
-    rows = sets.join(bounded(dealt), "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = got.whole(groups.select("key")).join(bounded(dealt), "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "with"), F.greatest("own", "with")
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     rows = rows.select(F.concat_ws(":", "label", low, high).alias("block"), side.alias("side"), "rep", "hashes")
@@ -232,18 +251,18 @@ def similar_documents(docs: DataFrame, threshold: Fraction = SIMILARITY, hot: in
 
     class_id: the smallest doc_id with the same set; links: how many other classes are linked; closest: the most
     similar of them, by its class_id, and how similar it is (null without links)."""
-    got = classes(docs)
-    rows, often = prefixes(got.sets, threshold, hot)
+    got = classes(docs, threshold)
+    rows, often = prefixes(got, threshold, hot)
     rare, groups = rows, None
     if often is not None and often.limit(1).count():
         often = bounded(written(often, "join-late"))
         rare = rows.join(often, "h", "left_anti")
         groups = _labels(written(rows.join(often, "h", "left_semi").select("key", "h"), "join-edges"))
-    pairs = _pairs(got.sets, rare, groups, threshold)
+    pairs = _pairs(got, rare, groups, threshold)
     ways = [F.struct(F.col(x).alias("rep"), F.lit(1).cast("long").alias("links"), "similarity", F.col(y).alias("closest")) for x, y in ("ab", "ba")]
     found = pairs.select(F.explode(F.array(*ways)).alias("x")).select("x.*")
     if groups is not None:
-        found = found.union(_grouped(got.sets, groups, threshold, part))
+        found = found.union(_grouped(got, groups, threshold, part))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "closest")).alias("best")
     found = found.groupBy("rep").agg(F.sum("links").alias("links"), best)
     out = got.members.join(found, F.col("class_id") == F.col("rep"), "left")

@@ -54,5 +54,5 @@ def test_stored_words_are_not_broadcast(spark, name, monkeypatch):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 16
+    assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

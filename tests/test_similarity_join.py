@@ -82,7 +82,7 @@ def test_frequent_shingles_go_last(spark):
     passage = some(rng, 60)
     rows = [(i, " ".join(passage + some(rng, 60))) for i in range(80)]
     got = S.classes(spark.createDataFrame(rows, DOCS))
-    prefixes, often = S.prefixes(got.sets, S.SIMILARITY, 10)
+    prefixes, often = S.prefixes(got, S.SIMILARITY, 10)
     assert (often is None or often.count() == 0) and prefixes.groupBy("h").count().agg({"count": "max"}).first()[0] <= 10
     sizes = {r.key: r.n for r in got.sets.collect()}
     assert all(r["count"] == n - -(-4 * n // 5) + 1 for r in prefixes.groupBy("key").count().collect() for n in [sizes[r.key]])
