@@ -6,7 +6,7 @@ class is compared.
 
 Prefix filter: two sets that are similar enough share one of the first few shingles of both (``prefix_size``), by any order of all shingles
 that is the same everywhere. The order is that of their hashes, but shingles that more than ``HOT`` sets have among
-their first ones go last: sets that have such a shingle choose their first ones anew, until no new one is that frequent. So prefixes hold rare
+their first ones go last: sets that have such a shingle choose their first ones anew. So prefixes hold rare
 shingles, as far as a set has any.
 
 Sets that share a rare first shingle are paired by a join. Sets that share a frequent one all the same (large groups of near copies) are
@@ -33,6 +33,7 @@ from foliomatch.sources.intermediate import bounded, written
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 HOT = 64
+ROUNDS = 2
 PART = 1_000
 #: Columns of an incidence matrix at once.
 COLUMNS = 8_192
@@ -110,16 +111,16 @@ def prefixes(got: Sets, threshold: Fraction = SIMILARITY, hot: int = HOT) -> tup
     """key, n, h of each set's first shingles, and h of those that are frequent all the same (None: there are none).
 
     Sets with a frequent shingle among the first are looked at anew, with all that are frequent among the hashes kept of these sets put
-    last; a shared passage's shingles are found together that way. What other sets have stays as it is."""
+    last; a shared passage's shingles are found together that way. What other sets have stays as it is. After ROUNDS rounds few sets have
+    a frequent one left, mostly those that have nothing rarer; these are compared in blocks, so that stopping there costs no link."""
     size, sets = prefix_size(F.col("n"), threshold), got.sets
     rows = sets.select("key", "n", F.explode(F.slice("ahead", 1, size)).alias("h"))
     known = None
-    while True:
+    for _ in range(ROUNDS):
         often = _frequent(rows, hot)
         new = written(often if known is None else often.join(bounded(known), "h", "left_anti"), "join-often")
         if not new.limit(1).count():
-            # the frequent ones that are left among the first: there is nothing rarer
-            return rows, known and _frequent(rows.join(bounded(known), "h", "left_semi"), hot)
+            break
         again = written(rows.join(bounded(new), "h", "left_semi").select("key").distinct(), "join-again")
         some = sets.join(bounded(again), "key", "left_semi").select("key", "n", F.col("ahead").alias("seen"))
         found = _frequent(some.select(F.explode("seen").alias("h")), hot).union(new)
@@ -131,6 +132,8 @@ def prefixes(got: Sets, threshold: Fraction = SIMILARITY, hot: int = HOT) -> tup
         if few.limit(1).count():
             redone = redone.union(written(_first_others(got.whole(few).select("key", "n", F.col("hashes").alias("seen")), late, size), "join-few").select("key", "n", "first"))
         rows = rows.join(bounded(again), "key", "left_anti").select("key", "n", "h").union(redone.select("key", "n", F.explode("first").alias("h")))
+        rows = written(rows, "join-prefixes")
+    return rows, None if known is None else _frequent(rows, hot)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
