@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomatch.functions import patterns as P
@@ -157,8 +158,9 @@ FOUND = "rep long, links long, similarity double, closest long"
 def _pairs(got: Sets, rare: DataFrame, groups: DataFrame | None, threshold: Fraction) -> DataFrame:
     """a, b (doc_ids), similarity of the links between sets that share a rare first shingle (rare: key, n, h) and aren't of one group."""
     a, b = threshold.numerator, threshold.denominator
-    shared = rare.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    rare = rare.join(shared, "h")
+    # most are in one set only: they are shuffled once; what is left is little. A window has no more rows than a rare shingle has sets
+    rare = rare.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("k > 1").select("h", "key", "n")
+    rare = written(rare, "join-rare")
     left, right = (rare.select("h", F.col("key").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     met = left.join(right, "h").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") * b >= F.greatest("na", "nb") * a)).select("a", "b").distinct()
     if groups is not None:
