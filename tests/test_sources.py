@@ -12,7 +12,7 @@ from foliomatch.functions.text import clean
 from foliomatch.operators import words
 from foliomatch.plans import prompts
 from foliomatch.plans.queries import QUERIES
-from foliomatch.sources import catalog, documents, index, workers
+from foliomatch.sources import catalog, documents, index, intermediate, workers
 from foliomatch.sources.intermediate import removed, shared_dir, written
 from foliomatch.streaming import upsert_stream
 
@@ -273,6 +273,16 @@ def test_index_query_shuffles_texts_only(spark, tmp_path):
     assert exchanges and all("REPARTITION_BY_COL" in e for e in exchanges)
 
 
+@pytest.mark.parametrize("name", ["index_json_roundtrip", "word_index"])
+def test_parts_of_texts_are_bounded(spark, tmp_path, monkeypatch, name):
+    """Words are grouped in as many parts as the texts' size asks for, not in as many as Spark makes of compressed texts."""
+    spark.createDataFrame([(i, "some words and more " * 5) for i in range(100)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    few = QUERIES[name](spark, str(tmp_path))
+    monkeypatch.setattr(intermediate, "PART_BYTES", 500)
+    many = QUERIES[name](spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 20 and sorted(many.collect()) == sorted(few.collect())
+
+
 def test_intermediates_are_removed(spark):
     kept = written(spark.range(3), "test-kept")
     folder = Path(re.sub("^file:", "", kept.inputFiles()[0])).parent
