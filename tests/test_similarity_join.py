@@ -88,6 +88,27 @@ def test_frequent_shingles_go_last(spark):
     assert all(r["count"] == n - -(-4 * n // 5) + 1 for r in prefixes.groupBy("key").count().collect() for n in [sizes[r.key]])
 
 
+def test_a_late_common_shingle_is_no_meeting(spark):
+    """Sets of 90 need 80 in common: from its eleventh shingle on a set has 80, from its twelfth on 79."""
+    rows = [(1, 90, 7, 11), (2, 90, 7, 11), (3, 90, 7, 12), (4, 90, 8, 1), (5, 90, 8, 12), (6, 100, 9, 12), (7, 80, 9, 1)]
+    rare = spark.createDataFrame(rows, "key long, n int, h long, place int")
+    assert sorted(map(tuple, S.met_by(rare, S.SIMILARITY).collect())) == [(1, 2), (6, 7)]
+    assert S.met_by(rare, Fraction(9, 10)).count() == 0
+
+
+def test_places_are_those_of_one_order(spark):
+    """Whatever is put last in one set is put last in all: two sets have no two shingles in opposite orders."""
+    rng = random.Random(4)
+    passages = [some(rng, 30) for _ in range(4)]
+    rows = [(i, " ".join(sum((p for p in passages if rng.random() < 0.4), []) + some(rng, 30))) for i in range(60)]
+    got, _ = S.prefixes(S.classes(spark.createDataFrame(rows, DOCS)), S.SIMILARITY, 8)
+    sets = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: r.place):
+        sets[r.key].append(r.h)
+    before = {(x, y) for hs in sets.values() for x, y in itertools.combinations(hs, 2)}
+    assert not any((y, x) in before for x, y in before)
+
+
 def test_four_fifths(spark):
     rng, rows, want = random.Random(2), [], {}
     for n in (4, 8, 40, 400):
