@@ -6,9 +6,12 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from foliomatch.operators import shingles as H
 from foliomatch.operators import similarity_join as S
+from foliomatch.sources.intermediate import written
 
 DOCS = "doc_id long, text string"
 
@@ -133,3 +136,58 @@ def test_common_counts(monkeypatch):
 def test_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     assert S.similar_documents(docs).count() == 0
+
+
+def test_hashes_of_runs(monkeypatch):
+    """Two texts share a hash if and only if they share a run, whatever is between words and wherever a batch is cut."""
+    rng = random.Random(5)
+    letters = ["a", "b", "é", "ก", "\0", "x" * 63, "x" * 64, "x" * 65, "x" * 200, " ", "\x85"]
+    texts = ["", " \n\t", "a", " a", "a b c d", "b a c d", "a b c d e", "a b c d e f", "ab c", "a bc"]
+    texts += [rng.choice(["", " "]) + rng.choice([" ", "\x0b", "\f\r", "\t \n"]).join("".join(rng.choices(letters, k=rng.randrange(1, 4))) for _ in range(rng.randrange(20))) for _ in range(60)]
+    runs = []
+    for t in texts:
+        w = t.encode().split()
+        runs.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    whole = list(H.sets(pa.array(["left out", *texts])[1:], 5))
+    monkeypatch.setattr(H, "CHUNK", 50)
+    parts = list(H.sets(pa.array(texts), 5))
+    for x, y, r in zip(whole, parts, runs, strict=True):
+        assert x.tolist() == y.tolist() == sorted(set(x.tolist())) and len(x) == len(r)
+    for (x, r), (y, s) in itertools.combinations(zip(whole, runs, strict=True), 2):
+        assert len(np.intersect1d(x, y)) == len(r & s)
+
+
+def test_one_shared_shingle_is_no_candidate(spark):
+    """Sets of 90 have 72 shingles behind the first 18 + 1: with 80 in common they share 9 of the first ones at least, or as many fewer as
+    frequent ones were left out of both."""
+    met = spark.createDataFrame([(1, 2, 90, 90, 8), (1, 3, 90, 90, 9), (3, 4, 90, 90, 8), (4, 5, 90, 90, 7), (6, 7, 80, 100, 1)], "a long, b long, na int, nb int, met long")
+    assert sorted(map(tuple, S.may_link(met, None, S.SIMILARITY).collect())) == [(1, 3), (6, 7)]
+    frequent = spark.createDataFrame([(3, 1), (4, 2), (5, 1)], "key long, k long")
+    assert sorted(map(tuple, S.may_link(met, frequent, S.SIMILARITY).collect())) == [(1, 3), (3, 4), (6, 7)]
+
+
+def test_passages_give_no_candidates(spark, monkeypatch):
+    """Texts that share a passage of a tenth are met by it, as all else in them is their own, but none is compared."""
+    rng, seen = random.Random(6), {}
+    passage = some(rng, 24)
+    rows = [(i, " ".join(passage + some(rng, 180))) for i in range(20)]
+    monkeypatch.setattr(S, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    assert {v[1] for v in found(S.similar_documents(spark.createDataFrame(rows, DOCS))).values()} == {0}
+    assert seen["join-rare"].count() > 0 and seen["join-candidates"].count() == 0
+
+
+@pytest.mark.parametrize("late", [1, 1_000])
+def test_any_order_finds_all(spark, monkeypatch, late):
+    """Which shingles are taken for frequent changes no result, nor does a doc_id that has one text several times."""
+    rng, rows = random.Random(7), []
+    for _ in range(6):
+        words = some(rng, 60)
+        rows += [(len(rows) + i, " ".join(w if rng.random() > 0.01 else "x" for w in words)) for i in range(6)]
+    rows += [rows[3], rows[3], rows[9], (rows[3][0], rows[20][1])]
+    monkeypatch.setattr(S, "LOOK", 1)
+    monkeypatch.setattr(S, "LATE", late)
+    df = spark.createDataFrame(rows, DOCS)
+    assert S.likely_frequent(df, 5, 4).count() == min(late, S.likely_frequent(df, 5, 4).count()) > 0
+    monkeypatch.setattr(S, "likely_frequent", lambda r, k, f=S.likely_frequent: f(r, k, 4))
+    got, want = found(S.similar_documents(df, hot=4)), brute(rows)
+    assert {i: v[1:] for i, v in got.items() if i != rows[3][0]} == {i: v[1:] for i, v in want.items() if i != rows[3][0]}
