@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliomatch.functions import numbers
 from foliomatch.functions.text import clean, pad_zeros, without_tones
 from foliomatch.operators import compare, similar, words
+from foliomatch.sources.intermediate import written
 
 A = "Policy Insured John Smith Plate BM123 Amount 0500 Seats 17 Color red sometimes Bangkok"
 B = "Policy Insured Jane Smyth Plate NM333 Amount 500 Seats 25 Colour blue never Pattaya"
@@ -173,3 +174,14 @@ def test_lines_cleaned_at_once_give_clean_words(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = words.occurrences(docs).withColumn("clean", clean(F.col("text")))
     assert sorted(map(tuple, words.cleaned_occurrences(docs).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_patterns_see_only_words_that_are_left(spark, monkeypatch):
+    """Form labels are looked for in the words that the other document hasn't, not in all words."""
+    seen = {}
+    monkeypatch.setattr(compare, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    compare.diff_words(*tables(spark, A, B))
+    assert 0 < seen["diff-rest"].count() < 28
+    of = "RLIKE|rlike|RegExpReplace|regexp_replace"
+    plan = seen["diff-rest"]._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(of, plan) and seen["diff-left"].count() <= seen["diff-rest"].count()
