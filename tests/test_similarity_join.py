@@ -191,3 +191,33 @@ def test_any_order_finds_all(spark, monkeypatch, late):
     monkeypatch.setattr(S, "likely_frequent", lambda r, k, f=S.likely_frequent: f(r, k, 4))
     got, want = found(S.similar_documents(df, hot=4)), brute(rows)
     assert {i: v[1:] for i, v in got.items() if i != rows[3][0]} == {i: v[1:] for i, v in want.items() if i != rows[3][0]}
+
+
+@pytest.mark.parametrize("of", [1, 4])
+def test_shared_first_shingles(spark, monkeypatch, of):
+    """What several sets have among their first shingles, with places and counts, whatever the buckets; no more is kept of a set than must
+    be looked at."""
+    rng = random.Random(9)
+    words = [some(rng, rng.choice([3, 20, 300])) for _ in range(12)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else "x" for w in rng.choice(words))) for i in range(60)]
+    got = S.classes(spark.createDataFrame(rows, DOCS).repartition(3))
+    sets = {r.key: (r.n, r.first) for r in got.sets.collect()}
+    assert all(len(first) == n - -(-4 * n // 5) + 1 for n, first in sets.values())
+    k = defaultdict(int)
+    for _, first in sets.values():
+        for h in first:
+            k[h] += 1
+    want = sorted((h, key, n, i + 1, k[h]) for key, (n, first) in sets.items() for i, h in enumerate(first) if k[h] > 1)
+    monkeypatch.setattr(S, "BUCKET", 50)
+    have = sorted(map(tuple, S.shared(got.sets.select("key", "n", "first"), sum(len(f) for _, f in sets.values()), of).collect()))
+    assert len(want) > 50 and (have == want if of == 1 else have == [r for r in want if r[0] >> 8 & 3 == 0] and have)
+
+
+def test_few_frequent_shingles_are_paired(spark, monkeypatch):
+    """A few sets more than `hot` with a common passage beside many others: nothing is chosen anew for that, and no groups are made."""
+    rng, seen = random.Random(10), []
+    words = some(rng, 60)
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(5)] + [(100 + i, " ".join(some(rng, 60))) for i in range(120)]
+    monkeypatch.setattr(S, "written", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    assert found(S.similar_documents(spark.createDataFrame(rows, DOCS), hot=3)) == brute(rows)
+    assert any(df.count() for name, df in seen if name == "join-often") and not {"join-again", "join-edges"} & {name for name, _ in seen}
