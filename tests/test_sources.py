@@ -318,3 +318,15 @@ def test_errors_of_any_kind_cost_one_file(spark, tmp_path):
         return [{"page_num": 0, "width": 1.0, "height": 1.0, "native_text": "b", "image": b""}]
 
     assert [r.native_text for r in documents.pages(documents.files(spark, str(tmp_path)), pager).collect()] == ["b"]
+
+
+def test_texts_of_single_ids_are_not_ranked(spark, tmp_path, monkeypatch):
+    """Texts and indexes are shuffled to find the last row of an id only if some id is there more than once."""
+    seen, merged = [], catalog.merged
+    monkeypatch.setattr(catalog, "merged", lambda *x: seen.append(merged(*x)) or seen[-1])
+    store = catalog.Catalog(spark, str(tmp_path / "c"))
+    rows = lambda *x: spark.createDataFrame(list(x), "document_id string, filename string, extracted_text string")
+    store.upsert(rows(("1", "a", "x"), ("2", "b", "y")))
+    store.upsert(rows(("1", "a", "x"), ("1", "c", "z"), (None, "d", "w")))
+    assert {(r.document_id, r.extracted_text) for r in store.table().collect()} == {("1", "z"), ("2", "y")}
+    assert ["Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen] == [False, True]
