@@ -185,3 +185,15 @@ def test_patterns_see_only_words_that_are_left(spark, monkeypatch):
     of = "RLIKE|rlike|RegExpReplace|regexp_replace"
     plan = seen["diff-rest"]._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(of, plan) and seen["diff-left"].count() <= seen["diff-rest"].count()
+
+
+def test_words_of_both_sides_are_shuffled_once(spark):
+    """The words that only one of two documents has, from one shuffle of all, without the forms that follow from them."""
+    pairs, _, vocab = tables(spark, A, B)
+    got = compare.alone(pairs, vocab)
+    of = lambda t: {w for w in re.sub(r"[^\w ]", "", t).lower().split()}
+    assert {(r.doc_id, r.clean) for r in got.collect()} == {(1, w) for w in of(A) - of(B)} | {(2, w) for w in of(B) - of(A)}
+    assert {r.doc_id for r in compare.alone(pairs, vocab, True).collect()} == {1}
+    assert set(got.columns) == {"pair", *vocab.columns} and {r.clean: r.norm for r in got.collect()}.items() <= {r.clean: r.norm for r in vocab.collect()}.items()
+    plan = compare.alone(pairs, written(vocab, "test-vocabulary"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "norm" not in plan.split("Exchange hashpartitioning")[1]
