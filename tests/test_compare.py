@@ -197,3 +197,25 @@ def test_words_of_both_sides_are_shuffled_once(spark):
     assert set(got.columns) == {"pair", *vocab.columns} and {r.clean: r.norm for r in got.collect()}.items() <= {r.clean: r.norm for r in vocab.collect()}.items()
     plan = compare.alone(pairs, written(vocab, "test-vocabulary"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "norm" not in plan.split("Exchange hashpartitioning")[1]
+
+
+def plan_without_automatic_broadcasts(spark, made):
+    """The plan of made(), where Spark sends no table to all tasks of its own accord, as with large ones."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        return made()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_few_words_are_looked_up_without_shuffling_the_others(spark):
+    """The ladder sends the words looked up to those of the other side, and their trigrams and characters aren't shuffled."""
+    _, _, vocab = tables(spark, A, B)
+    side = lambda n, name: written(vocab.filter(F.col("doc_id") == n).select(F.lit(1).cast("long").alias("pair"), "clean", "norm", "norm_nt", "len"), name)
+    own, other = side(1, "test-own"), side(2, "test-other")
+    plan = plan_without_automatic_broadcasts(spark, lambda: similar.ladder(own, other, 0.6))
+    assert set(re.findall(r"Exchange hashpartitioning\(pair#\d+L?, (\w+)", plan)) == {"a"} and not re.search("NestedLoop|Cartesian", plan)
+    more = other.union(other.withColumn("pair", F.lit(2).cast("long")))
+    assert {r.pair for r in similar.of_pairs_in(more, own).collect()} == {1}
