@@ -219,3 +219,17 @@ def test_few_words_are_looked_up_without_shuffling_the_others(spark):
     assert set(re.findall(r"Exchange hashpartitioning\(pair#\d+L?, (\w+)", plan)) == {"a"} and not re.search("NestedLoop|Cartesian", plan)
     more = other.union(other.withColumn("pair", F.lit(2).cast("long")))
     assert {r.pair for r in similar.of_pairs_in(more, own).collect()} == {1}
+
+
+def test_matches_are_counted_by_the_words_that_are_left(spark):
+    """Neither words nor matches are shuffled to meet: what isn't matched is taken off."""
+    pairs, found, vocab = tables(spark, A, B)
+    found, vocab = written(found, "test-words"), written(vocab, "test-vocabulary")
+    for catalog in (False, True):
+        met = written(compare.same_words(pairs, vocab, catalog), "test-met")
+        plan = plan_without_automatic_broadcasts(spark, lambda: compare.same_summary(pairs, found, vocab, catalog, met))  # noqa: B023
+        assert not re.search(r"Exchange hashpartitioning\((doc_id|pair_id)#\d+L?, clean", plan)
+        row = compare.same_summary(pairs, found, vocab, catalog, met).first()
+        matched = {n: {r[c] for r in met.collect()} for n, c in ((1, "a"), (2, "b"))}
+        want = {n: sum(r.doc_id == n and r.clean in matched[n] for r in words.normalised(found).collect()) for n in (1, 2)}
+        assert (row.matched_doc1, row.matched_doc2, row.matched_unique_words) == (want[1], want[2], len(matched[1])) and want[1] >= 8
