@@ -259,6 +259,22 @@ def test_indexes_of_texts(spark):
     assert index.indexed(w.limit(0)).count() == 0
 
 
+def test_json_of_texts(spark):
+    """The same JSON as of the columns, letter by letter, without a row for each word."""
+    docs = spark.createDataFrame([*ODD, (8, "word_no page word by_page 007 e\u0301 \U0001d54f \u0e33\u0e48 \\u0041 \"\""), (9, "b a b\n" * 300)], "doc_id long, text string")
+    made = index.indexed(words.occurrences(docs))
+    want = {r.doc_id: r.j for r in made.select("doc_id", index.to_json(F.col("by_page"), F.col("by_word")).alias("j")).collect()}
+    said = index.json_of_texts(docs)
+    assert {r.doc_id: r.word_index for r in said.collect()} == want and len(want) == 6 and said.count() == 6
+    assert index.json_of_texts(docs.limit(0)).count() == 0
+
+
+def test_index_query_has_no_row_for_each_word(spark, tmp_path):
+    spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["index_json_roundtrip"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Generate|Join", plan) and plan.count("Aggregate [") == 1
+
+
 def test_index_query_shuffles_texts_only(spark, tmp_path):
     spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = QUERIES["index_json_roundtrip"](spark, str(tmp_path))
